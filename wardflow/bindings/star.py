@@ -540,8 +540,9 @@ def with_tables(body: str) -> str:
     if not ctes:
         return body.strip()
     head = ",\n".join(f"{n} AS ({q})" for n, q in ctes.items())
-    body = body.strip()
-    joiner = ",\n" if body[:5].upper() == "WITH " else "\n"
-    if joiner == ",\n":
-        body = body[5:]
-    return f"WITH {head}{joiner}{body}"
+    opening, rest = "WITH ", "\n" + body.strip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.strip().startswith(start):
+            opening, rest = start, ",\n" + body.strip()[len(start) :]
+            break
+    return f"{opening}{head}{rest}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -70,7 +71,7 @@ def in_list(c: Column, items: str | Column | None, all_values=(None, "0", ",0,")
     per row.  The sentinels in ``all_values`` let every row through.
     """
     if isinstance(items, Column):
-        return F.array_contains(F.split(items, sep), c.cast("string"))
+        return F.array_contains(F.split(items, re.escape(sep)), c.cast("string"))
     if items in all_values:
         return F.lit(True)
     numbers = [int(i) for i in items.split(sep) if i.strip()]

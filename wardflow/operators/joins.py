@@ -7,6 +7,7 @@ and the skew handling of adaptive execution apply.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,8 +58,8 @@ def not_in(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def split_rows(df: DataFrame, col: str, sep: str = ",", out: str = "Item") -> DataFrame:
     """One row per non-blank item of a delimited list column."""
-    items = F.explode(F.split(F.col(col), sep, -1))
-    return df.withColumn(out, F.trim(items)).where(F.col(out) != "")
+    items = F.explode(F.split(F.col(col), re.escape(sep), -1))
+    return df.withColumn(out, items).withColumn(out, F.trim(out)).where(F.col(out) != "")
 
 
 def with_calendar(
