@@ -14,35 +14,39 @@ EPOCH = "1900-01-01"
 EPOCH_DAY = 466701
 CYCLE_DAYS = 12053
 CYCLE_YEARS = 33
+# The first six months have 31 days, the others 30 (the last 29 or 30).
+LONG_MONTHS_DAYS = 186
 MISSING_AGE = 999
 DEFAULT_EPOCH = "2000-01-01"
 
 
 def _div(a: Column, b: int) -> Column:
-    # Bigint `div` keeps the arithmetic integral and inside generated code.
+    # Integral division keeps the arithmetic exact and inside generated code.
     return F.call_function("div", a, F.lit(b))
 
 
-def shamsi_parts(d: Column) -> tuple[Column, Column, Column]:
-    """Year, month and day of a date in the Solar Hijri calendar."""
+def shamsi_number(d: Column) -> Column:
+    """Date as the number ``yyyymmdd`` of the Solar Hijri calendar.
+
+    A cycle of 33 years has 12,053 days, so the year follows from the day number
+    by one division, and the first day of a year by another.  Months are
+    numbered by what they add to ``day of year``: 69 beyond a 31-day month, 70
+    beyond a 30-day month.  Few repeated terms keep the expression small when
+    many date columns are converted in one projection.
+    """
     days = F.datediff(d.cast("date"), F.lit(EPOCH).cast("date")) + EPOCH_DAY
-    cycle, rest = _div(days, CYCLE_DAYS), days % CYCLE_DAYS
-    in_cycle = _div(rest * CYCLE_YEARS + 3, CYCLE_DAYS)
-    year = cycle * CYCLE_YEARS + in_cycle + 1
-    day_of_year = rest - in_cycle * 365 - _div(in_cycle * 8 + 29, CYCLE_YEARS) + 1
-    early = day_of_year <= 186
-    month = F.when(early, _div(day_of_year - 1, 31) + 1).otherwise(
-        _div(day_of_year - 187, 30) + 7
-    )
-    day = F.when(early, (day_of_year - 1) % 31 + 1).otherwise((day_of_year - 187) % 30 + 1)
-    return year, month, day
+    years = _div(days * CYCLE_YEARS + 3, CYCLE_DAYS)
+    day_of_year = days - _div(years * CYCLE_DAYS + 29, CYCLE_YEARS)
+    long_months = _div(F.least(day_of_year, F.lit(LONG_MONTHS_DAYS)), 31)
+    short_months = _div(F.greatest(day_of_year - LONG_MONTHS_DAYS, F.lit(0)), 30)
+    return (years + 1) * 10000 + day_of_year + long_months * 69 + short_months * 70 + 101
 
 
 def to_shamsi(d: Column) -> Column:
     """Date as ``yyyy/mm/dd`` text of the Solar Hijri calendar."""
-    year, month, day = shamsi_parts(d)
-    pad = [F.lpad(p.cast("string"), 2, "0") for p in (month, day)]
-    return F.concat(year.cast("string"), F.lit("/"), pad[0], F.lit("/"), pad[1])
+    digits = F.lpad(shamsi_number(d).cast("string"), 8, "0")
+    slash = F.lit("/")
+    return F.overlay(F.overlay(digits, slash, 7, 0), slash, 5, 0)
 
 
 def timestamp_lit(as_of: str | dt.datetime) -> Column:

@@ -1,16 +1,15 @@
 """Five-step 3-D workflow with undo (DM-14).
 
 The steps of one visit depend on each other, so they run in order of a sequence
-number.  A visit with very many events is not one group: events are cut into
-slices of the sequence, each slice is reduced to "what it does to every possible
-state", and only these small summaries meet per visit.
+number, as a fold over a sorted array.  A visit with very many events is not one
+group: events are cut into slices of the sequence.  The first slice of a visit
+starts from its stored state; each further slice is folded once for every
+possible state, and only these small results meet per visit.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The steps, and the time column each step sets.
@@ -19,107 +18,76 @@ TIMES = ("DeliveryTime", "TakePhoto", "DenseCloudTime", "PaidTime", "Object3DTim
 WAIT_CHECKED, WAIT_PHOTO_DONE = 2, 4
 SLICE = 100_000
 
-# State 0 is "no row"; the others are pairs of current and last step.  Undoing a
-# step that has no last step leaves the current step empty.
+# Possible states: no row, or a pair of current and last step.  Undoing a step
+# that has no last step leaves the current step empty.
 KNOWN = (None, *STEPS)
-PAIRS = [None] + [(now, last) for now in KNOWN for last in KNOWN]
-CODE = {pair: i for i, pair in enumerate(PAIRS)}
-
-
-def _next_state(pair, step: int, undo: bool):
-    if pair is None:
-        return (1, None) if step == 1 else None
-    now, last = pair
-    if undo and step == 1 and last is None:
-        return None
-    if not undo:
-        return step, now
+STATES = [(False, None, None)] + [(True, now, last) for now in KNOWN for last in KNOWN]
+
+
+def _state(present: Column, now: Column, last: Column, times: dict, touched: dict, wait: Column, reset: Column) -> Column:
+    return F.struct(
+        present.alias("present"),
+        now.cast("int").alias("now"),
+        last.cast("int").alias("last"),
+        *[times[t].cast("timestamp_ntz").alias(t) for t in TIMES],
+        *[touched[t].alias("set_" + t) for t in TIMES],
+        wait.cast("int").alias("wait"),
+        reset.alias("reset"),
+    )
+
+
+def _entry(present: Column, now: Column, last: Column, times: dict | None = None) -> Column:
+    """A state in which no event has happened yet."""
+    empty = {t: F.lit(None) for t in TIMES}
+    untouched = {t: F.lit(False) for t in TIMES}
+    return _state(present, now, last, times or empty, untouched, F.lit(0), F.lit(False))
+
+
+def _after(s: Column, event: Column) -> Column:
+    """State after one event."""
+    step, undo = event["step"], event["undo"] == 1
+    present, now, last = s["present"], s["now"], s["last"]
+    born = ~present & (step == 1)
+    gone = present & (step == 1) & undo & last.isNull()
+    moved = present & ~gone
     # An undone step 10 falls back to 5, the others to the last step.
-    return (5 if step == 10 else last), now
-
-
-NEXT = {
-    (step, undo): np.array([CODE[_next_state(pair, step, undo)] for pair in PAIRS])
-    for step in STEPS
-    for undo in (False, True)
-}
-LAST_IS_NULL = np.array([pair is not None and pair[1] is None for pair in PAIRS])
-
-
-def _slice_effect(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Effect of one slice of events on each possible entry state."""
-    pdf = pdf.sort_values("seq")
-    n = len(PAIRS)
-    state = np.arange(n)
-    values = {t: np.full(n, np.datetime64("NaT", "us")) for t in TIMES}
-    touched = {t: np.zeros(n, dtype=bool) for t in TIMES}
-    wait = np.zeros(n, dtype=int)
-    reset = np.zeros(n, dtype=bool)
-
-    def put(t, mask, value):
-        values[t] = np.where(mask, value, values[t])
-        touched[t] |= mask
-
-    empty = np.datetime64("NaT", "us")
-    for step, undo, when in zip(
-        pdf["step"].tolist(), pdf["undo"].tolist(), pdf["at"].to_numpy("datetime64[us]")
-    ):
-        present = state != 0
-        born = ~present & (step == 1)
-        gone = present & LAST_IS_NULL[state] & (step == 1) & bool(undo)
-        moved = present & ~gone
-        stamp = empty if undo else when
-        i = STEPS.index(step)
-        put(TIMES[i], moved, stamp)
-        put(TIMES[i], born, when)
-        if step in (1, 10):
-            for later in TIMES[i + 1 :]:
-                put(later, moved | born, empty)
-        if step == 1:
-            for t in TIMES:
-                put(t, gone, empty)
-        wait = np.where(gone, WAIT_CHECKED, wait)
-        reset |= gone
-        if step == 10 and not undo:
-            wait = np.where(moved, WAIT_PHOTO_DONE, wait)
-        state = NEXT[(step, bool(undo))][state]
-    key, part = pdf["siFiles"].iloc[0], pdf["slice"].iloc[0]
-    out = pd.DataFrame({"siFiles": key, "slice": part, "entry": np.arange(n), "leave": state})
-    for t in TIMES:
-        out[t], out["set_" + t] = values[t], touched[t]
-    out["WaitStatus"], out["WaitReset"] = wait, reset
-    return out
-
-
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow the slices of one visit from its stored state."""
-    pdf = pdf.sort_values("slice")
-    head = pdf.iloc[0]
-    state = int(head["start"])
-    times = {t: head["old_" + t] for t in TIMES}
-    wait, reset = 0, False
-    for _, part in pdf.groupby("slice", sort=True):
-        row = part[part["entry"] == state].iloc[0]
-        for t in TIMES:
-            if row["set_" + t]:
-                times[t] = row[t]
-        wait = int(row["WaitStatus"]) or wait
-        reset = reset or bool(row["WaitReset"])
-        state = int(row["leave"])
-    now, last = PAIRS[state] or (None, None)
-    out = pd.DataFrame(
-        {
-            "siFiles": [head["siFiles"]],
-            "Present": [state != 0],
-            "Status": pd.array([now], "Int32"),
-            "LastStatus": pd.array([last], "Int32"),
-        }
+    target = F.when(~undo, step).when(step == 10, 5).otherwise(last)
+    stamp = F.when(born | ~undo, event["at"])
+    times, touched = {}, {}
+    for own, t in zip(STEPS, TIMES):
+        sets = (born | moved) & (step == own)
+        clears = gone | ((born | moved) & step.isin(1, 10) & (step < own))
+        times[t] = F.when(clears, F.lit(None)).when(sets, stamp).otherwise(s[t])
+        touched[t] = s["set_" + t] | clears | sets
+    wait = F.when(gone, WAIT_CHECKED).when(moved & (step == 10) & ~undo, WAIT_PHOTO_DONE).otherwise(s["wait"])
+    return _state(
+        (present & ~gone) | born,
+        F.when(born, 1).when(moved, target),
+        F.when(moved, now),
+        times,
+        touched,
+        wait,
+        s["reset"] | gone,
     )
-    for t in TIMES:
-        out[t] = pd.to_datetime([times[t]])
-    out["WaitStatus"] = pd.array([wait or None], "Int32")
-    out["WaitReset"] = [reset]
-    return out
+
+
+def _code(s: Column) -> Column:
+    """Place of a state in ``STATES``, counted from 1."""
+
+    def place(step: Column) -> Column:
+        return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in STEPS]), step), F.lit(0))
+
+    pair = place(s["now"]) * len(KNOWN) + place(s["last"]) + 2
+    return F.when(s["present"], pair).otherwise(1).cast("int")
+
+
+def _joined(s: Column, part: Column) -> Column:
+    """State after a whole slice that was folded for every entry state."""
+    effect = F.element_at(part["effects"], _code(s))
+    times = {t: F.when(effect["set_" + t], effect[t]).otherwise(s[t]) for t in TIMES}
+    touched = {t: s["set_" + t] | effect["set_" + t] for t in TIMES}
+    wait = F.when(effect["wait"] != 0, effect["wait"]).otherwise(s["wait"])
+    return _state(effect["present"], effect["now"], effect["last"], times, touched, wait, s["reset"] | effect["reset"])
 
 
 def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame, DataFrame]:
@@ -129,63 +97,51 @@ def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int =
     the time ``at``.  The second output has one row per visit whose waiting entry
     changes: its new ``WaitStatus`` and whether call time and machine are cleared.
     """
-    stamp = "timestamp_ntz"
-    effects = (
+    # A slice holds at most slice_size events, as seq is unique.
+    event = F.struct("seq", "step", "undo", F.col("at").cast("timestamp_ntz").alias("at"))
+    slices = (
         events.where(F.col("step").isin(*STEPS))
+        .groupBy("siFiles", F.floor(F.col("seq") / slice_size).alias("slice"))
+        .agg(F.array_sort(F.collect_list(event)).alias("events"))
+    )
+    firsts = slices.groupBy("siFiles").agg(F.min("slice").alias("first"))
+    marked = slices.join(firsts, "siFiles")
+    stored = current.select("siFiles", F.struct("Status", "LastStatus", *TIMES).alias("old"))
+    old = F.col("old")
+    start = _entry(old.isNotNull(), old["Status"], old["LastStatus"], {t: old[t] for t in TIMES})
+    heads = (
+        marked.where(F.col("slice") == F.col("first"))
+        .join(stored, "siFiles", "left")
+        .select("siFiles", F.aggregate("events", start, _after).alias("state"))
+    )
+    entries = F.array(*[_entry(*[F.lit(x) for x in state]) for state in STATES])
+    tails = (
+        marked.where(F.col("slice") > F.col("first"))
         .select(
             "siFiles",
-            F.floor(F.col("seq") / slice_size).cast("bigint").alias("slice"),
-            "seq",
-            F.col("step").cast("int").alias("step"),
-            F.col("undo").cast("int").alias("undo"),
-            F.col("at").cast(stamp).alias("at"),
+            "slice",
+            F.transform(entries, lambda s: F.aggregate(F.col("events"), s, _after)).alias("effects"),
         )
-        .groupBy("siFiles", "slice")
-        .applyInPandas(
-            _slice_effect,
-            "siFiles bigint, slice bigint, entry int, leave int, "
-            + ", ".join(f"{t} {stamp}, set_{t} boolean" for t in TIMES)
-            + ", WaitStatus int, WaitReset boolean",
-        )
-    )
-    start = F.lit(0)
-    for pair, code in CODE.items():
-        if pair is not None:
-            known = F.col("Status").eqNullSafe(F.lit(pair[0])) & F.col("LastStatus").eqNullSafe(F.lit(pair[1]))
-            start = F.when(known, code).otherwise(start)
-    stored = current.select(
-        "siFiles",
-        start.alias("start"),
-        *[F.col(t).cast(stamp).alias("old_" + t) for t in TIMES],
-    )
-    walked = (
-        effects.join(stored, "siFiles", "left")
-        .fillna(0, ["start"])
         .groupBy("siFiles")
-        .applyInPandas(
-            _walk,
-            "siFiles bigint, Present boolean, Status int, LastStatus int, "
-            + ", ".join(f"{t} {stamp}" for t in TIMES)
-            + ", WaitStatus int, WaitReset boolean",
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("slice", "effects"))).alias("parts"))
+    )
+    final = F.when(F.col("parts").isNull(), F.col("state")).otherwise(
+        F.aggregate("parts", F.col("state"), _joined)
     )
-    changed = ["Status", "LastStatus", *TIMES]
-    marked = walked.withColumn("_hit", F.lit(True))
-    kept = F.coalesce(F.col("Present"), F.lit(True))
-    other = [c for c in current.columns if c not in ("siFiles", *changed)]
+    walked = heads.join(tails, "siFiles", "left").select("siFiles", final.alias("new"))
+    new = F.col("new")
+    values = {"Status": new["now"], "LastStatus": new["last"], **{t: new[t] for t in TIMES}}
     table = (
-        current.select("siFiles", *other, *[F.col(c).alias("old_" + c) for c in changed])
-        .join(marked, "siFiles", "full_outer")
-        .where(kept)
+        current.join(walked, "siFiles", "full_outer")
+        .where(new.isNull() | new["present"])
         .select(
-            "siFiles",
-            *other,
             *[
-                F.when(F.col("_hit"), F.col(c)).otherwise(F.col("old_" + c)).alias(c)
-                for c in changed
-            ],
+                F.when(new.isNotNull(), values[x]).otherwise(F.col(x)).alias(x) if x in values else F.col(x)
+                for x in current.columns
+            ]
         )
-        .select(*current.columns)
     )
-    waits = walked.where(F.col("WaitStatus").isNotNull()).select("siFiles", "WaitStatus", "WaitReset")
+    waits = walked.where(new["wait"] != 0).select(
+        "siFiles", new["wait"].alias("WaitStatus"), new["reset"].alias("WaitReset")
+    )
     return table, waits

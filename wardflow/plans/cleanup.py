@@ -23,10 +23,13 @@ COMPLETED = 10
 
 
 def _placed(t: Tables, files: DataFrame) -> DataFrame:
-    """Visits with network and local paths."""
+    """Visits with network and local paths, in visit order.
+
+    Rows are sorted while they are narrow; the paths are added behind the sort.
+    """
     doctors = t["doctors"].select(c("siDoctors").alias("siDoctor"), "FolderName")
     roots = t["paths"].select(c("NetworkPath").alias("PathFolder"), "LocalPath").distinct()
-    rows = files.join(doctors, "siDoctor").join(roots, "PathFolder")
+    rows = files.join(doctors, "siDoctor").join(roots, "PathFolder").orderBy("siFiles")
     for prefix, root in (("NetPath", "PathFolder"), ("WinPath", "LocalPath")):
         rows = derive_paths(rows, c(root), c("FolderName"), c("LName"), c("FName"), c("FileID"), prefix)
     return rows.drop("siDoctor", "FolderName")
@@ -52,14 +55,14 @@ def cleanup_candidates(
     state = nvl(c("Status"), 0)
     wanted = ~state.isin(FINISHED_STATES) if states is None else state.isin([*states, ALWAYS_LISTED])
     rows = files.join(log, "FileID", "left").where(wanted)
-    return _placed(t, rows).orderBy("siFiles")
+    return _placed(t, rows)
 
 
 def cleanup_others(t: Tables, before: str) -> DataFrame:
     """Visits referred before a date whose other files are not erased yet."""
     done = t["deletion_log"].where(c("Status") == COMPLETED).select("FileID")
     files = t["files"].where(c("ReferDate") < before).select(*FILE_COLUMNS)
-    return _placed(t, anti(files, done, "FileID")).orderBy("siFiles")
+    return _placed(t, anti(files, done, "FileID"))
 
 
 def visit_paths(t: Tables, visits: DataFrame) -> DataFrame:

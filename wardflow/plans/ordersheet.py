@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.nulls import BACK_COLOR, decode, nvl
 from wardflow.operators.joins import semi
-from wardflow.operators.setops import union_levels
-from wardflow.operators.xmlrows import shred_pairs
+from wardflow.operators.xmlrows import shred_lists
 
 Tables = Mapping[str, DataFrame]
 c = F.col
@@ -24,15 +23,16 @@ ROLES = {"Photo": "PhotoTitle", "Editor": "EditorTitle", "Checker": "Title"}
 
 def order_sheet_rows(t: Tables, visits: DataFrame) -> DataFrame:
     """The three XML lists of each visit as rows with level and title numbers."""
-    receipts = semi(t["receipts"], visits, "siFiles")
-    levels = {}
-    for level, col in LISTS.items():
-        pairs = shred_pairs(receipts.select("siFiles", col), col, "F1", "F2")
-        if level == 0:
-            levels[level] = pairs.select("siFiles", c("F1").alias("TopCat"), F.lit("0").alias("SubCat1"), F.lit("0").alias("SubCat2"))
-        else:
-            levels[level] = pairs.select("siFiles", F.lit("0").alias("TopCat"), c("F1").alias("SubCat1"), c("F2").alias("SubCat2"))
-    return union_levels(levels)
+    receipts = semi(t["receipts"].select("siFiles", *LISTS.values()), visits, "siFiles")
+    rows = shred_lists(receipts, LISTS)
+    is_top, zero = c("CatLevel") == 0, F.lit("0")
+    return rows.select(
+        "siFiles",
+        "CatLevel",
+        F.when(is_top, c("F1")).otherwise(zero).alias("TopCat"),
+        F.when(is_top, zero).otherwise(c("F1")).alias("SubCat1"),
+        F.when(is_top, zero).otherwise(c("F2")).alias("SubCat2"),
+    )
 
 
 def order_sheet(t: Tables, visits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.functions.dates import shamsi_parts, to_shamsi, ymd
+from wardflow.functions.dates import shamsi_number, to_shamsi, ymd
 
 MAX_YEARS = 400
 
@@ -30,7 +30,7 @@ def build_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
         "MiladiDate",
         ymd(F.col("MiladiDate")).alias("Miladi"),
         to_shamsi(F.col("MiladiDate")).alias("Shamsi"),
-        shamsi_parts(F.col("MiladiDate"))[2].cast("int").alias("DayInMonth"),
+        (shamsi_number(F.col("MiladiDate")) % 100).cast("int").alias("DayInMonth"),
         (F.dayofweek("MiladiDate") % 7 + 1).alias("DayInWeek"),
     )
 
