@@ -467,22 +467,25 @@ class StarTables(Mapping):
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.base = ParquetTables(spark, folder)
+        self.open: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.open:
+            self.open[name] = self._derive(name)
+        return self.open[name]
+
+    def _derive(self, name: str) -> DataFrame:
         if name == "calendar":
             return build_calendar(self.spark, *CALENDAR_SPAN)
         if name in BASE_TABLES:
             return self.base[name]
         source, cond, cols = TABLES[name]
-        df = self.base[source]
+        df = self[source]
         if cond is not None:
             df = df.where(cond)
-        return df.select(
-            *[
-                (to_shamsi(F.expr(e)) if isinstance(e, Shamsi) else F.expr(e)).alias(c)
-                for c, e in cols.items()
-            ]
-        )
+        df = df.selectExpr(*[f"{e} AS `{c}`" for c, e in cols.items()])
+        days = [c for c, e in cols.items() if isinstance(e, Shamsi)]
+        return df.withColumns({c: to_shamsi(F.col(c)) for c in days}) if days else df
 
     def __iter__(self):
         return iter([*BASE_TABLES, *TABLES, "calendar"])

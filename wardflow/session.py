@@ -18,6 +18,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        # Wide projections: generated methods beyond 8000 bytes are never compiled
+        # to machine code, so Spark should not fuse whole stages that large.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # No Python call sites per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
