@@ -22,9 +22,14 @@ ROLES = {"Photo": "PhotoTitle", "Editor": "EditorTitle", "Checker": "Title"}
 
 
 def order_sheet_rows(t: Tables, visits: DataFrame) -> DataFrame:
-    """The three XML lists of each visit as rows with level and title numbers."""
+    """The three XML lists of each visit as rows with level and title numbers.
+
+    Receipts are spread by visit while they are still one row each: parsing runs
+    on all cores, and the later grouping by visit needs no further shuffle of the
+    many parsed rows as long as the titles are small enough to be broadcast.
+    """
     receipts = semi(t["receipts"].select("siFiles", *LISTS.values()), visits, "siFiles")
-    rows = shred_lists(receipts, LISTS)
+    rows = shred_lists(receipts.repartition("siFiles"), LISTS)
     is_top, zero = c("CatLevel") == 0, F.lit("0")
     return rows.select(
         "siFiles",
