@@ -9,7 +9,7 @@ from wardflow.bindings.registry import query
 from wardflow.functions import dates, text
 from wardflow.operators import aggs, maintenance as dm
 from wardflow.operators.joins import split_rows
-from wardflow.operators.workflow import TIMES, apply_3d_transition
+from wardflow.operators.workflow import TIMES, apply_3d_transition, paid_events
 
 c = F.col
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -341,3 +341,16 @@ def _workflow_sql() -> str:
 def _(t):
     table, _ = apply_3d_transition(t["waits_3d"], t["step_events"])
     return table.select("siFiles", "Status", "LastStatus", *[stamp(x) for x in TIMES])
+
+
+@query(
+    "dm_13_paid_3d",
+    f"""WITH p AS (SELECT DISTINCT siFiles FROM waits WHERE Status = 8)
+      SELECT x.siFiles, CASE WHEN p.siFiles IS NOT NULL AND x.Status < 16 THEN 16 ELSE x.Status END AS Status,
+        CASE WHEN p.siFiles IS NOT NULL AND x.Status < 16 THEN '{AS_OF}' ELSE strftime(x.PaidTime, '%Y-%m-%d %H:%M:%S') END AS PaidTime
+      FROM waits_3d x LEFT JOIN p ON p.siFiles = x.siFiles""",
+)
+def _(t):
+    chg = t["waits"].where(c("Status") == 8).select("siWait", F.lit(16).alias("Status"))
+    events = paid_events(chg, t["waits"], t["waits_3d"], now())
+    return apply_3d_transition(t["waits_3d"], events)[0].select("siFiles", "Status", stamp("PaidTime"))

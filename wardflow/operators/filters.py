@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.nulls import null_if_blank
+from wardflow.operators.joins import anti, semi
 
 # The five states of a waiting list entry, one bit each.
 STATE_BITS = (1, 2, 4, 8, 16)
@@ -17,7 +18,7 @@ STATE_BITS = (1, 2, 4, 8, 16)
 
 def lookup(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key occurs in ``keys``."""
-    return df.join(keys.select(*on).distinct(), on, "left_semi")
+    return semi(df, keys, on)
 
 
 def fold_conditions(conditions: list[Column]) -> Column:
@@ -105,8 +106,7 @@ def membership(df: DataFrame, keys: DataFrame, on: str, mode: str) -> DataFrame:
     """``in``, ``out`` or ``all`` with respect to a key list."""
     if mode == "all":
         return df
-    how = {"in": "left_semi", "out": "left_anti"}[mode]
-    return df.join(keys.select(on).where(F.col(on).isNotNull()).distinct(), on, how)
+    return {"in": semi, "out": anti}[mode](df, keys.where(F.col(on).isNotNull()), on)
 
 
 def multi_text_search(cols: list[Column], word1: str | None, word2: str | None, mode: str) -> Column:

@@ -29,18 +29,42 @@ def star(fact: DataFrame, dims: list[tuple]) -> DataFrame:
     return reduce(lambda df, dim: df.join(dim[0], dim[1], dim[2]), dims, fact)
 
 
-def left_join_where(left_df: DataFrame, right_df: DataFrame, on, cond: Column) -> DataFrame:
+def unique_keys(keys: DataFrame, on) -> DataFrame:
+    """Each key once.
+
+    Semi and anti joins can split a hot key of their left side only, so repeated
+    keys on the right are combined on the map side first.  The join needs the
+    same partitioning, so this costs no shuffle of its own.
+    """
+    cols = [on] if isinstance(on, str) else list(on)
+    return keys.select(*cols).distinct()
+
+
+def dim_left_join(dim: DataFrame, facts: DataFrame, on: str) -> DataFrame:
+    """``dim LEFT JOIN facts`` for facts that may pile up on one key.
+
+    A left join can neither split nor broadcast around a hot key of its right
+    side.  As an inner join led by the facts it can, and the dimension rows
+    without facts are added.
+    """
+    matched = facts.join(dim, on, "inner")
+    lonely = anti(dim, facts, on)
+    return matched.unionByName(lonely, allowMissingColumns=True)
+
+
+def left_join_where(left_df: DataFrame, right_df: DataFrame, on: str, cond: Column) -> DataFrame:
     """Left join whose right side is restricted first; no left row is lost."""
-    return left_df.join(right_df.where(cond), on, "left")
+    return dim_left_join(left_df, right_df.where(cond), on)
 
 
 def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    return df.join(keys, on, "left_semi")
+    """Rows with a partner among the keys."""
+    return df.join(unique_keys(keys, on), on, "left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     """Rows without a partner (``LEFT JOIN ... IS NULL``)."""
-    return df.join(keys, on, "left_anti")
+    return df.join(unique_keys(keys, on), on, "left_anti")
 
 
 def not_in(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -52,7 +76,7 @@ def not_in(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """
     n_keys = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_nulls = keys.agg(F.count(F.when(F.col(on).isNull(), 1)).alias("n")).scalar()
-    rest = df.join(keys.select(on), on, "left_anti")
+    rest = anti(df, keys, on)
     return rest.where((n_keys == 0) | ((n_nulls == 0) & F.col(on).isNotNull()))
 
 
@@ -85,7 +109,7 @@ def match_entities(a: DataFrame, b: DataFrame, parts_a: list[Column], parts_b: l
 
 def insert_filter(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """New rows whose key the old table lacks; NULL keys of ``old`` are ignored."""
-    known = old.select(key).where(F.col(key).isNotNull())
+    known = unique_keys(old.where(F.col(key).isNotNull()), key)
     return new.join(known.hint("shuffle_hash"), key, "left_anti")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.dates import add_time, hhmm
 from wardflow.functions.nulls import nvl
+from wardflow.operators.joins import anti, semi
 from wardflow.operators.windows import numbered
 
 NEW = "new_"
@@ -67,7 +68,7 @@ def upsert(df: DataFrame, chg: DataFrame, key: str) -> DataFrame:
 
 def delete_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Remove the rows of a key or of a parent key (DM-4)."""
-    return df.join(keys.select(key), key, "left_anti")
+    return anti(df, keys, key)
 
 
 def update_from(df: DataFrame, src: DataFrame, key: str, mapping: dict[str, Column]) -> DataFrame:
@@ -81,8 +82,7 @@ def update_from(df: DataFrame, src: DataFrame, key: str, mapping: dict[str, Colu
 
 def insert_missing(df: DataFrame, src: DataFrame, key: str) -> DataFrame:
     """Add the source rows whose key the table lacks (DM-6)."""
-    known = df.select(key).where(F.col(key).isNotNull())
-    fresh = src.join(known, key, "left_anti")
+    fresh = anti(src, df.where(F.col(key).isNotNull()), key)
     return df.unionByName(fresh.select(*[c for c in src.columns if c in df.columns]), allowMissingColumns=True)
 
 
@@ -109,7 +109,7 @@ def refresh_derived(df: DataFrame, derived: DataFrame, key: str, col: str, affec
 
 def snapshot(df: DataFrame, keys: DataFrame, key: str, log_type: str, as_of: Column) -> DataFrame:
     """Copies of the named rows with time and type of the change (DM-9)."""
-    return df.join(keys.select(key), key, "left_semi").select(
+    return semi(df, keys, key).select(
         "*", as_of.alias("LogDateTime"), F.lit(log_type).alias("LogType")
     )
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.operators.joins import semi
+
 # The steps, and the time column each step sets.
 STEPS = (1, 5, 10, 16, 20)
 TIMES = ("DeliveryTime", "TakePhoto", "DenseCloudTime", "PaidTime", "Object3DTime")
@@ -145,3 +147,17 @@ def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int =
         "siFiles", new["wait"].alias("WaitStatus"), new["reset"].alias("WaitReset")
     )
     return table, waits
+
+
+def paid_events(changes: DataFrame, waits: DataFrame, current: DataFrame, as_of: Column) -> DataFrame:
+    """Workflow events that follow from waiting entries set to their last step.
+
+    A visit whose 3-D work has not reached step 16 is moved there when its
+    waiting entry is settled; ``changes`` is the input of ``apply_status``.
+    """
+    settled = changes.where(F.col("Status") == 16).select("siWait")
+    visits = semi(waits.select("siWait", "siFiles"), settled, "siWait")
+    behind = current.where(F.col("Status") < 16)
+    return semi(visits, behind, "siFiles").select(
+        "siFiles", F.col("siWait").alias("seq"), F.lit(16).alias("step"), F.lit(0).alias("undo"), as_of.alias("at")
+    )

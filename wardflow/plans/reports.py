@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardflow.functions.nulls import decode, full_name, null_if_blank, null_if_zero, nvl
 from wardflow.functions.numbers import reduced_price
 from wardflow.operators.aggs import conditional_sums, period_pivot, rollup_pivot
-from wardflow.operators.joins import semi
+from wardflow.operators.joins import dim_left_join, semi
 from wardflow.operators.projections import resolve_tariff
 from wardflow.operators.setops import union_distinct, with_totals
 from wardflow.operators.windows import line_no, numbered, period_starts
@@ -293,7 +293,7 @@ def extra_price_list(t: Tables, visits: DataFrame) -> DataFrame:
     asked = visits.select("siFiles").distinct().withColumn("_asked", F.lit(True))
     phases = t["files"].select("siFiles", "Bef_Aft")
     rows = (
-        tariffs.join(services, "siCommonTariff", "left")
+        dim_left_join(tariffs, services, "siCommonTariff")
         .join(asked, "siFiles", "left")
         .where(c("_asked") | (c("ForceExtra") == 1))
         .join(phases, "siFiles", "left")

@@ -22,7 +22,7 @@ from wardflow.functions.nulls import (
 )
 from wardflow.operators.aggs import code_pivot, count_where
 from wardflow.operators.filters import mask_filter
-from wardflow.operators.joins import semi
+from wardflow.operators.joins import anti, semi
 from wardflow.operators.setops import union_distinct
 from wardflow.operators.sorting import failed_first, mode_sort, priority_sort
 
@@ -314,9 +314,8 @@ def deliverable_channels(t: Tables, visits: DataFrame) -> DataFrame:
 
     Of several finished entries the one with the highest number counts.
     """
-    albums = t["albums"].select("siFiles").distinct()
     rows = semi(waiting_list(t), visits, "siFiles").where((c("Status") == DONE) & _ready())
-    last = semi(rows, albums, "siFiles").groupBy("siFiles").agg(
+    last = semi(rows, t["albums"], "siFiles").groupBy("siFiles").agg(
         F.max("siWait").alias("_w"),
         F.max_by(nvl(c("IsActiveEMail"), 0), "siWait").alias("_mail"),
         F.max_by(nvl(c("IsActiveTelegClinic"), 0), "siWait").alias("_message"),
@@ -449,4 +448,4 @@ def station_conflicts(waits: DataFrame, stations: DataFrame, machine: str, step:
 def photo_conflicts(t: Tables, waits: DataFrame, stations: DataFrame) -> DataFrame:
     """Conflicts at the photo stations; visits with a 3-D photo no longer count (CQ-16)."""
     shot = t["waits_3d"].where(c("TakePhoto").isNotNull()).select("siFiles")
-    return station_conflicts(waits.join(shot, "siFiles", "left_anti").select(*waits.columns), stations, "MachinePhoto", 2)
+    return station_conflicts(anti(waits, shot, "siFiles").select(*waits.columns), stations, "MachinePhoto", 2)
