@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wardflow.bindings.basics import AS_OF, SHORT_DATES, now, short_dates
@@ -10,6 +12,7 @@ from wardflow.functions import dates, text
 from wardflow.operators import aggs, maintenance as dm
 from wardflow.operators.joins import split_rows
 from wardflow.operators.workflow import TIMES, apply_3d_transition, paid_events
+from wardflow.plans import upkeep
 
 c = F.col
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -354,3 +357,78 @@ def _(t):
     chg = t["waits"].where(c("Status") == 8).select("siWait", F.lit(16).alias("Status"))
     events = paid_events(chg, t["waits"], t["waits_3d"], now())
     return apply_3d_transition(t["waits_3d"], events)[0].select("siFiles", "Status", stamp("PaidTime"))
+
+
+# ------------------------------------------------------ multi-table upkeep
+
+@query(
+    "dm_09_cancel_accounts",
+    f"""WITH g AS (SELECT * FROM accounts WHERE Type = 1 AND RoundAmount >= 5), v AS (SELECT DISTINCT siFiles FROM g)
+      SELECT 'accounts' AS part, siAccount AS key, NULL AS value FROM accounts WHERE siAccount NOT IN (SELECT siAccount FROM g)
+      UNION ALL SELECT 'account_log', siAccount, PayableFee FROM account_log
+      UNION ALL SELECT 'account_log', siAccount, PayableFee FROM g
+      UNION ALL SELECT 'service_log', siAccount, UsedPrice FROM service_log
+      UNION ALL SELECT 'service_log', g.siAccount, s.UsedPrice FROM services s JOIN g ON g.siFiles = s.siFiles
+      UNION ALL SELECT 'waits', siWait, CASE WHEN siFiles IN (SELECT siFiles FROM v) THEN 8 ELSE Status END FROM waits
+      UNION ALL SELECT 'waits_3d', siFiles, CASE WHEN Status = 16 AND siFiles IN (SELECT siFiles FROM v) THEN LastStatus ELSE Status END FROM waits_3d""",
+)
+def _(t):
+    gone = t["accounts"].where((c("Type") == 1) & (c("RoundAmount") >= 5)).select("siAccount")
+    new = upkeep.cancel_accounts(t, gone, "cancel", now())
+    shown = {
+        "accounts": ("siAccount", F.lit(None)),
+        "account_log": ("siAccount", c("PayableFee")),
+        "service_log": ("siAccount", c("UsedPrice")),
+        "waits": ("siWait", c("Status")),
+        "waits_3d": ("siFiles", c("Status")),
+    }
+    parts = [
+        new[n].select(F.lit(n).alias("part"), c(key).alias("key"), value.cast("bigint").alias("value"))
+        for n, (key, value) in shown.items()
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query(
+    "dm_05_link_doctors",
+    f"""WITH k AS (SELECT f.FileID AS id, f.siDoctor AS doc, rtrim(concat(d.FName, ' ', d.LName)) AS name FROM files f LEFT JOIN doctors d ON d.siDoctors = f.siDoctor WHERE f.Is3D = 1)
+      SELECT FileID, coalesce(doc, siDoctor) AS siDoctor, CASE WHEN id IS NULL THEN DoctorName ELSE name END AS DoctorName, CASE WHEN id IS NULL THEN AutoStatus ELSE 2 END AS AutoStatus,
+        CASE WHEN id IS NOT NULL AND Status = 3 AND AnswerDate IS NOT NULL THEN '{AS_OF}' ELSE strftime(AnswerDate, '%Y-%m-%d %H:%M:%S') END AS AnswerDate
+      FROM lab_patients LEFT JOIN k ON id = FileID""",
+)
+def _(t):
+    links = t["files"].where(c("Is3D") == 1).select("FileID", "siDoctor")
+    out = upkeep.link_doctors(t, links, now())
+    return out.select("FileID", "siDoctor", "DoctorName", "AutoStatus", stamp("AnswerDate"))
+
+
+@query(
+    "dm_05_reset_links",
+    """WITH k AS (SELECT a.fCode AS code, b.fFirstName AS name FROM lab_acceptances a JOIN lab_doctors b ON b.fCode = a.fCodeDoctor WHERE a.fPutAnswer = 1)
+      SELECT FileID, CASE WHEN code IS NULL THEN DoctorName ELSE name END AS DoctorName, CASE WHEN code IS NULL THEN siDoctor END AS siDoctor, CASE WHEN code IS NULL THEN AutoStatus END AS AutoStatus,
+        CASE WHEN code IS NULL THEN TryCount END AS TryCount, CASE WHEN code IS NULL THEN TelegramStatus END AS TelegramStatus
+      FROM lab_patients LEFT JOIN k ON code = fCode""",
+)
+def _(t):
+    codes = t["lab_acceptances"].where(c("fPutAnswer") == 1).select("fCode")
+    return upkeep.reset_links(t, codes).select(
+        "FileID", "DoctorName", "siDoctor", "AutoStatus", "TryCount", "TelegramStatus"
+    )
+
+
+@query(
+    "dm_03_link_patients",
+    """WITH k AS (SELECT f.FileID AS id, a.*, f.DoctorName AS doc FROM files f JOIN lab_acceptances a ON a.fCode = f.siFiles + 7000000 WHERE f.Bef_Aft = 0 AND f.PaidAfter = 1)
+      SELECT coalesce(p.FileID, k.id) AS FileID, CASE WHEN k.id IS NULL THEN p.fCode ELSE k.fCode END AS fCode, CASE WHEN k.id IS NULL THEN p.Mobile ELSE k.fMobile END AS Mobile,
+        CASE WHEN k.id IS NULL THEN p.SendType ELSE CASE k.fEmergency WHEN 1 THEN 0 WHEN 0 THEN 1 END END AS SendType, CASE WHEN k.id IS NULL THEN p.DoctorName ELSE k.doc END AS DoctorName,
+        CASE WHEN k.id IS NULL THEN p.Status WHEN k.fCancellation = 1 THEN 2 WHEN k.fPutAnswer = 1 THEN 3 ELSE 1 END AS Status,
+        CASE WHEN p.FileID IS NULL THEN 0 ELSE p.TelegramStatus END AS TelegramStatus
+      FROM lab_patients p FULL JOIN k ON k.id = p.FileID""",
+)
+def _(t):
+    links = t["files"].where((c("Bef_Aft") == 0) & (c("PaidAfter") == 1)).select(
+        "FileID", (c("siFiles") + 7000000).alias("fCode")
+    )
+    return upkeep.link_patients(t, links).select(
+        "FileID", "fCode", "Mobile", "SendType", "DoctorName", "Status", "TelegramStatus"
+    )
