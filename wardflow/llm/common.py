@@ -47,6 +47,30 @@ def drop_stored(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+SIEVE_WORDS = 1 << 14
+
+
+def sieve(wanted: DataFrame, column: str) -> Column:
+    """A bitmap over hashes in ``column``, of fixed size whatever the rows, as a scalar subquery.
+
+    Rows that do not pass it need not be shuffled to a join with ``wanted``; where
+    many are wanted it fills up, and then lets all pass.
+    """
+    words = wanted.groupBy(F.floor(F.pmod(F.col(column), F.lit(SIEVE_WORDS * 64)) / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) AS int))")).alias("m")
+    )
+    every = wanted.sparkSession.range(SIEVE_WORDS).select(F.col("id").cast("int").alias("w"))
+    filled = F.array_sort(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0)).alias("m"))))
+    dense = every.join(words, "w", "left").agg(F.transform(filled, lambda x: x["m"]).alias("bits"))
+    return stored(dense, "sieve").scalar()
+
+
+def passes(bits: Column, column: str) -> Column:
+    """Whether a hash in ``column`` may be one of those that ``sieve`` was made from."""
+    word = F.get(bits, F.floor(F.pmod(F.col(column), F.lit(SIEVE_WORDS * 64)) / 64).cast("int"))
+    return word.bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) AS int))")) != 0
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

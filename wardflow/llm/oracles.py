@@ -4,6 +4,38 @@ from __future__ import annotations
 
 CHECKS: dict[str, str] = {}
 
+CHECKS["op2_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line
+  FROM documents
+), sets AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(content, '[^\x20\x09-\x0D]+'))) AS w
+  FROM lines WHERE regexp_matches(content, '[^\x20\x09-\x0D]')
+), firsts AS (
+  SELECT w, len(w) AS n, min((doc_id, line)) AS first, row_number() OVER () AS id FROM sets GROUP BY w
+), words AS (
+  SELECT id, n, unnest(w) AS t FROM firsts
+), rarity AS (
+  SELECT t, row_number() OVER (ORDER BY count(*), t) AS r FROM words GROUP BY t
+), heads AS (
+  SELECT id, n, r FROM (SELECT id, n, r, row_number() OVER (PARTITION BY id ORDER BY r) AS p FROM words JOIN rarity USING (t))
+  WHERE p <= n - ceil(n * 4 / 5) + 1
+), pairs AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM heads a JOIN heads b ON a.r = b.r AND a.id <> b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+), hits AS (
+  SELECT DISTINCT b AS id FROM pairs JOIN firsts x ON x.id = a JOIN firsts y ON y.id = b
+  WHERE x.first < y.first AND 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)
+), verdicts AS (
+  SELECT s.doc_id, s.line, f.first < (s.doc_id, s.line) OR h.id IS NOT NULL AS gone
+  FROM sets s JOIN firsts f ON s.w = f.w LEFT JOIN hits h ON h.id = f.id
+), texts AS (
+  SELECT l.doc_id, count(v.line) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(content, chr(10) ORDER BY l.line) FILTER (gone IS DISTINCT FROM true), '') AS kept
+  FROM lines l LEFT JOIN verdicts v ON v.doc_id = l.doc_id AND v.line = l.line GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256 FROM texts
+"""
+
 CHECKS["op6_source_mix"] = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

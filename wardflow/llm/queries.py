@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import chat, mixing, packing, quality
+from wardflow.llm import bagminhash, chat, linededup, mixing, packing, quality
 from wardflow.llm.common import read
 from wardflow.llm.oracles import CHECKS
 
@@ -21,6 +21,15 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.deduplicated(read(spark, folder, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return found.select(
+        "doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), kept.alias("kept_sha256")
+    )
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, folder, "documents")))
@@ -32,6 +41,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+@query
+def op5_bagminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.near_duplicates(read(spark, folder, "documents"))
+
+
 @query
 def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
