@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import bagminhash, chat, linededup, mixing, packing, quality
+from wardflow.llm import bagminhash, chat, linededup, mixing, packing, pitmanyor, quality, topk
 from wardflow.llm.common import read
 from wardflow.llm.oracles import CHECKS
 
@@ -51,6 +51,11 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+@query
+def op8_pivot_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(read(spark, folder, "embeddings"))
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
@@ -62,3 +67,8 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.format_conversations(turns))
+
+
+@query
+def op10_pitman_yor_score(spark: SparkSession, folder: str) -> DataFrame:
+    return pitmanyor.score(read(spark, folder, "documents"))
