@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import bagminhash, chat, linededup, mixing, packing, pitmanyor, quality, topk
+from wardflow.llm import bagminhash, chat, linededup, mixing, packing, pii, pitmanyor, quality, topk
 from wardflow.llm.common import read
 from wardflow.llm.oracles import CHECKS
 
@@ -21,6 +21,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@query
+def op1_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(read(spark, folder, "documents"))
+
+
 @query
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = linededup.deduplicated(read(spark, folder, "documents"))
