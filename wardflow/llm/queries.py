@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import bagminhash, chat, linededup, mixing, packing, pii, pitmanyor, quality, topk
+from wardflow.llm import bagminhash, chat, linededup, mixing, packing, pii, pitmanyor, quality, runindex, topk
 from wardflow.llm.common import read
 from wardflow.llm.oracles import CHECKS
 
@@ -56,6 +56,12 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+@query
+def op7_run_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = runindex.deduplicated(read(spark, folder, "documents"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 @query
 def op8_pivot_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(read(spark, folder, "embeddings"))
