@@ -130,7 +130,8 @@ def test_phones(spark, value, mobile):
 
 
 def test_letters(spark):
-    assert one(spark, text.to_arabic(c("s")), s="کی" * 80) == "كي" * 50
+    assert one(spark, text.to_arabic(c("s")), s="کی" * 80) == "كي" * 80
+    assert one(spark, text.to_arabic(c("s"), limit=100), s="کی" * 80) == "كي" * 50
     assert one(spark, text.to_persian(c("s")), s="كي" * 80) == "کی" * 80
     assert one(spark, text.match_key(c("s"), c("m")), s="a b", m=None) == "ab"
 
@@ -279,3 +280,33 @@ def test_ordered_ranges_need_a_shared_folder_on_a_cluster(spark):
     # Locally the setting or a temporary folder is used.
     assert windows.numbered(spark.range(5).toDF("k"), ["k"]).count() == 5
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_long_match_keys_differ_after_many_characters(spark):
+    from wardflow.operators.joins import match_entities
+
+    a = spark.createDataFrame([(1, "L" * 100 + "A")], "i int, k string")
+    b = spark.createDataFrame([(2, "L" * 100 + "B"), (3, "L" * 100 + "A")], "j int, k2 string")
+    got = match_entities(a, b, [c("k")], [c("k2")]).collect()
+    assert [(r.i, r.j) for r in got] == [(1, 3)]
+
+
+def test_long_texts_are_joined_whole(spark):
+    from wardflow.operators.aggs import concat_ordered
+
+    df = spark.range(1000).select(F.lit(1).alias("k"), F.lpad(c("id").cast("string"), 10, "x").alias("v"), "id")
+    text_ = concat_ordered(df, "k", c("v"), ["id"], ",").first()["List"]
+    assert text_ == ",".join(str(i).rjust(10, "x") for i in range(1000))
+
+
+def test_repeated_changes_never_multiply_rows(spark):
+    from wardflow.operators import maintenance as dm
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    chg = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "p", 1), (3, "q", 2), (None, "m", 1)], "k int, v string, n int")
+    updated = dm.update_by_key(old, chg, "k", ["v"], order=["n"])
+    assert sorted(map(tuple, updated.collect()), key=str) == [(1, "x"), (2, "b"), (None, "n")]
+    changed = dm.upsert(old.where("k IS NOT NULL"), chg.select("k", "v", "n").where("k IS NOT NULL"), "k", order=["n"])
+    assert sorted(map(tuple, changed.collect())) == [(1, "x"), (2, "b"), (3, "q")]
+    added = dm.insert_missing(old, chg.select("k", "v"), "k")
+    assert sorted(map(tuple, added.collect()), key=str) == [(1, "a"), (2, "b"), (3, "q"), (None, "m"), (None, "n")]

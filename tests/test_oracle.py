@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_point
 from tests.oracle import compare, connect
+from wardflow.bindings import catalog
 
-QUERIES = entry_point.queries()
-CHECKS = entry_point.oracle_sql()
+QUERIES = {name: catalog.bound(name) for name in catalog.QUERIES}
+CHECKS = {name: catalog.check_sql(name) for name in catalog.CHECKS}
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +27,7 @@ def test_same_rows(spark, con, folder, name):
 def test_entry_runs(spark):
     df = entry_point.entry(spark)
     assert df.columns[:2] == ["siDoctor", "DoctorName"] and df.count() > 0
+
+
+def test_entry_registers_all():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(CHECKS) <= set(entry_point.oracle_sql())

@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_point
+from wardflow.bindings import catalog
 
-QUERIES = entry_point.queries()
+QUERIES = {name: catalog.bound(name) for name in catalog.QUERIES}
 FORBIDDEN = r"PythonUDF|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas|MapInPandas|CartesianProduct|BroadcastNestedLoopJoin"
 
 
@@ -37,3 +37,21 @@ def test_total_order_is_not_one_task(spark, folder, name):
     plan = plan_of(QUERIES[name](spark, folder))
     for single in re.finditer(r"Exchange SinglePartition[^\n]*\n([^\n]*)", plan):
         assert re.search(r"HashAggregate|Project|ObjectHashAggregate|SortAggregate", single.group(1)), plan
+
+
+def test_no_forced_join_hints():
+    """The size-checked automatic broadcast decides, except for summaries with one row per range."""
+    from pathlib import Path
+
+    import wardflow
+
+    root = Path(wardflow.__file__).parent
+    for file in [p for part in ("functions", "sources", "operators", "plans", "bindings") for p in (root / part).glob("*.py")]:
+        hints = re.findall(r"F\.broadcast\((\w+)|\.hint\(", file.read_text())
+        assert set(hints) <= ({"offsets", "carried", "after"} if file.name == "windows.py" else set()), file
+
+
+def test_row_numbers_shuffle_full_rows_once(spark, folder):
+    """After the checkpoint only the summary of ranges is exchanged."""
+    plan = plan_of(QUERIES["wn_01_numbered"](spark, folder))
+    assert "hashpartitioning(_range" not in plan.replace("_rows", "").split("BroadcastExchange")[0]

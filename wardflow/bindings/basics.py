@@ -416,7 +416,7 @@ def _(t):
 
 @query(
     "st_03_letters",
-    """SELECT siDoctors, left(replace(replace(FName, 'ک', 'ك'), 'ی', 'ي'), 100) AS Arabic,
+    """SELECT siDoctors, replace(replace(FName, 'ک', 'ك'), 'ی', 'ي') AS Arabic,
          replace(replace(replace(replace(FName, 'ک', 'ك'), 'ی', 'ي'), 'ك', 'ک'), 'ي', 'ی') AS Persian FROM doctors""",
 )
 def _(t):
@@ -465,8 +465,7 @@ def _(t):
 
 @query(
     "st_07_phones",
-    """WITH p AS (SELECT siFiles, Phone1, left(replace(replace(';' || Phone1, ';0', ''), ';', ''), 1) AS k FROM files)
-       SELECT siFiles, CASE WHEN k <> '9' THEN Phone1 END AS Phone, CASE WHEN k = '9' THEN Phone1 END AS Mobile FROM p""",
+    """SELECT siFiles, if(NOT regexp_matches(';' || Phone1, '^(;0?)+9'), Phone1, NULL) AS Phone, if(regexp_matches(';' || Phone1, '^(;0?)+9'), Phone1, NULL) AS Mobile FROM files""",
 )
 def _(t):
     phone, mobile = text.classify_phone(c("Phone1"))
@@ -504,7 +503,7 @@ def _(t):
 )
 def _(t):
     daily = t["orders"].groupBy(c("o_orderdate").cast("date").alias("d")).agg(F.count(F.lit(1)).alias("visits"))
-    return daily.join(F.broadcast(t["calendar"]), c("d") == c("MiladiDate")).select(
+    return daily.join(t["calendar"], c("d") == c("MiladiDate")).select(
         "Shamsi", "DayInMonth", "DayInWeek", "visits"
     )
 

@@ -252,7 +252,7 @@ def _(t):
 @query(
     "ag_09_concat_ordered",
     """WITH r AS (SELECT n_regionkey, left(n_name || '/' || s_name, 9) AS v, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-       SELECT n_regionkey, left(string_agg(v, ' -- ' ORDER BY s_suppkey, v), 4000) AS List FROM r GROUP BY n_regionkey""",
+       SELECT n_regionkey, string_agg(v, ' -- ' ORDER BY s_suppkey, v) AS List FROM r GROUP BY n_regionkey""",
 )
 def _(t):
     nations = t["nation"].select(c("n_nationkey").alias("s_nationkey"), "n_regionkey", "n_name")
@@ -430,22 +430,22 @@ def _(t):
 @query(
     "sl_04_priority",
     """SELECT siWait, TelegramStatus FROM waits
-       ORDER BY CASE WHEN coalesce(TelegramStatus, 0) >= 3 THEN NULL ELSE coalesce(TelegramStatus, 0) END NULLS FIRST, WaitDate DESC, siWait LIMIT 500""",
+       ORDER BY CASE WHEN coalesce(TelegramStatus, 0) >= 3 THEN NULL ELSE coalesce(TelegramStatus, 0) END NULLS FIRST, WaitDate DESC, siWait""",
 )
 def _(t):
     ordered = sorting.priority_sort(t["waits"], sorting.failed_first(c("TelegramStatus")), ["-WaitDate", "siWait"])
-    return ordered.limit(500).select("siWait", "TelegramStatus")
+    return ordered.select("siWait", "TelegramStatus")
 
 
 @query(
     "sl_05_mode_sort",
-    """SELECT * FROM (SELECT 'mail' AS mode, siWait FROM waits ORDER BY SentEMail NULLS FIRST, WaitDate DESC, siWait LIMIT 40) AS a
-       UNION ALL SELECT * FROM (SELECT 'step' AS mode, siWait FROM waits ORDER BY Status, WaitDate DESC, siWait LIMIT 40) AS b""",
+    """SELECT * FROM (SELECT 'mail' AS mode, siWait FROM waits ORDER BY SentEMail NULLS FIRST, WaitDate DESC, siWait) AS a
+       UNION ALL SELECT * FROM (SELECT 'step' AS mode, siWait FROM waits ORDER BY Status, WaitDate DESC, siWait) AS b""",
 )
 def _(t):
     key_sets = {"mail": ["SentEMail", "-WaitDate", "siWait"], "step": ["Status", "-WaitDate", "siWait"]}
     parts = [
-        sorting.mode_sort(t["waits"], mode, key_sets).limit(40).select(F.lit(mode).alias("mode"), "siWait")
+        sorting.mode_sort(t["waits"], mode, key_sets).select(F.lit(mode).alias("mode"), "siWait")
         for mode in key_sets
     ]
     return parts[0].union(parts[1])

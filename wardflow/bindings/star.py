@@ -390,7 +390,13 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "FName": f"'F' || {text('o_orderkey % 97')}",
             "LName": f"'L' || {text('o_orderkey % 389')}",
             "Mobile": f"CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE '0912' || {text('o_orderkey')} END",
+            "Phone1": f"CASE WHEN o_custkey % 4 = 0 THEN '021' || {text('o_orderkey')} END",
             "SendType": "o_custkey % 2",
+            "SendStatus": "CASE o_custkey % 2 WHEN 0 THEN 'اورژانس' ELSE 'عادي' END",
+            "BirthYear": text("1330 + o_custkey % 60"),
+            "MedicalID": text("o_custkey % 1000"),
+            "Sex": "o_custkey % 2",
+            "SexTitle": "CASE o_custkey % 2 WHEN 0 THEN 'زن' ELSE 'مرد' END",
             "MiladiDate": "CAST(o_orderdate AS DATE)",
             "ReferDate": Shamsi("CAST(o_orderdate AS DATE)"),
             "DoctorName": f"'D' || {text('o_custkey')}",

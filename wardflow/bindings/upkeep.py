@@ -11,7 +11,7 @@ from wardflow.bindings.registry import query
 from wardflow.functions import dates, text
 from wardflow.operators import aggs, maintenance as dm
 from wardflow.operators.joins import split_rows
-from wardflow.operators.workflow import TIMES, apply_3d_transition, paid_events
+from wardflow.operators.workflow import TIMES, apply_3d_transition, apply_to_waits, paid_events
 from wardflow.plans import upkeep
 
 c = F.col
@@ -53,6 +53,18 @@ def _(t):
     return dm.update_by_key(files, chg, "siFiles", ["Subject", "Comment"])
 
 
+@query(
+    "dm_02_repeated_changes",
+    """SELECT c_custkey, CASE WHEN e.user_id IS NULL THEN c_mktsegment ELSE e.event_type END AS c_mktsegment
+       FROM customer LEFT JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) AS e
+         ON e.user_id = c_custkey AND e.n = 1""",
+)
+def _(t):
+    chg = t["events"].select(c("user_id").alias("c_custkey"), c("event_type").alias("c_mktsegment"), "ts", "event_id")
+    held = t["customer"].select("c_custkey", "c_mktsegment")
+    return dm.update_by_key(held, chg, "c_custkey", ["c_mktsegment"], order=["ts", "event_id"])
+
+
 @query(
     "dm_03_upsert",
     f"""SELECT coalesce(n.FileID, o.FileID) AS FileID, CASE WHEN n.FileID IS NULL THEN o.Status ELSE n.siHospital % 11 END AS Status,
@@ -310,8 +322,8 @@ def _(t):
     return dm.apply_status(t["waits"].select(*cols), chg)
 
 
-def _workflow_sql() -> str:
-    """Recursive walk over the events of each visit, one step per round."""
+def _walk_sql() -> str:
+    """Recursive walk over the events of each visit, one step per round; ``z`` has the last state."""
     times = ", ".join(TIMES)
 
     def time(name: str, step: int) -> str:
@@ -327,25 +339,50 @@ def _workflow_sql() -> str:
     moves = ", ".join(time(n, s) for n, s in zip(TIMES, (1, 5, 10, 16, 20)))
     return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY siFiles ORDER BY seq) AS n FROM step_events),
       w AS (
-        SELECT k.siFiles, CAST(0 AS BIGINT) AS n, t.siFiles IS NOT NULL AS here, t.Status, t.LastStatus, {', '.join('t.' + x for x in TIMES)}
+        SELECT k.siFiles, CAST(0 AS BIGINT) AS n, t.siFiles IS NOT NULL AS here, t.Status, t.LastStatus, {', '.join('t.' + x for x in TIMES)},
+          0 AS wait, false AS reset, CAST(NULL AS VARCHAR) AS photo
         FROM (SELECT siFiles FROM step_events UNION SELECT siFiles FROM waits_3d) k LEFT JOIN waits_3d t ON t.siFiles = k.siFiles
         UNION ALL
         SELECT a.siFiles, b.n,
           CASE WHEN NOT a.here THEN b.step = 1 ELSE NOT (b.step = 1 AND b.undo = 1 AND a.LastStatus IS NULL) END,
           CASE WHEN NOT a.here THEN CASE WHEN b.step = 1 THEN 1 END WHEN b.undo = 0 THEN b.step WHEN b.step = 10 THEN 5 ELSE a.LastStatus END,
           CASE WHEN NOT a.here THEN NULL WHEN b.step = 1 AND b.undo = 1 AND a.LastStatus IS NULL THEN NULL ELSE a.Status END,
-          {moves}
-        FROM w a JOIN e b ON b.siFiles = a.siFiles AND b.n = a.n + 1)
-      SELECT siFiles, Status, LastStatus, {', '.join(f"strftime({x}, '%Y-%m-%d %H:%M:%S') AS {x}" for x in TIMES)}
-      FROM (SELECT *, row_number() OVER (PARTITION BY siFiles ORDER BY n DESC) AS back FROM w) AS z WHERE back = 1 AND here"""
+          {moves},
+          CASE WHEN NOT a.here THEN a.wait WHEN b.step = 1 AND b.undo = 1 AND a.LastStatus IS NULL THEN 2 WHEN b.step = 10 AND b.undo = 0 THEN 4 ELSE a.wait END,
+          a.reset OR (a.here AND b.step = 1 AND b.undo = 1 AND a.LastStatus IS NULL),
+          coalesce(a.photo, CASE WHEN a.here AND b.step = 10 AND b.undo = 0 THEN strftime(b.at, '%H:%M') END)
+        FROM w a JOIN e b ON b.siFiles = a.siFiles AND b.n = a.n + 1),
+      z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY siFiles ORDER BY n DESC) AS back FROM w) AS y WHERE back = 1)"""
+
 
+WORKFLOW_SQL = f"""{_walk_sql()} SELECT siFiles, Status, LastStatus, {', '.join(f"strftime({x}, '%Y-%m-%d %H:%M:%S') AS {x}" for x in TIMES)} FROM z WHERE here"""
 
-@query("dm_14_workflow", _workflow_sql())
+
+@query("dm_14_workflow", WORKFLOW_SQL)
 def _(t):
     table, _ = apply_3d_transition(t["waits_3d"], t["step_events"])
     return table.select("siFiles", "Status", "LastStatus", *[stamp(x) for x in TIMES])
 
 
+@query("dm_14_small_slices", WORKFLOW_SQL)
+def _(t):
+    """The same with slices of five events, so that most visits have several."""
+    table, _ = apply_3d_transition(t["waits_3d"], t["step_events"], slice_size=5)
+    return table.select("siFiles", "Status", "LastStatus", *[stamp(x) for x in TIMES])
+
+
+@query(
+    "dm_14_waits",
+    f"""{_walk_sql()} SELECT v.siWait, v.siFiles, CASE WHEN z.wait > 0 THEN z.wait ELSE v.Status END AS Status, CASE WHEN z.wait > 0 AND z.reset THEN NULL ELSE v.WaitCall END AS WaitCall,
+        CASE WHEN z.wait > 0 AND z.reset THEN NULL ELSE v.MachinePhoto END AS MachinePhoto, coalesce(v.WaitPhoto, z.photo) AS WaitPhoto
+      FROM waits v LEFT JOIN z ON z.siFiles = v.siFiles""",
+)
+def _(t):
+    _, asked = apply_3d_transition(t["waits_3d"], t["step_events"])
+    waits = t["waits"].select("siWait", "siFiles", "Status", "WaitCall", "MachinePhoto", "WaitPhoto")
+    return apply_to_waits(waits, asked)
+
+
 @query(
     "dm_13_paid_3d",
     f"""WITH p AS (SELECT DISTINCT siFiles FROM waits WHERE Status = 8)
@@ -418,9 +455,11 @@ def _(t):
 
 @query(
     "dm_03_link_patients",
-    """WITH k AS (SELECT f.FileID AS id, a.*, f.DoctorName AS doc FROM files f JOIN lab_acceptances a ON a.fCode = f.siFiles + 7000000 WHERE f.Bef_Aft = 0 AND f.PaidAfter = 1)
+    """WITH k AS (SELECT f.FileID AS id, a.*, f.DoctorName AS doc, d.MedicalID AS med FROM files f JOIN doctors d ON d.siDoctors = f.siDoctor JOIN lab_acceptances a ON a.fCode = f.siFiles + 7000000 WHERE f.Bef_Aft = 0 AND f.PaidAfter = 1)
       SELECT coalesce(p.FileID, k.id) AS FileID, CASE WHEN k.id IS NULL THEN p.fCode ELSE k.fCode END AS fCode, CASE WHEN k.id IS NULL THEN p.Mobile ELSE k.fMobile END AS Mobile,
         CASE WHEN k.id IS NULL THEN p.SendType ELSE CASE k.fEmergency WHEN 1 THEN 0 WHEN 0 THEN 1 END END AS SendType, CASE WHEN k.id IS NULL THEN p.DoctorName ELSE k.doc END AS DoctorName,
+        p.Phone1, if(k.id IS NULL, p.SendStatus, ['عادي', 'اورژانس'][k.fEmergency + 1]) AS SendStatus, if(k.id IS NULL, p.BirthYear, k.fBirthDate[1:4]) AS BirthYear,
+        if(k.id IS NULL, p.MedicalID, k.med) AS MedicalID, if(k.id IS NULL, p.Sex, k.fSex) AS Sex, if(k.id IS NULL, p.SexTitle, ['زن', 'مرد'][k.fSex + 1]) AS SexTitle,
         CASE WHEN k.id IS NULL THEN p.Status WHEN k.fCancellation = 1 THEN 2 WHEN k.fPutAnswer = 1 THEN 3 ELSE 1 END AS Status,
         CASE WHEN p.FileID IS NULL THEN 0 ELSE p.TelegramStatus END AS TelegramStatus
       FROM lab_patients p FULL JOIN k ON k.id = p.FileID""",
@@ -430,5 +469,6 @@ def _(t):
         "FileID", (c("siFiles") + 7000000).alias("fCode")
     )
     return upkeep.link_patients(t, links).select(
-        "FileID", "fCode", "Mobile", "SendType", "DoctorName", "Status", "TelegramStatus"
+        "FileID", "fCode", "Mobile", "SendType", "DoctorName", "Status", "TelegramStatus",
+        "Phone1", "SendStatus", "BirthYear", "MedicalID", "Sex", "SexTitle",
     )

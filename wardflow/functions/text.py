@@ -10,7 +10,6 @@ from wardflow.functions.nulls import nvl
 # The two letter pairs that differ between code pages.
 PERSIAN_LETTERS = "کی"
 ARABIC_LETTERS = "كي"
-LETTER_LIMIT = 100
 
 
 def _occurrences(s: Column, ch: str) -> Column:
@@ -28,8 +27,8 @@ def count_lines(s: Column) -> Column:
     return nvl(_occurrences(F.substring(body, F.lit(1), F.length(body) - 1), "\n"), 0)
 
 
-def to_arabic(s: Column, limit: int | None = LETTER_LIMIT) -> Column:
-    """Persian kaf and yeh to their Arabic forms, cut at ``limit`` characters."""
+def to_arabic(s: Column, limit: int | None = None) -> Column:
+    """Persian kaf and yeh to their Arabic forms; ``limit`` cuts the text at so many characters."""
     out = F.translate(s, PERSIAN_LETTERS, ARABIC_LETTERS)
     return out if limit is None else F.substring(out, 1, limit)
 

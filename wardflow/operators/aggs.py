@@ -12,8 +12,6 @@ from wardflow.functions.numbers import cut
 BRANCH_STEP = 100_000_000
 YEAR_STEP = 1_000_000
 FIRST_NUMBER = 1000
-TEXT_LIMIT = 4000
-SALTS = 32
 
 
 def row_count(df: DataFrame, name: str = "Number") -> DataFrame:
@@ -85,35 +83,28 @@ def concat_ordered(
     order: list[str],
     sep: str,
     width: int | None = None,
-    limit: int = TEXT_LIMIT,
+    limit: int | None = None,
     name: str = "List",
 ) -> DataFrame:
-    """Values of a key in order, joined and cut at ``limit`` characters.
+    """Values of a key in order, joined; ``limit`` cuts the text at so many characters.
 
-    Blank values are skipped, one NULL makes the text of its key NULL.  Every
-    value that is kept adds at least one character, so no more than ``limit`` of
-    them can be seen: each salted part of a key passes on only its first
-    ``limit`` values, and a huge key never meets in one task.
+    Blank values are skipped, one NULL makes the text of its key NULL.  Rows are
+    range-partitioned by key and order, so a huge key spreads over several ranges;
+    each range joins its own part of a key, and only these texts meet.
     """
     v = value if width is None else cut(value, width)
     rows = df.select(key, v.cast("string").alias("_v"), *order)
     poisoned = rows.groupBy(key).agg(F.max(F.col("_v").isNull()).alias("_null"))
-    salted = rows.where(F.col("_v") != "").withColumn(
-        "_salt", F.pmod(F.xxhash64("_v", *order), F.lit(SALTS))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.where(F.col("_v") != "").repartitionByRange(parts, key, *order, "_v")
+    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "_v")
+    pieces = ranged.groupBy(key, F.spark_partition_id().alias("_range")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_v"]), sep).alias("_part")
     )
-    ranked = [*order, "_v"]
-    part = W.partitionBy(key, "_salt").orderBy(*ranked)
-    whole = W.partitionBy(key).orderBy(*ranked)
-    first = (
-        salted.withColumn("_n", F.row_number().over(part))
-        .where(F.col("_n") <= limit)
-        .withColumn("_n", F.row_number().over(whole))
-        .where(F.col("_n") <= limit)
+    whole = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("_range", "_part"))), lambda x: x["_part"]), sep
     )
-    items = F.transform(
-        F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda item: item["_v"]
-    )
-    texts = first.groupBy(key).agg(F.left(F.array_join(items, sep), F.lit(limit)).alias("_text"))
+    texts = pieces.groupBy(key).agg((whole if limit is None else F.left(whole, F.lit(limit))).alias("_text"))
     return poisoned.join(texts, key, "left").select(
         key,
         F.when(~F.col("_null"), F.coalesce("_text", F.lit(""))).alias(name),

@@ -1,8 +1,7 @@
 """Joins (JN-1 .. JN-12).
 
-No join carries a broadcast hint except those with the calendar, whose size is
-limited by construction.  For all others the size-checked automatic broadcast
-and the skew handling of adaptive execution apply.
+No join carries a hint: the size-checked automatic broadcast and the skew
+handling of adaptive execution apply.
 """
 
 from __future__ import annotations
@@ -33,8 +32,9 @@ def unique_keys(keys: DataFrame, on) -> DataFrame:
     """Each key once.
 
     Semi and anti joins can split a hot key of their left side only, so repeated
-    keys on the right are combined on the map side first.  The join needs the
-    same partitioning, so this costs no shuffle of its own.
+    keys on the right are combined on the map side first.  A shuffle join uses the
+    same partitioning; where the keys are few enough to be broadcast, combining
+    them is one small shuffle more.
     """
     cols = [on] if isinstance(on, str) else list(on)
     return keys.select(*cols).distinct()
@@ -92,7 +92,7 @@ def with_calendar(
     """Calendar columns for one date column, prefixed with the role name."""
     days = calendar.select(*[F.col(c).alias(f"{role}_{c}") for c in calendar.columns])
     key = F.col(col).cast("date") if on == "MiladiDate" else F.col(col)
-    return df.join(F.broadcast(days), key == F.col(f"{role}_{on}"), how)
+    return df.join(days, key == F.col(f"{role}_{on}"), how)
 
 
 def join_by_link(a: DataFrame, links: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
@@ -110,7 +110,7 @@ def match_entities(a: DataFrame, b: DataFrame, parts_a: list[Column], parts_b: l
 def insert_filter(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """New rows whose key the old table lacks; NULL keys of ``old`` are ignored."""
     known = unique_keys(old.where(F.col(key).isNotNull()), key)
-    return new.join(known.hint("shuffle_hash"), key, "left_anti")
+    return new.join(known, key, "left_anti")
 
 
 def orphans(relations: dict[str, tuple[DataFrame, DataFrame, str, str]]) -> DataFrame:

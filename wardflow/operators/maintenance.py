@@ -1,8 +1,10 @@
 """Batch table maintenance (DM-1 .. DM-13).
 
 Each operator takes the current table and a change table and returns the new
-table.  Change tables hold one row per key.  All new values are computed from
-the old row, in one projection.
+table.  A change table with several rows of a key counts as its last one: the
+greatest by the columns ``order``, or by all its columns where no order is
+given, so an update never adds rows.  All new values are computed from the old row,
+in one projection.
 """
 
 from __future__ import annotations
@@ -18,8 +20,28 @@ from wardflow.operators.windows import numbered
 NEW = "new_"
 
 
-def _apply(df: DataFrame, chg: DataFrame, key: str, rules: dict[str, Column], only: Column | None = None) -> DataFrame:
-    """Left join the changes as ``new_<col>`` and rewrite the ruled columns."""
+def last_changes(chg: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last by ``order``; ties go to the greatest row.  NULL is no key."""
+    keyed = chg.where(F.col(key).isNotNull())
+    rest = [c for c in chg.columns if c != key]
+    if not rest:
+        return keyed.distinct()
+    ranked = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])], *rest)
+    return keyed.groupBy(key).agg(F.max(ranked).alias("_last")).select(
+        *[F.col(key) if c == key else F.col("_last")[c].alias(c) for c in chg.columns]
+    )
+
+
+def _apply(
+    df: DataFrame,
+    chg: DataFrame,
+    key: str,
+    rules: dict[str, Column],
+    only: Column | None = None,
+    order: list[str] | None = None,
+) -> DataFrame:
+    """Left join the last changes as ``new_<col>`` and rewrite the ruled columns."""
+    chg = last_changes(chg, key, order)
     renamed = chg.select(
         key, *[F.col(c).alias(NEW + c) for c in chg.columns if c != key], F.lit(True).alias("_hit")
     )
@@ -46,13 +68,14 @@ def append(df: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
     return df.unionByName(keyed.drop("_n"), allowMissingColumns=True)
 
 
-def update_by_key(df: DataFrame, chg: DataFrame, key: str, cols: list[str]) -> DataFrame:
+def update_by_key(df: DataFrame, chg: DataFrame, key: str, cols: list[str], order: list[str] | None = None) -> DataFrame:
     """Overwrite listed columns of the rows named by key, also with NULL (DM-2)."""
-    return _apply(df, chg, key, {c: F.col(NEW + c) for c in cols})
+    return _apply(df, chg, key, {c: F.col(NEW + c) for c in cols}, order=order)
 
 
-def upsert(df: DataFrame, chg: DataFrame, key: str) -> DataFrame:
+def upsert(df: DataFrame, chg: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """Change rows that exist, insert those that do not (DM-3)."""
+    chg = last_changes(chg, key, order)
     cols = [c for c in df.columns if c != key]
     old = df.select(key, F.struct(*cols).alias("_old"))
     new = chg.select(
@@ -80,10 +103,12 @@ def update_from(df: DataFrame, src: DataFrame, key: str, mapping: dict[str, Colu
     return _apply(df, src, key, mapping)
 
 
-def insert_missing(df: DataFrame, src: DataFrame, key: str) -> DataFrame:
-    """Add the source rows whose key the table lacks (DM-6)."""
-    fresh = anti(src, df.where(F.col(key).isNotNull()), key)
-    return df.unionByName(fresh.select(*[c for c in src.columns if c in df.columns]), allowMissingColumns=True)
+def insert_missing(df: DataFrame, src: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Add the source rows whose key the table lacks, one per key; rows without a key are all added (DM-6)."""
+    fresh = anti(last_changes(src, key, order), df.where(F.col(key).isNotNull()), key)
+    keyless = src.where(F.col(key).isNull())
+    cols = [c for c in src.columns if c in df.columns]
+    return df.unionByName(fresh.select(*cols).unionByName(keyless.select(*cols)), allowMissingColumns=True)
 
 
 def split_delete(df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:

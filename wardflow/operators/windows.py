@@ -39,19 +39,32 @@ def range_summary(ranged: DataFrame, cells: dict[str, Column]) -> DataFrame:
     return ranged.groupBy("_range").agg(*[c.alias(n) for n, c in cells.items()])
 
 
+_PLACE_BITS = 33
+
+
+def placed_in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in a total order with ``_range`` and the place in it, ``_place`` from 1.
+
+    The ids that Spark gives to sorted ranges hold the range in the upper bits and
+    the place in the lower 33, so one shuffle is enough; the checkpoint fixes them.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    fixed = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)) + 1
+    return fixed.withColumns({"_range": F.shiftright("_at", _PLACE_BITS), "_place": place}).drop("_at")
+
+
 def numbered(df: DataFrame, order: list, name: str = "RW") -> DataFrame:
     """Row number over a total order (WN-1)."""
-    order = [as_column(c) for c in order]
-    ranged = ordered_ranges(df, order)
-    counts = range_summary(ranged, {"_rows": F.count(F.lit(1))})
+    placed = placed_in_order(df, [as_column(c) for c in order])
+    counts = range_summary(placed, {"_rows": F.count(F.lit(1))})
     ahead = F.sum("_rows").over(W.orderBy("_range").rowsBetween(*_BEFORE))
     offsets = counts.select("_range", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
-    local = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     return (
-        ranged.withColumn(name, local)
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col(name) + F.col("_ahead"))
-        .drop("_range", "_ahead")
+        placed.join(F.broadcast(offsets), "_range")
+        .withColumn(name, F.col("_place") + F.col("_ahead"))
+        .drop("_range", "_place", "_ahead")
     )
 
 
@@ -71,11 +84,9 @@ def latest_and_rest(df: DataFrame, keys: list[str], ts: str, row_id: str) -> tup
     ``row_id`` is unique; it breaks ties and separates the two outputs by an
     anti join on itself, so a key with very many rows is never one group.
     """
-    others = [c for c in df.columns if c not in keys]
-    newest = F.max(F.struct(F.col(ts), F.col(row_id), F.struct(*others).alias("_row")))
-    latest = df.groupBy(*keys).agg(newest.alias("_top")).select(*keys, "_top._row.*")
-    rest = df.join(latest.select(row_id), row_id, "left_anti")
-    return latest.select(*df.columns), rest.select(*df.columns)
+    newest = F.max(F.struct(ts, row_id)).alias("_top")
+    ids = df.select(*keys, ts, row_id).groupBy(*keys).agg(newest).select(F.col("_top")[row_id].alias(row_id))
+    return df.join(ids, row_id, "left_semi"), df.join(ids, row_id, "left_anti")
 
 
 def period_starts(calendar: DataFrame, today: str, mode: str, n: int = 24) -> DataFrame:

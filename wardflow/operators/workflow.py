@@ -2,9 +2,10 @@
 
 The steps of one visit depend on each other, so they run in order of a sequence
 number, as a fold over a sorted array.  A visit with very many events is not one
-group: events are cut into slices of the sequence.  The first slice of a visit
-starts from its stored state; each further slice is folded once for every
-possible state, and only these small results meet per visit.
+group: its events are cut into slices by their place in the visit.  The first
+slice of a visit starts from its stored state; each further slice is folded once for
+every possible state, and only these small results meet per visit.  A visit with
+no more events than a slice holds has one slice and pays for nothing else.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.functions.dates import hhmm
 from wardflow.operators.joins import semi
+from wardflow.operators.maintenance import update_from
+from wardflow.operators.windows import numbered
 
 # The steps, and the time column each step sets.
 STEPS = (1, 5, 10, 16, 20)
@@ -26,7 +30,7 @@ KNOWN = (None, *STEPS)
 STATES = [(False, None, None)] + [(True, now, last) for now in KNOWN for last in KNOWN]
 
 
-def _state(present: Column, now: Column, last: Column, times: dict, touched: dict, wait: Column, reset: Column) -> Column:
+def _state(present: Column, now: Column, last: Column, times: dict, touched: dict, wait: Column, reset: Column, photo: Column) -> Column:
     return F.struct(
         present.alias("present"),
         now.cast("int").alias("now"),
@@ -35,6 +39,7 @@ def _state(present: Column, now: Column, last: Column, times: dict, touched: dic
         *[touched[t].alias("set_" + t) for t in TIMES],
         wait.cast("int").alias("wait"),
         reset.alias("reset"),
+        photo.cast("timestamp_ntz").alias("photo"),
     )
 
 
@@ -42,7 +47,7 @@ def _entry(present: Column, now: Column, last: Column, times: dict | None = None
     """A state in which no event has happened yet."""
     empty = {t: F.lit(None) for t in TIMES}
     untouched = {t: F.lit(False) for t in TIMES}
-    return _state(present, now, last, times or empty, untouched, F.lit(0), F.lit(False))
+    return _state(present, now, last, times or empty, untouched, F.lit(0), F.lit(False), F.lit(None))
 
 
 def _after(s: Column, event: Column) -> Column:
@@ -61,7 +66,8 @@ def _after(s: Column, event: Column) -> Column:
         clears = gone | ((born | moved) & step.isin(1, 10) & (step < own))
         times[t] = F.when(clears, F.lit(None)).when(sets, stamp).otherwise(s[t])
         touched[t] = s["set_" + t] | clears | sets
-    wait = F.when(gone, WAIT_CHECKED).when(moved & (step == 10) & ~undo, WAIT_PHOTO_DONE).otherwise(s["wait"])
+    photographed = moved & (step == 10) & ~undo
+    wait = F.when(gone, WAIT_CHECKED).when(photographed, WAIT_PHOTO_DONE).otherwise(s["wait"])
     return _state(
         (present & ~gone) | born,
         F.when(born, 1).when(moved, target),
@@ -70,6 +76,7 @@ def _after(s: Column, event: Column) -> Column:
         touched,
         wait,
         s["reset"] | gone,
+        F.coalesce(s["photo"], F.when(photographed, event["at"])),
     )
 
 
@@ -89,7 +96,8 @@ def _joined(s: Column, part: Column) -> Column:
     times = {t: F.when(effect["set_" + t], effect[t]).otherwise(s[t]) for t in TIMES}
     touched = {t: s["set_" + t] | effect["set_" + t] for t in TIMES}
     wait = F.when(effect["wait"] != 0, effect["wait"]).otherwise(s["wait"])
-    return _state(effect["present"], effect["now"], effect["last"], times, touched, wait, s["reset"] | effect["reset"])
+    photo = F.coalesce(s["photo"], effect["photo"])
+    return _state(effect["present"], effect["now"], effect["last"], times, touched, wait, s["reset"] | effect["reset"], photo)
 
 
 def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame, DataFrame]:
@@ -97,28 +105,30 @@ def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int =
 
     ``events`` holds ``siFiles``, a unique ``seq``, ``step``, ``undo`` (0/1) and
     the time ``at``.  The second output has one row per visit whose waiting entry
-    changes: its new ``WaitStatus`` and whether call time and machine are cleared.
+    changes: its new ``WaitStatus``, whether call time and machine are cleared, and
+    the time ``WaitPhoto`` of the first photo.
     """
-    # A slice holds at most slice_size events, as seq is unique.
     event = F.struct("seq", "step", "undo", F.col("at").cast("timestamp_ntz").alias("at"))
+    known = events.where(F.col("step").isin(*STEPS)).select("siFiles", "seq", "step", "undo", "at")
+    # numbers run on through each visit, so its first number gives the place in it
+    walked_in = numbered(known, ["siFiles", "seq"], "_n")
+    heads_at = walked_in.groupBy("siFiles").agg(F.min("_n").alias("_from"))
     slices = (
-        events.where(F.col("step").isin(*STEPS))
-        .groupBy("siFiles", F.floor(F.col("seq") / slice_size).alias("slice"))
+        walked_in.join(heads_at, "siFiles")
+        .groupBy("siFiles", F.floor((F.col("_n") - F.col("_from")) / slice_size).alias("slice"))
         .agg(F.array_sort(F.collect_list(event)).alias("events"))
     )
-    firsts = slices.groupBy("siFiles").agg(F.min("slice").alias("first"))
-    marked = slices.join(firsts, "siFiles")
     stored = current.select("siFiles", F.struct("Status", "LastStatus", *TIMES).alias("old"))
     old = F.col("old")
     start = _entry(old.isNotNull(), old["Status"], old["LastStatus"], {t: old[t] for t in TIMES})
     heads = (
-        marked.where(F.col("slice") == F.col("first"))
+        slices.where(F.col("slice") == 0)
         .join(stored, "siFiles", "left")
         .select("siFiles", F.aggregate("events", start, _after).alias("state"))
     )
     entries = F.array(*[_entry(*[F.lit(x) for x in state]) for state in STATES])
     tails = (
-        marked.where(F.col("slice") > F.col("first"))
+        slices.where(F.col("slice") > 0)
         .select(
             "siFiles",
             "slice",
@@ -144,11 +154,27 @@ def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int =
         )
     )
     waits = walked.where(new["wait"] != 0).select(
-        "siFiles", new["wait"].alias("WaitStatus"), new["reset"].alias("WaitReset")
+        "siFiles", new["wait"].alias("WaitStatus"), new["reset"].alias("WaitReset"), hhmm(new["photo"]).alias("WaitPhoto")
     )
     return table, waits
 
 
+def apply_to_waits(waits: DataFrame, asked: DataFrame) -> DataFrame:
+    """Waiting entries after the second output of ``apply_3d_transition``.
+
+    The step is set, a reset clears call time and machine, and the photo time is
+    written only where there is none yet.
+    """
+    cleared = F.col("new_WaitReset")
+    mapping = {
+        "Status": F.col("new_WaitStatus"),
+        "WaitCall": F.when(~cleared, F.col("WaitCall")),
+        "MachinePhoto": F.when(~cleared, F.col("MachinePhoto")),
+        "WaitPhoto": F.coalesce("WaitPhoto", "new_WaitPhoto"),
+    }
+    return update_from(waits, asked, "siFiles", mapping)
+
+
 def paid_events(changes: DataFrame, waits: DataFrame, current: DataFrame, as_of: Column) -> DataFrame:
     """Workflow events that follow from waiting entries set to their last step.
 

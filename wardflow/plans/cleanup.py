@@ -50,7 +50,7 @@ def cleanup_candidates(
     old = days.where(dates.before_days(c("MiladiDate"), as_of, delete_days))
     held = t["album_procedures"].where(c("siSurgery").isin(procedures)).select("siAlbum")
     albums = semi(t["albums"], held, "siAlbum").select("siFiles")
-    files = semi(t["files"].select(*FILE_COLUMNS), albums, "siFiles").join(F.broadcast(old), "ReferDate", "left_semi")
+    files = semi(t["files"].select(*FILE_COLUMNS), albums, "siFiles").join(old, "ReferDate", "left_semi")
     log = t["deletion_log"].select("FileID", "Status")
     state = nvl(c("Status"), 0)
     wanted = ~state.isin(FINISHED_STATES) if states is None else state.isin([*states, ALWAYS_LISTED])

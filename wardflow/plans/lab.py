@@ -83,6 +83,18 @@ def acceptance_state() -> Column:
     )
 
 
+def acceptance_person() -> dict[str, Column]:
+    """What an acceptance says of its patient."""
+    return {
+        "Mobile": c("fMobile"),
+        "SendType": F.when(c("fEmergency") == 1, 0).when(c("fEmergency") == 0, 1),
+        "SendStatus": decode(c("fEmergency"), {1: URGENT, 0: NORMAL}),
+        "BirthYear": F.left(c("fBirthDate"), F.lit(4)),
+        "Sex": c("fSex"),
+        "SexTitle": decode(c("fSex"), SEX_TITLE),
+    }
+
+
 def doctor_matches(t: Tables) -> DataFrame:
     """Laboratory doctors that are the same person as one of our doctors."""
     dash = F.lit("-")
@@ -133,20 +145,21 @@ def _new_patients(t: Tables, as_of: Column) -> DataFrame:
     doctors = t["lab_doctors"].select(
         c("fCode").alias("fCodeDoctor"),
         F.concat_ws("", "fFirstName", F.lit(" "), "fLastName").alias("DoctorName"),
+        F.trim(c("fMedicalNo").cast("string")).alias("_medical"),
     )
     rows = (
         insert_filter(today, patients, "fCode")
         .join(doctors, "fCodeDoctor")
         .join(doctor_matches(t), "fCodeDoctor", "left")
     )
-    urgent = F.when(c("fEmergency") == 1, 0).when(c("fEmergency") == 0, 1)
     values = {
         "FileID": c("fCode"),
         "fCode": c("fCode"),
         "FName": c("fFirstName"),
         "LName": c("fLastName"),
-        "Mobile": c("fMobile"),
-        "SendType": urgent,
+        "Phone1": F.lit(None),
+        **acceptance_person(),
+        "MedicalID": c("_medical"),
         "MiladiDate": c("fDateTime").cast("date"),
         "ReferDate": c("fAcceptionDate"),
         "DoctorName": c("DoctorName"),
@@ -167,18 +180,26 @@ def sync_lab_out(t: Tables, as_of: Column, delay_days: int) -> DataFrame:
     doctors = t["doctors"].select(
         c("siDoctors").alias("siDoctor"),
         F.concat(nvl(c("FName"), ""), F.lit(" "), nvl(c("LName"), "")).alias("_doctor"),
+        "MedicalID",
     )
     visits = (
-        t["files"].select("siDoctor", "FileID", "FName", "LName", "Phone1", "SendType", "ReferDate")
-        .join(F.broadcast(recent), "ReferDate")
+        t["files"].select("siDoctor", "FileID", "FName", "LName", "Phone1", "SendType", "ReferDate", "BirthYear", "Sex")
+        .join(recent, "ReferDate")
         .join(doctors, "siDoctor")
     )
+    phone, mobile = classify_phone(c("Phone1"))
     values = {
         "FileID": c("FileID"),
         "FName": c("FName"),
         "LName": c("LName"),
-        "Mobile": classify_phone(c("Phone1"))[1],
+        "Phone1": phone,
+        "Mobile": mobile,
         "SendType": c("SendType"),
+        "SendStatus": decode(c("SendType"), SEND_STATUS),
+        "BirthYear": c("BirthYear"),
+        "MedicalID": c("MedicalID"),
+        "Sex": c("Sex"),
+        "SexTitle": decode(c("Sex"), SEX_TITLE),
         "MiladiDate": c("MiladiDate"),
         "ReferDate": c("ReferDate"),
         "DoctorName": c("_doctor"),

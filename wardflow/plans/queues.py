@@ -155,7 +155,7 @@ def sms_queue(t: Tables, as_of: str, n: int | None, settings: QueueSettings) ->
     now = dates.timestamp_lit(as_of)
     days = t["calendar"].select(c("Shamsi").alias("WaitDate"), c("MiladiDate").alias("_day"))
     rows = _visit_rows(t).where((c("IsActiveSMS") == 1) & (c("SentSMS").isNull() | (c("SentSMS") == 3)))
-    rows = rows.join(F.broadcast(days), "WaitDate")
+    rows = rows.join(days, "WaitDate")
     waited = dates.clock_minutes(c("WaitTimeOut"), dates.hhmm(now)) > settings.sms_delay_minutes
     rows = rows.where(
         (waited | (c("_day") != now.cast("date"))) & (F.datediff(now, c("_day")) <= settings.sms_expire_days)

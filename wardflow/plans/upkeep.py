@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardflow.operators.joins import anti, join_by_link, semi
 from wardflow.operators.maintenance import delete_by_key, snapshot, update_by_key, update_from
 from wardflow.operators.workflow import apply_3d_transition
-from wardflow.plans.lab import acceptance_state
+from wardflow.plans.lab import acceptance_person, acceptance_state
 
 Tables = Mapping[str, DataFrame]
 c = F.col
@@ -81,15 +81,15 @@ def link_patients(t: Tables, links: DataFrame) -> DataFrame:
     Known patients take over the data of the acceptance, others are added.
     """
     patients = t["lab_patients"]
-    visits = t["files"].select("FileID", c("DoctorName").alias("_doctor"))
-    urgent = F.when(c("fEmergency") == 1, 0).when(c("fEmergency") == 0, 1)
+    medical = t["doctors"].select(c("siDoctors").alias("siDoctor"), c("MedicalID").alias("_medical"))
+    visits = t["files"].select("FileID", "siDoctor", c("DoctorName").alias("_doctor")).join(medical, "siDoctor").drop("siDoctor")
     values = {
         "FileID": c("FileID"),
         "fCode": c("fCode"),
         "FName": c("fFirstName"),
         "LName": c("fLastName"),
-        "Mobile": c("fMobile"),
-        "SendType": urgent,
+        **acceptance_person(),
+        "MedicalID": c("_medical"),
         "MiladiDate": c("fDateTime").cast("date"),
         "ReferDate": c("fAcceptionDate"),
         "DoctorName": c("_doctor"),

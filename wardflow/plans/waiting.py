@@ -66,7 +66,7 @@ def waiting_list(t: Tables) -> DataFrame:
         .join(doctors, "siDoctor")
         .join(hospitals, "siHospital")
         .join(t["branches"], "siBranch")
-        .join(F.broadcast(days), "EMailDate", "left")
+        .join(days, "EMailDate", "left")
     )
     mail_time = F.concat(F.replace(c("Miladi"), F.lit("/"), F.lit("-")), F.lit(" "), c("EMailTime"))
     automatic = dates.is_automatic(c("SendDate"), c("ManualTelegDate"))

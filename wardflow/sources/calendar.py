@@ -16,7 +16,7 @@ def build_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """One row per day from ``first`` to ``last``.
 
     Weeks start on Saturday.  The span is limited to 400 years, so the result
-    has at most about 146,000 rows and may be broadcast.
+    has at most about 146,000 rows.
     """
     start, end = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
     if not start <= end or end.year - start.year > MAX_YEARS:
@@ -40,7 +40,7 @@ def shamsi_of(df: DataFrame, calendar: DataFrame, date_col: str, out: str) -> Da
     days = calendar.select(
         F.col("MiladiDate").alias("_day"), F.col("Shamsi").alias(out)
     )
-    return df.join(F.broadcast(days), F.col(date_col).cast("date") == F.col("_day"), "left").drop(
+    return df.join(days, F.col(date_col).cast("date") == F.col("_day"), "left").drop(
         "_day"
     )
 
@@ -48,7 +48,7 @@ def shamsi_of(df: DataFrame, calendar: DataFrame, date_col: str, out: str) -> Da
 def miladi_of(df: DataFrame, calendar: DataFrame, shamsi_col: str, out: str) -> DataFrame:
     """Solar Hijri to Gregorian text through the calendar; ``''`` outside of it."""
     days = calendar.select(F.col("Shamsi").alias("_day"), F.col("Miladi").alias("_miladi"))
-    joined = df.join(F.broadcast(days), F.col(shamsi_col) == F.col("_day"), "left")
+    joined = df.join(days, F.col(shamsi_col) == F.col("_day"), "left")
     return joined.withColumn(out, F.coalesce("_miladi", F.lit(""))).drop("_day", "_miladi")
 
 

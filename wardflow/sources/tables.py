@@ -7,8 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 
-class ParquetTables(Mapping):
-    """Tables of one folder, opened on first use.
+class ParquetTables:
+    """Tables of one folder by name, opened on first use.
 
     A name may carry a namespace (``doc.files``); each namespace has a folder of
     its own.  Only the columns a query asks for are read.
@@ -22,12 +22,6 @@ class ParquetTables(Mapping):
         space, _, table = name.rpartition(".")
         return self.spark.read.parquet(f"{self.folders[space]}/{table}.parquet")
 
-    def __iter__(self):
-        return iter(self.folders)
-
-    def __len__(self):
-        return len(self.folders)
-
 
 def scan(tables: Mapping[str, DataFrame], name: str, cols: list[str]) -> DataFrame:
     """Full scan of a table with a column list (SRC-1, SRC-2)."""
