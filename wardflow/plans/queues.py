@@ -44,6 +44,7 @@ class QueueSettings:
     message_days: int = 10
     lab_delay_minutes: int = 10
     pdf_root: str = ""
+    pdf_network: str = ""
     signature: str = ""
 
 
@@ -72,8 +73,10 @@ def _lab_rows(t: Tables, doctors: DataFrame) -> DataFrame:
     return answered.join(doctors, "siDoctor")
 
 
-def _pdf(settings: QueueSettings) -> Column:
-    return F.concat(F.lit(settings.pdf_root), c("fCode").cast("string"), F.lit(".pdf"))
+def _pdf(settings: QueueSettings) -> list[Column]:
+    """The answer's file as seen locally and over the network."""
+    roots = {"PdfPath": settings.pdf_root, "PdfNetwork": settings.pdf_network}
+    return [F.concat(F.lit(root), c("fCode").cast("string"), F.lit(".pdf")).alias(name) for name, root in roots.items()]
 
 
 def lab_email_queue(t: Tables, as_of: Column, n: int | None, settings: QueueSettings) -> DataFrame:
@@ -90,7 +93,7 @@ def lab_email_queue(t: Tables, as_of: Column, n: int | None, settings: QueueSett
     head = top_n(out, ["TryCount", "SentEMailLabTime", "FileID"], n)
     return head.select(
         *LAB_COLUMNS, "TelegramLab", "TryCount", "EMailLab1", "EMailLab2",
-        _pdf(settings).alias("PdfPath"), _lab_text(settings).alias("TitleContent"),
+        *_pdf(settings), _lab_text(settings).alias("TitleContent"),
         F.concat_ws("", "FName", F.lit(" "), "LName").alias("PatientFullName"),
     )
 
@@ -108,7 +111,7 @@ def lab_message_queue(t: Tables, as_of: Column, n: int | None, settings: QueueSe
     )
     head = top_n(rows, ["TryCount", "SendDate", "FileID"], n)
     return head.select(
-        *LAB_COLUMNS, "TelegramLab", "TryCount", _pdf(settings).alias("PdfPath"), _lab_text(settings).alias("TitleContent")
+        *LAB_COLUMNS, "TelegramLab", "TryCount", *_pdf(settings), _lab_text(settings).alias("TitleContent")
     )
 
 

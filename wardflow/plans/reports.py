@@ -283,24 +283,27 @@ def price_totals(t: Tables, visits: DataFrame) -> DataFrame:
 def extra_price_list(t: Tables, visits: DataFrame) -> DataFrame:
     """Extra services that may be priced for the visits, at reduced prices (CQ-9).
 
-    Tariffs that are always offered appear with every service row they have, or
-    alone when they have none.
+    ``siFiles`` says which visit an offer belongs to.  Tariffs that are always offered
+    appear with every service row they have, or alone when they have none.  Services
+    are restricted before they meet the tariffs: of the other tariffs only those of
+    the asked visits count.
     """
     tariffs = t["tariffs"].where(c("Type") != 1).select(
         "siCommonTariff", "TariffName", "Price", "Type", "IsAfter", "ExtraPercent", "ForceExtra"
     )
     services = t["services"].select("siServiceTable", "siFiles", "siCommonTariff", "Number")
-    asked = visits.select("siFiles").distinct().withColumn("_asked", F.lit(True))
+    asked = visits.select("siFiles")
     phases = t["files"].select("siFiles", "Bef_Aft")
+    forced = c("ForceExtra") == 1
+    always = dim_left_join(tariffs.where(forced), services, "siCommonTariff")
+    others = semi(services, asked, "siFiles").join(tariffs.where(~nvl(forced, False)), "siCommonTariff")
     rows = (
-        dim_left_join(tariffs, services, "siCommonTariff")
-        .join(asked, "siFiles", "left")
-        .where(c("_asked") | (c("ForceExtra") == 1))
+        always.unionByName(others)
         .join(phases, "siFiles", "left")
         .where(c("Bef_Aft").isNull() | (c("Bef_Aft") == 1) | (c("Bef_Aft") == c("IsAfter")))
     )
     return rows.select(
-        "siServiceTable", "siCommonTariff", "TariffName",
+        "siFiles", "siServiceTable", "siCommonTariff", "TariffName",
         reduced_price(c("Price"), c("ExtraPercent")).alias("Price"),
         "Type", "IsAfter", nvl(c("ExtraPercent"), 0).alias("ExtraPercent"), "ForceExtra", "Bef_Aft", "Number",
         nvl(c("Number"), 1).alias("Number2"),

@@ -385,7 +385,7 @@ def lab_patients_in_window(t: Tables, day: str, done: bool, window_days: int) ->
     return rows.withColumns({"ReferDate": registered, "ReferTime": dates.hhmm(c("RegisterDate"))}).join(doctors, "siDoctor")
 
 
-def lab_delivery_board(t: Tables, day: str, done: bool, window_days: int, pdf_root: str = "") -> DataFrame:
+def lab_delivery_board(t: Tables, day: str, done: bool, window_days: int, pdf_root: str = "", pdf_network: str = "") -> DataFrame:
     """Delivery state of laboratory answers of a rolling window (CQ-14)."""
     accepted = t["lab_acceptances"].select("fCode")
     rows = lab_patients_in_window(t, day, done, window_days).join(accepted, "fCode")
@@ -410,6 +410,7 @@ def lab_delivery_board(t: Tables, day: str, done: bool, window_days: int, pdf_ro
         "TelegMessageId", "TelegramLab",
         nvl(c("TryCount"), 0).alias("TryCount"),
         F.concat(F.lit(pdf_root), code, F.lit(".pdf")).alias("PdfPath"),
+        F.concat(F.lit(pdf_network), code, F.lit(".pdf")).alias("PdfNetwork"),
         code.alias("fCodeMonth"),
         answered.alias("AnswerDate"),
         F.when(mailed.isNotNull(), F.concat(dates.hhmm(c("SentEMailLabTime")), F.lit(" - "), mailed)).otherwise("").alias("SentLabDate"),
