@@ -30,23 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
+    jvm.System.gc()  # Spark then deletes the shuffle files of finished steps, which the heap alone would not ask for
+    df.write.parquet(path)
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Remove the files of a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if file.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 SIEVE_WORDS = 1 << 14
 
 

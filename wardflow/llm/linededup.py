@@ -25,12 +25,21 @@ from pyspark.sql import functions as F
 from wardflow.llm.common import SEPARATORS, passes, sieve, stored
 
 RARITY_BUCKETS = 1 << 16
+#: Sets of more words have a wider parity bitmap.
+LARGE = 48
+#: Most hashes that are broadcast, about 64 MB.
+BROADCAST_ROWS = 2_000_000
 GROUP_KEYS = 2
 GROUP_SALTS = 4
 _BLANKS = " \t\x0b\x0c\r"
 
 
+_WIDE = "aggregate(k, 0L, (a, x) -> if((x & 4096) = {half} * 4096, a ^ shiftleft(1L, cast(shiftright(x, 6) & 63 AS int)), a))"
+_MARKS = ["parity", "wide0", "wide1"]
+
+
 def _words(line: Column) -> Column:
+    """Words of a line that has some."""
     return F.split(F.btrim(line, F.lit(_BLANKS)), SEPARATORS)
 
 
@@ -60,13 +69,15 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     """Every line as a word set: ``doc, uid, line, sig, n, parity, prefix``."""
     rank = _rarity(docs, text)
     hashed = F.transform(_words(F.col("content")), lambda w: F.xxhash64(w))
-    placed = F.transform(hashed, lambda h: F.get(rank, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7)))
+    placed = F.transform(hashed, lambda h: F.coalesce(F.get(rank, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 7)))
     keyed = _lines(docs, text).select("doc", "uid", "line", F.sort_array(F.array_distinct(placed)).alias("k"))
     size = F.size("k")
     prefix = F.transform(F.slice("k", F.lit(1), size - F.ceil(size * 4 / 5).cast("int") + 1), lambda k: F.hash(k))
     return keyed.select(
         "doc", "uid", "line", F.xxhash64("k").alias("sig"), size.alias("n"),
         F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))").alias("parity"),
+        # 64 bits tell little of large sets: these have 128 more
+        *[F.when(size > LARGE, F.expr(_WIDE.format(half=i))).otherwise(F.lit(0)).alias(f"wide{i}") for i in range(2)],
         prefix.alias("prefix"),
     )
 
@@ -78,19 +89,20 @@ def _first() -> Column:
 def _verified(docs: DataFrame, text: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (``later, earlier`` sets) in the right order whose words do match: ``later`` once each."""
     pairs = stored(pairs.distinct(), "line-pairs")
+    order = sets.select("sig", "first")
+    ordered = pairs.join(order.toDF("later", "lf"), "later").join(order.toDF("earlier", "ef"), "earlier").filter("ef < lf")
+    pairs = stored(ordered.select("later", "earlier"), "line-ordered")
     asked = pairs.select(F.explode(F.array("later", "earlier")).alias("sig")).distinct()
-    places = stored(sets.join(asked, "sig", "left_semi").select("sig", "first", F.col("first.uid").alias("uid"), F.col("first.line").alias("line")), "line-places")
+    places = stored(sets.join(asked, "sig", "left_semi").select("sig", F.col("first.uid").alias("uid"), F.col("first.line").alias("line")), "line-places")
     asked_rows = sieve(places, "uid")
     lines = _lines(docs.filter(passes(asked_rows, "_uid")), text).select("uid", "line", "content").dropDuplicates(["uid", "line"])
-    words = stored(places.join(lines, ["uid", "line"]).select("sig", "first", F.array_distinct(_words(F.col("content"))).alias("w")), "line-words")
-    one = words.select(F.col("sig").alias("later"), F.col("first").alias("lf"), F.col("w").alias("lw"))
-    two = words.select(F.col("sig").alias("earlier"), F.col("first").alias("ef"), F.col("w").alias("ew"))
-    met = pairs.join(one, "later").join(two, "earlier").filter(F.col("ef") < F.col("lf"))
+    words = stored(places.join(lines, ["uid", "line"]).select("sig", F.array_distinct(_words(F.col("content"))).alias("w")), "line-words")
+    met = pairs.join(words.toDF("later", "lw"), "later").join(words.toDF("earlier", "ew"), "earlier")
     same = F.size(F.array_intersect("lw", "ew"))
     return met.filter(9 * same >= 4 * (F.size("lw") + F.size("ew"))).select(F.col("later").alias("sig")).distinct()
 
 
-def _may_match(n: Column, m: Column, room: Column, other_room: Column, parity: Column, other_parity: Column) -> Column:
+def _may_match(n: Column, m: Column, room: Column, other_room: Column, marks: list[Column], others: list[Column]) -> Column:
     """Length, position and parity filters of two sets that share a word.
 
     With similarity 4/5 or more the overlap is at least 4/9 of both sizes, and the
@@ -98,36 +110,46 @@ def _may_match(n: Column, m: Column, room: Column, other_room: Column, parity: C
     """
     length = (5 * n >= 4 * m) & (5 * m >= 4 * n)
     place = 9 * (1 + F.least(room, other_room)) >= 4 * (n + m)
-    return length & place & (9 * F.bit_count(parity.bitwiseXOR(other_parity)) <= n + m)
+    apart = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(marks, others)]
+    wide = F.when((n > LARGE) & (m > LARGE), apart[1] + apart[2]).otherwise(0)
+    return length & place & (9 * apart[0] <= n + m) & (9 * wide <= n + m)
 
 
 def _with_leaders(sets: DataFrame) -> DataFrame:
     """Pairs of a set and the earliest set of one of its groups."""
     mixed = F.slice(F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t))), 1, GROUP_KEYS)
-    rows = sets.select(F.explode(mixed).alias("g"), F.pmod("sig", F.lit(GROUP_SALTS)).alias("salt"), "sig", "first", "n", "parity")
-    window = Window.partitionBy("g", "salt").orderBy("first")
-    led = rows.withColumn("lead", F.first(F.struct("sig", "n", "parity")).over(window))
+    group = F.pmod(F.xxhash64("sig"), F.lit(GROUP_SALTS))
+    rows = sets.select(F.explode(F.transform(mixed, lambda g: F.xxhash64(g, group))).alias("g"), "sig", "first.doc", "first.line", "n", *_MARKS)
+    window = Window.partitionBy("g").orderBy("doc", "line", "sig")
+    led = rows.withColumn("lead", F.first(F.struct("sig", "n", *_MARKS)).over(window))
     lead = F.col("lead")
-    fits = _may_match(F.col("n"), lead["n"], F.col("n"), lead["n"], F.col("parity"), lead["parity"])
+    fits = _may_match(F.col("n"), lead["n"], F.col("n"), lead["n"], [F.col(x) for x in _MARKS], [lead[x] for x in _MARKS])
     return led.filter((F.col("sig") != lead["sig"]) & fits).select(F.col("sig").alias("later"), lead["sig"].alias("earlier"))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` of one hash, broadcast up to ``BROADCAST_ROWS``; more rows are left to a shuffle join."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _joined(sets: DataFrame, done: DataFrame) -> DataFrame:
     """Candidate pairs of the sets that are not ``done`` with all others, by shared prefix word.
 
     Both sides are one and the same exchange; a set that is done has a negative size,
     and so no room left as the later side.
     """
-    flagged = sets.join(done.withColumn("_done", F.lit(True)), "sig", "left")
+    flagged = sets.join(_small(done.withColumn("_done", F.lit(True))), "sig", "left")
     rows = flagged.select(
-        "sig", "parity",
+        "sig", *_MARKS,
         F.when(F.col("_done"), -F.col("n")).otherwise(F.col("n")).alias("n"),
         F.posexplode("prefix").alias("p", "t"),
     ).repartition("t")
     a, b = rows.alias("a"), rows.alias("b")
     n, m = F.abs("a.n"), F.abs("b.n")
-    fits = _may_match(n, m, F.col("a.n") - 1 - F.col("a.p"), m - 1 - F.col("b.p"), F.col("a.parity"), F.col("b.parity"))
-    found = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.sig") != F.col("b.sig")) & fits)
+    # of the smaller set the shared word lies even earlier, as its overlap is at least 8/9 of it
+    early = F.when(n <= m, 9 * F.col("a.p") <= n).otherwise(9 * F.col("b.p") <= m)
+    fits = _may_match(n, m, F.col("a.n") - 1 - F.col("a.p"), m - 1 - F.col("b.p"), [F.col(f"a.{x}") for x in _MARKS], [F.col(f"b.{x}") for x in _MARKS])
+    found = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.sig") != F.col("b.sig")) & early & fits)
     return found.select(F.col("a.sig").alias("later"), F.col("b.sig").alias("earlier"))
 
 
@@ -135,13 +157,15 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``uid, line`` of the lines to remove; ``docs`` has ``_uid``."""
     wide = stored(_sets(docs, text), "line-sets")
     sets = stored(
-        wide.groupBy("sig", "n", "parity").agg(F.min(_first()).alias("first"), F.first("prefix").alias("prefix")), "line-distinct"
+        wide.groupBy("sig", "n", *_MARKS).agg(F.min(_first()).alias("first"), F.first("prefix").alias("prefix"), F.count("*").alias("lines")), "line-distinct"
     )
     led = stored(_verified(docs, text, sets, _with_leaders(sets)), "line-led")
     rest = _verified(docs, text, sets, _joined(sets, led))
     matched = stored(led.union(rest), "line-matched").withColumn("_hit", F.lit(True))
-    decided = sets.select("sig", "first").join(matched, "sig", "left")
-    lines = wide.select("sig", _first().alias("at"))
+    # sets of one line that match nothing need no decision
+    decided = sets.join(_small(matched), "sig", "left").filter("_hit is not null or lines > 1").select("sig", "first", "_hit")
+    decided = stored(decided, "line-decided")
+    lines = wide.filter(passes(sieve(decided, "sig"), "sig")).select("sig", _first().alias("at"))
     gone = lines.join(decided, "sig").filter(F.col("_hit").isNotNull() | (F.col("at") > F.col("first")))
     return gone.select("at.uid", "at.line").distinct()
 
