@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from wardflow.llm import blocks, runindex
+from wardflow.llm import runindex
 
 
 def brute(rows, length=50):
@@ -45,7 +45,7 @@ def test_edge_rows(edge_docs, no_docs):
 
 
 def test_repetitive_rows_in_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(runindex, "TEXT_BYTES", 2000)
     monkeypatch.setattr(runindex, "PART_BYTES", 3000)
     rng = np.random.default_rng(7)
     base = "".join(rng.choice(list("abé \n"), 600))

@@ -259,6 +259,7 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows = identified(docs)
     dropped = stored(classes(rows).groupBy("uid").agg(F.max("kept").alias("_kept"), F.count("*").alias("_equal")).filter("not _kept or _equal > 1"), "near-dropped")
-    met = rows.join(dropped.withColumnRenamed("uid", "_uid"), "_uid", "left").filter(F.coalesce("_kept", F.lit(True)))
-    single = met.filter("_equal is null").select(*columns)
+    asked = passes(sieve(dropped, "uid"), "_uid")
+    met = rows.filter(asked).join(dropped.withColumnRenamed("uid", "_uid"), "_uid", "left").filter(F.coalesce("_kept", F.lit(True)))
+    single = met.filter("_equal is null").select(*columns).unionByName(rows.filter(~asked).select(*columns))
     return single.unionByName(met.filter("_equal > 1").dropDuplicates(["_uid"]).select(*columns))

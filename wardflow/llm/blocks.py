@@ -15,29 +15,33 @@ from wardflow.llm.octets import slices
 BLOCK_BYTES = 24 << 20
 
 
-def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gather rows into blocks: one row with a new id and the rows as a compressed Arrow stream."""
-    waiting, size = [], 0
-
-    def packed() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for batch in waiting:
-                out.write_batch(batch)
-        block = uuid.uuid4().int & (2**63 - 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bytes", "texts"]
-        )
-
-    for batch in batches:
-        for low, high, t in slices(batch.column(2)):
-            waiting.append(batch.slice(low, high - low))
-            size += len(t.data) + 8 * (high - low)
-            if size >= BLOCK_BYTES:
-                yield packed()
-                waiting, size = [], 0
-    if waiting:
-        yield packed()
+def to_blocks_of(limit: int):
+    """Gather rows ``(id, flag, text)`` into blocks of about ``limit`` bytes: a new id, and the rows as a compressed Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch in waiting:
+                    out.write_batch(batch)
+            block = uuid.uuid4().int & (2**63 - 1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bytes", "texts"]
+            )
+
+        for batch in batches:
+            for low, high, t in slices(batch.column(2)):
+                waiting.append(batch.slice(low, high - low))
+                size += len(t.data) + 8 * (high - low)
+                if size >= limit:
+                    yield packed()
+                    waiting, size = [], 0
+        if waiting:
+            yield packed()
+
+    return run
 
 
 def opened(texts: bytes) -> pa.Table:

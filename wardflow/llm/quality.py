@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import stored
+from wardflow.llm.common import passes, sieve, stored
 from wardflow.llm.octets import U, Texts, mix, owners, slices, windows
 
 WINDOW = 8
@@ -232,5 +232,8 @@ def accepted(docs: DataFrame) -> DataFrame:
     fields = ["_key", "_lang", "_source"]
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), "lang", "source"))
     picked = keyed.select("_key", F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), "text")
-    rejected = judge(statistics(picked, *fields)).filter(~F.col("kept")).select("_key").distinct()
-    return keyed.join(rejected, "_key", "left_anti").select(*columns)
+    rejected = stored(judge(statistics(picked, *fields)).filter(~F.col("kept")).select("_key").distinct(), "quality-rejected")
+    # only rows that the sieve lets through need be shuffled to the join
+    asked = passes(sieve(rejected, "_key"), "_key")
+    met = keyed.filter(asked).join(rejected, "_key", "left_anti")
+    return met.unionByName(keyed.filter(~asked)).select(*columns)

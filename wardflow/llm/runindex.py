@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm.blocks import opened, to_blocks
+from wardflow.llm.blocks import opened, to_blocks_of
 from wardflow.llm.common import parts_for, stored
 from wardflow.llm.octets import U, Texts, mix, slices
 
 LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM + 1
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
+#: Blocks are smaller than those of other operators, as their contexts are held in memory.
+TEXT_BYTES = 10 << 20
 LARGEST = 2**63 - 1
 _PLACE_BITS = U(28)
 _PLACE = U((1 << 28) - 1)
@@ -46,6 +48,19 @@ _PLACE = U((1 << 28) - 1)
 # The run-length index
 
 
+#: Masks that keep the first 0 to 7 symbols of a word.
+_HEAD = np.array([((1 << 9 * k) - 1) << 9 * (7 - k) for k in range(8)], np.uint64)
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Dense ranks from 0."""
+    order = np.argsort(key)
+    ordered = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return out
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of many short strings, sorted by ``LENGTH`` symbols.
 
@@ -64,19 +79,20 @@ class RunIndex:
         filled = np.ones(len(owner), dtype=bool)
         filled[end] = False
         symbols[: len(owner)][filled] = data.astype(np.uint64) + U(1)
-        left = end[owner] - np.arange(len(owner))
-        words = []
-        for k in range(0, LENGTH, 7):
-            word = np.zeros(len(owner), np.uint64)
-            for j in range(k, min(k + 7, LENGTH)):
-                word = (word << U(9)) | np.where(left > j, symbols[j : j + len(owner)], U(0))
-            words.append(word)
-        suffixes = np.lexsort(words[::-1])
-        same = np.ones(max(len(owner) - 1, 0), dtype=bool)
-        for word in words:
-            ordered = word[suffixes]
-            same &= ordered[1:] == ordered[:-1]
-        self.interval = np.flatnonzero(np.concatenate([[True], ~same]))
+        place, stop = np.arange(len(owner)), end[owner]
+        # rank by seven symbols, those after a string's end being 0; then by twice as many, and at last by LENGTH
+        word = np.zeros(len(owner), np.uint64)
+        for j in range(7):
+            word = (word << U(9)) | symbols[j : j + len(owner)]
+        rank = _ranked(word & _HEAD[np.minimum(stop - place, 7)])
+        span = 7
+        while 2 * span < LENGTH:
+            rank = _ranked(rank * len(owner) + rank[np.minimum(place + span, stop)])
+            span *= 2
+        key = rank * len(owner) + rank[np.minimum(place + LENGTH - span, stop)]
+        suffixes = np.argsort(key, kind="stable")
+        ordered = key[suffixes]
+        self.interval = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         self.least = np.minimum.reduceat(value[owner[suffixes]], self.interval)
         before = np.where(suffixes == begin[owner[suffixes]], U(0), symbols[suffixes - 1]).astype(np.int64)
         new = np.concatenate([[True], before[1:] != before[:-1]])
@@ -406,7 +422,7 @@ def _mark(parts: int, digest: bool):
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row; ``kept`` is what is left, or its SHA-256."""
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).alias("unused"), F.col(text).cast("string").alias("text"))
-    blocks = stored(picked.mapInArrow(to_blocks, "block long, bytes long, texts binary"), "repeat-blocks")
+    blocks = stored(picked.mapInArrow(to_blocks_of(TEXT_BYTES), "block long, bytes long, texts binary"), "repeat-blocks")
     parts = parts_for(blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], PART_BYTES, 4)
     texts = blocks.select("block", "texts")
     by_block = lambda answers: texts.groupBy("block").cogroup(answers.groupBy("block"))
