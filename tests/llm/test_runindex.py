@@ -47,6 +47,7 @@ def test_edge_rows(edge_docs, no_docs):
 def test_repetitive_rows_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(runindex, "TEXT_BYTES", 2000)
     monkeypatch.setattr(runindex, "PART_BYTES", 3000)
+    monkeypatch.setattr(runindex, "INDEX_BYTES", 500)
     rng = np.random.default_rng(7)
     base = "".join(rng.choice(list("abé \n"), 600))
     rows = []
@@ -81,3 +82,20 @@ def test_index_against_plain_search(alphabet):
     assert got.tolist() == [least[s[i : i + 50].tobytes()] for s in strings for i in range(len(s) - 49)]
     index = runindex.RunIndex(np.concatenate(strings), offsets, value)
     assert len(index.start) <= offsets[-1]
+
+
+def test_indexes_by_anchor_give_the_same():
+    rng = np.random.default_rng(9)
+    strings = [rng.integers(0, 2, int(rng.integers(50, 84))).astype(np.uint8) for _ in range(60)]
+    data, length = np.concatenate(strings), np.array([len(s) for s in strings])
+    anchor, value = rng.integers(0, 7, 60), rng.integers(0, 99, 60)
+    old, runindex.INDEX_BYTES = runindex.INDEX_BYTES, 300
+    try:
+        got = runindex.least_by_anchor(data, length, anchor, value)
+    finally:
+        runindex.INDEX_BYTES = old
+    at = np.cumsum(length - 49) - (length - 49)
+    for a in range(7):
+        mine = np.flatnonzero(anchor == a)
+        want = runindex.least_values(np.concatenate([strings[i] for i in mine]), np.concatenate([[0], np.cumsum(length[mine])]), value[mine])
+        assert np.concatenate([got[at[i] : at[i] + length[i] - 49] for i in mine]).tolist() == want.tolist()

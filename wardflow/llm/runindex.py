@@ -40,6 +40,7 @@ REACH = LENGTH - GRAM + 1
 PART_BYTES = 8 << 20
 #: Blocks are smaller than those of other operators, as their contexts are held in memory.
 TEXT_BYTES = 10 << 20
+INDEX_BYTES = 512 << 10
 LARGEST = 2**63 - 1
 _PLACE_BITS = U(28)
 _PLACE = U((1 << 28) - 1)
@@ -153,6 +154,31 @@ def least_values(data: np.ndarray, offsets: np.ndarray, value: np.ndarray) -> np
     return out
 
 
+def least_by_anchor(data: np.ndarray, length: np.ndarray, anchor: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """As ``least_values``, with an index for every stretch of anchors that holds about ``INDEX_BYTES``.
+
+    Windows of different anchors are different, so an index need not hold both.
+    """
+    start = np.cumsum(length) - length
+    windows = length - LENGTH + 1
+    first = np.cumsum(windows) - windows
+    out = np.empty(int(windows.sum()), value.dtype)
+    order = np.argsort(anchor, kind="stable")
+    same = anchor[order]
+    edge = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+    chunk = (np.cumsum(length[order])[edge] - length[order][edge]) // INDEX_BYTES
+    at = edge[np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))]
+    for low, high in zip(at, np.append(at[1:], len(order))):
+        mine = order[low:high]
+        n = length[mine]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        found = least_values(data[np.repeat(start[mine], n) + step], np.concatenate([[0], np.cumsum(n)]), value[mine])
+        w = windows[mine]
+        step = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        out[np.repeat(first[mine], w) + step] = found
+    return out
+
+
 # Anchors and contexts of a block
 
 
@@ -357,7 +383,8 @@ def _ask_bytes(parts: int):
         rows = []
         for p, s in _cuts(a.part[a.open]):
             data, length = a.c.bytes_of(a.sample[a.open[s]])
-            rows.append((block, p, 3, data.tobytes(), length.astype(np.int64).tobytes(), a.doc[a.open[s]].tobytes()))
+            head = np.concatenate([length.astype(np.int64), a.anchor[a.open[s]].view(np.int64)])
+            rows.append((block, p, 3, data.tobytes(), head.tobytes(), a.doc[a.open[s]].tobytes()))
         return _rows(rows)
 
     return run
@@ -365,9 +392,11 @@ def _ask_bytes(parts: int):
 
 def _answer_bytes(rows: pa.Table) -> pa.Table:
     read = lambda name, kind: [np.frombuffer(b, kind) for b in rows.column(name).to_pylist()]
-    length = read("two", np.int64)
-    sizes = np.concatenate(length)
-    least = least_values(np.concatenate(read("one", np.uint8)), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(read("three", np.int64)))
+    heads = read("two", np.int64)
+    length = [h[: len(h) // 2] for h in heads]
+    anchor = np.concatenate([h[len(h) // 2 :] for h in heads])
+    data, value = np.concatenate(read("one", np.uint8)), np.concatenate(read("three", np.int64))
+    least = least_by_anchor(data, np.concatenate(length), anchor, value)
     cut = np.cumsum([int((n - LENGTH + 1).sum()) for n in length])[:-1]
     part = rows.column("part")[0].as_py()
     return _rows([(b, part, 3, x.tobytes(), None, None) for b, x in zip(rows.column("block").to_pylist(), np.split(least, cut))])
