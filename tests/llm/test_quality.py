@@ -78,3 +78,18 @@ def features(r):
         r.n_upper / max(r.n_letters, 1) + r.n_marks / chars,
         r.n_repeat_words / n,
     ]
+
+
+def test_precision_follows_the_spread_of_a_group(spark):
+    """Two groups that differ in how much the length of words varies have different precisions, each that of its data."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for source, spread in (("narrow", 0.03), ("wide", 0.2)):
+        for _ in range(400):
+            rows.append((source, *rng.normal([5.5, 1.6, 0, 0, 0.02, 0], [1.2, spread, 0, 0, 0.01, 0]).tolist()))
+    fitted = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{x} double" for x in quality.FEATURES))
+    found = {r.grp: np.array(r.precision).reshape(6, 6) for r in quality._concentrated(fitted, quality.STARTS).collect()}
+    for source, spread in (("narrow", 0.03), ("wide", 0.2)):
+        # the covariance of the nearest three quarters is less than that of all
+        assert 1 < found[source][1, 1] * spread**2 < 3.5
+        assert np.isclose(found[source][2, 2], 1 / quality.FLOORS[2] ** 2)
