@@ -93,3 +93,14 @@ def test_precision_follows_the_spread_of_a_group(spark):
         # the covariance of the nearest three quarters is less than that of all
         assert 1 < found[source][1, 1] * spread**2 < 3.5
         assert np.isclose(found[source][2, 2], 1 / quality.FLOORS[2] ** 2)
+
+
+def test_symbols_on_a_third_of_the_words_are_rejected(spark):
+    """The cut-off is the chi-square quantile: a third of a symbol a word lies far beyond it where others have none."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["w" + "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(900)]
+    good = [" ".join(rng.choice(vocabulary, rng.integers(60, 900))) + "." for _ in range(300)]
+    bad = [" | ".join(" ".join(rng.choice(vocabulary, 2)) for _ in range(120)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(good + bad)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in quality.verdicts(docs).filter("kept").select("doc_id").collect()}
+    assert not kept & set(range(300, 305)) and len(kept) >= 285

@@ -9,7 +9,10 @@ from those.  Steps run from three starts (median deviations, covariance of squas
 deviations, spatial signs) until the determinant stops falling, and the start with
 the least determinant is taken.  Directions in which the kept documents deviate by less
 than ``FLOORS`` have that deviation; others have their own.  All steps are aggregates over all documents
-with partial sums before the shuffle, so a hot source is not one task.  Documents beyond the cut-off are rejected.
+with partial sums before the with partial sums before the shuffle, so a hot source is not one task.  Documents beyond the cut-off are rejected:
+the chi-square quantile times the factor that makes the median distance of the group that of
+chi-square, where a direction of less than its least deviation counts with that deviation.  No kind of
+document is exempt.
 
 Defined results: null text counts as empty; documents without words fail the base
 rules; null languages and sources are groups of their own; groups with fewer than
@@ -47,8 +50,8 @@ CHI_MEDIAN = len(FEATURES) * (1 - 2 / (9 * len(FEATURES))) ** 3
 #: Resolution of each feature, used where documents of a group hardly deviate: length by a factor of two, one letter in 100,
 #: one symbol in 150 words, one line in 16, one capital or mark in 200 letters, one repeated window in 160 words.
 FLOORS = [0.8, 0.01, 0.5, 0.06, 0.005, 0.05]
-#: Largest squared distance kept; about ten standard deviations in six dimensions.
-CUT = 100.0
+#: Quantile 0.999 of the same variable: largest squared distance kept, times the consistency factor of the group.
+CUT = 22.458
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_upper", "n_letters", "n_marks"]
@@ -159,16 +162,16 @@ def _moments() -> list[Column]:
     )
 
 
-_ESTIMATE = "grp string, start int, centre array<double>, precision array<double>, logdet double"
+_ESTIMATE = "grp string, start int, centre array<double>, precision array<double>, logdet double, lifted double"
 
 
 def _invert(batches: Iterator["pd.DataFrame"]) -> Iterator["pd.DataFrame"]:  # noqa: F821
-    """Centre, inverse covariance and log determinant of each group and start from its sums."""
+    """Centre, inverse covariance and log determinant of each group and start from its sums, and the variance lifted."""
     import pandas as pd
 
     d = len(FEATURES)
     for frame in batches:
-        centres, precisions, logdets = [], [], []
+        centres, precisions, logdets, lifted = [], [], [], []
         for row in frame.itertuples():
             mean = np.array([getattr(row, f"s{i}") for i in range(d)]) / row.n
             cov = np.zeros((d, d))
@@ -180,7 +183,8 @@ def _invert(batches: Iterator["pd.DataFrame"]) -> Iterator["pd.DataFrame"]:  # n
             centres.append(mean.tolist())
             precisions.append(inverse.ravel().tolist())
             logdets.append(float(np.log(np.maximum(value, 1.0)).sum()))
-        yield pd.DataFrame({"grp": frame["grp"], "start": frame["start"], "centre": centres, "precision": precisions, "logdet": logdets})
+            lifted.append(float((1 - np.clip(value, 0.0, 1.0)).sum()))
+        yield pd.DataFrame({"grp": frame["grp"], "start": frame["start"], "centre": centres, "precision": precisions, "logdet": logdets, "lifted": lifted})
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
@@ -199,7 +203,7 @@ def _starts(fitted: DataFrame, starts: int) -> DataFrame:
     scale = [F.greatest(1.4826 * F.col("mad")[i], F.lit(FLOORS[i])) for i in range(d)]
     spread = stored(spread.select("grp", "centre", F.array(*scale).alias("scale")), "quality-start")
     cells = [1 / (F.col("scale")[i] * F.col("scale")[i]) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
-    plain = spread.select("grp", F.lit(0).alias("start"), "centre", F.array(*cells).alias("precision"), F.lit(float("inf")).alias("logdet"))
+    plain = spread.select("grp", F.lit(0).alias("start"), "centre", F.array(*cells).alias("precision"), F.lit(float("inf")).alias("logdet"), F.lit(0.0).alias("lifted"))
     gap = [(F.col(x) - F.col("centre")[i]) / F.col("scale")[i] for i, x in enumerate(FEATURES)]
     norm = F.sqrt(sum((g * g for g in gap[1:]), gap[0] * gap[0]))
     if starts == 1:
@@ -236,7 +240,7 @@ def _concentrated(fitted: DataFrame, starts: int) -> DataFrame:
         found = found.unionByName(s)
     # equal determinants up to the last fall are one estimate: the first start has it
     rank = F.struct(F.round(F.col("logdet") / (10 * LEAST_FALL)), "start")
-    return found.groupBy("grp").agg(F.min_by(F.struct("centre", "precision"), rank).alias("best")).select("grp", "best.*")
+    return found.groupBy("grp").agg(F.min_by(F.struct("centre", "precision", "lifted"), rank).alias("best")).select("grp", "best.*")
 
 
 def judge(stats: DataFrame, starts: int = 1) -> DataFrame:
@@ -260,10 +264,14 @@ def judge(stats: DataFrame, starts: int = 1) -> DataFrame:
     fitted = rows.filter(~F.col("base_failed")).select("grp", *FEATURES)
     estimate = stored(_concentrated(fitted, starts), "quality-fit")
     placed = fitted.join(estimate, "grp").select("grp", _distance().alias("d2"))
-    scale = placed.groupBy("grp").agg(F.count("*").alias("fit_size"), F.greatest(F.percentile_approx("d2", 0.5, 2000) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
+    middle = F.percentile_approx("d2", 0.5, 2000)
+    scale = placed.groupBy("grp").agg(F.count("*").alias("fit_size"), middle.alias("middle"), F.greatest(middle / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
     final = stored(estimate.join(scale, "grp"), "quality-fit")
     judged = rows.join(final, "grp", "left").withColumn("distance", F.when(F.col("fit_size") >= LEAST_GROUP, _distance() / F.col("scale")))
-    return judged.select(*fields, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)).alias("kept"))
+    # the distance is shown as before; the factor of the cut-off both shrinks and enlarges
+    limit = CUT * (F.col("middle") + F.col("lifted")) / CHI_MEDIAN / F.col("scale")
+    far = F.coalesce(F.col("distance") > limit, F.lit(False))
+    return judged.select(*fields, "base_failed", "distance", (~F.col("base_failed") & ~far).alias("kept"))
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
