@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import bagminhash, chat, linededup, mixing, packing, pii, pitmanyor, quality, runindex, topk
+from wardflow.llm import (
+    bagminhash,
+    chat,
+    divergence,
+    linededup,
+    mixing,
+    packing,
+    pii,
+    pitmanyor,
+    prefixbpe,
+    quality,
+    runindex,
+    topk,
+    whitening,
+)
 from wardflow.llm.common import read
 from wardflow.llm.oracles import CHECKS
 
@@ -83,3 +97,24 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_pitman_yor_score(spark: SparkSession, folder: str) -> DataFrame:
     return pitmanyor.score(read(spark, folder, "documents"))
+
+
+@query
+def op11_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = prefixbpe.decode(prefixbpe.encode(read(spark, folder, "documents").select("doc_id", "text")).drop("text"))
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_cholesky_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read(spark, folder, "documents"))
