@@ -13,8 +13,8 @@ rows; rows are worked on in blocks of bounded size and never meet.
 Defined results: a vector that is null, or has null or non-finite entries, takes no part;
 of vectors of different lengths those of the most frequent length take part (of equally
 frequent ones the longest); 64 times an entry beyond 2^52 in size counts as 2^52; a
-direction without variance cannot be whitened and is no component, so fewer than the asked
-ones may be returned, and none for a single or for equal vectors; a deviation that does not fit a long is null; repeated rows are returned
+direction without variance (below 10^-20 of the largest, where rounding decides) cannot be
+whitened and is no component, so fewer than the asked ones may be returned, and none for a single or for equal vectors; a deviation that does not fit a long is null; repeated rows are returned
 each; columns besides id and vector are not read; an empty table gives an empty table.
 """
 
