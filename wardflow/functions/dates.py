@@ -49,6 +49,26 @@ def to_shamsi(d: Column) -> Column:
     return F.overlay(F.overlay(digits, slash, 7, 0), slash, 5, 0)
 
 
+def from_shamsi(s: Column) -> Column:
+    """Date of a ``yyyy/mm/dd`` text of the Solar Hijri calendar; NULL where there is no such day.
+
+    Over a literal it is computed once, while the query is planned, so a range of
+    days can be compared with a date column itself and reaches the scan.
+    """
+    part = F.split(s, "/", -1)
+    year, month, day = (F.get(part, F.lit(i)).try_cast("int") for i in range(3))
+    before = _div((year - 1) * CYCLE_DAYS + 29, CYCLE_YEARS)
+    months = F.when(month <= 6, (month - 1) * 31).otherwise((month - 7) * 30 + LONG_MONTHS_DAYS)
+    days = (before + months + day - 1 - EPOCH_DAY).cast("int")
+    found = F.date_add(F.lit(EPOCH).cast("date"), days)
+    return F.when(to_shamsi(found) == s, found)
+
+
+def on_days(ts: Column, first: Column, last: Column) -> Column:
+    """The moment lies on one of the days from ``first`` to ``last``; compares the column itself."""
+    return (ts >= first.cast("timestamp_ntz")) & (ts < F.date_add(last, 1).cast("timestamp_ntz"))
+
+
 def timestamp_lit(as_of: str | dt.datetime) -> Column:
     """A wall-clock moment as a literal without time zone."""
     return F.lit(str(as_of)).cast("timestamp_ntz")

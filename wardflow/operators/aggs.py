@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow.functions.numbers import cut
+from wardflow.operators.windows import in_ranges
 
 # Seeds of the record number and the text limit of a report cell.
 BRANCH_STEP = 100_000_000
@@ -89,16 +89,15 @@ def concat_ordered(
     """Values of a key in order, joined; ``limit`` cuts the text at so many characters.
 
     Blank values are skipped, one NULL makes the text of its key NULL.  Rows are
-    range-partitioned by key and order, so a huge key spreads over several ranges;
+    cut into ranges of key and order, so a huge key spreads over several ranges;
     each range joins its own part of a key, and only these texts meet.
     """
     v = value if width is None else cut(value, width)
     rows = df.select(key, v.cast("string").alias("_v"), *order)
     poisoned = rows.groupBy(key).agg(F.max(F.col("_v").isNull()).alias("_null"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.where(F.col("_v") != "").repartitionByRange(parts, key, *order, "_v")
+    ranged = in_ranges(rows.where(F.col("_v") != ""), [key, *order, "_v"])
     item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "_v")
-    pieces = ranged.groupBy(key, F.spark_partition_id().alias("_range")).agg(
+    pieces = ranged.groupBy(key, "_range").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_v"]), sep).alias("_part")
     )
     whole = F.array_join(

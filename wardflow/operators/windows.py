@@ -1,7 +1,7 @@
 """Window operators (WN-1 .. WN-8).
 
 Windows over a whole table would run in one task.  The total-order operators
-here range-partition the rows first, work inside each range and add what the
+here cut the rows into key ranges first, work inside each range and add what the
 ranges before it contribute; that summary has one row per range.  Order columns
 must end in a unique key, so that rows with equal leading values can still be
 split over ranges.
@@ -23,15 +23,38 @@ def as_column(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def ordered_ranges(df: DataFrame, order: list) -> DataFrame:
-    """Rows range-partitioned by ``order`` with the range number in ``_range``.
+RANGES_EACH, SAMPLED_EACH = 4, 50
 
-    Range bounds come from a sample and could change between two runs of the
-    plan, so the result is fixed by a checkpoint before anything counts on it.
+
+def _key(cols: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+
+
+def in_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows with the number of their key range in ``_range``, as a column computed from the key.
+
+    The bounds are keys: those with the smallest hashes are a sample of bounded size, and
+    every so many of them in order is a bound.  The same rows always give the same
+    bounds, and a plan computes them once, so a task that is run again gives the same ranges.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[as_column(c) for c in order])
-    return checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
+    ranges = RANGES_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = _key(cols)
+    keys = df.select(key.alias("k"))
+    sample = keys.orderBy(F.xxhash64("k"), "k").limit(ranges * SAMPLED_EACH)
+    held = F.array_sort(F.collect_set("k"))
+    every = F.transform(
+        F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get(F.col("held"), F.floor(i * F.size("held") / ranges).cast("int"))
+    )
+    bounds = sample.agg(held.alias("held")).select(F.filter(every, lambda b: b.isNotNull()).alias("bounds")).scalar()
+    # binary search: the number of bounds that are not above the key
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(ranges.bit_length()))])
+
+    def further(low: Column, step: Column) -> Column:
+        reached = (low + step <= F.size("_bounds")) & (F.get(F.col("_bounds"), low + step - 1) <= key)
+        return F.when(reached, low + step).otherwise(low)
+
+    bounded = df.withColumn("_bounds", bounds)
+    return bounded.withColumn("_range", F.aggregate(halves, F.lit(0), further)).drop("_bounds")
 
 
 def range_summary(ranged: DataFrame, cells: dict[str, Column]) -> DataFrame:
@@ -122,8 +145,10 @@ def navigate(df: DataFrame, key: str, moves: DataFrame, current: str = "current"
     """
     real = df.select(F.col(key).alias("_k"), F.lit(True).alias("_real"))
     asked = moves.select(F.col(current).alias("_k"), F.lit(False).alias("_real"))
-    points = real.unionByName(asked).groupBy("_k").agg(F.max("_real").alias("_real"))
-    ranged = ordered_ranges(points, ["_k"])
+    points = real.unionByName(asked).groupBy("_k").agg(
+        F.max("_real").alias("_real"), F.max(~F.col("_real")).alias("_asked")
+    )
+    ranged = in_ranges(points, ["_k"])
     hit = F.when(F.col("_real"), F.col("_k"))
     summary = range_summary(
         ranged, {"_lo": F.min(hit), "_hi": F.max(hit), "_rows": F.count(hit)}
@@ -135,15 +160,17 @@ def navigate(df: DataFrame, key: str, moves: DataFrame, current: str = "current"
         F.min("_lo").over(behind).alias("_next_range"),
         F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"),
     )
+    # one order for all three looks: back, ahead and the count so far
     up = W.partitionBy("_range").orderBy("_k")
-    down = W.partitionBy("_range").orderBy(F.desc("_k"))
     placed = (
-        ranged.select(
+        ranged.withColumn("_hit", hit)
+        .select(
             "*",
-            F.max(hit).over(up.rowsBetween(*_BEFORE)).alias("_prev"),
-            F.min(hit).over(down.rowsBetween(*_BEFORE)).alias("_next"),
-            F.count(hit).over(up.rowsBetween(W.unboundedPreceding, 0)).alias("_pos"),
+            F.max("_hit").over(up.rowsBetween(*_BEFORE)).alias("_prev"),
+            F.expr("lead(_hit) IGNORE NULLS OVER (PARTITION BY _range ORDER BY _k)").alias("_next"),
+            F.count("_hit").over(up.rowsBetween(W.unboundedPreceding, 0)).alias("_pos"),
         )
+        .where(F.col("_asked"))
         .join(F.broadcast(carried), "_range")
         .select(
             "_k",
@@ -190,7 +217,7 @@ def lead_in(df: DataFrame, part: list[str], order: list[str], col: str, name: st
     Ranges cover partition and order columns together, so a partition with very
     many rows is spread over several ranges.
     """
-    ranged = ordered_ranges(df, [*part, *order])
+    ranged = in_ranges(df, [*part, *order])
     row = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate([*part, *order])], F.col(col).alias("v"))
     heads = range_summary(ranged, {"_head": F.min(row)})
     # Every range has rows, so the next range always holds the next row.

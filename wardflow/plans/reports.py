@@ -12,8 +12,9 @@ from wardflow.functions.numbers import reduced_price
 from wardflow.operators.aggs import conditional_sums, period_pivot, rollup_pivot
 from wardflow.operators.joins import dim_left_join, semi
 from wardflow.operators.projections import resolve_tariff
-from wardflow.operators.setops import union_distinct, with_totals
+from wardflow.operators.setops import union_distinct
 from wardflow.operators.windows import line_no, numbered, period_starts
+from wardflow.session import checkpointed
 
 Tables = Mapping[str, DataFrame]
 c = F.col
@@ -57,25 +58,31 @@ def visit_statistics(t: Tables, visits: DataFrame | None = None) -> DataFrame:
     more rows than the result has.  ``visits`` (column ``siFiles``) restricts the
     report before any other table is joined.
     """
-    files = t["files"].select(
-        "siFiles", "FileID", "RefFileID", "LName", "FName", "ReferDate", "Subject", "Bef_Aft",
-        "PaidAfter", "SendType", "siDoctor", "siHospital",
+    def asked(rows: DataFrame) -> DataFrame:
+        return rows if visits is None else semi(rows, visits, "siFiles")
+
+    files = asked(
+        t["files"].select(
+            "siFiles", "FileID", "RefFileID", "LName", "FName", "ReferDate", "Subject", "Bef_Aft",
+            "PaidAfter", "SendType", "siDoctor", "siHospital",
+        )
     )
-    if visits is not None:
-        files = semi(files, visits, "siFiles")
     doctors = t["doctors"].select(
         c("siDoctors").alias("siDoctor"), name_of("FName", "LName").alias("DoctorName"), "Job",
         c("PerDiscount").alias("D_PerDiscount"), "SumAfter",
     )
     hospitals = t["hospitals"].select("siHospital", "FullName")
     private = t["private_tariffs"].select(c("siDoctors").alias("siDoctor"), F.lit(True).alias("_private")).distinct()
-    albums = t["albums"].select("siFiles", "SurgDate").distinct()
-    waits = t["waits"].select("siFiles", "WaitTime", "WaitTimeOut").distinct()
-    services = t["services"].groupBy("siFiles").agg(F.sum_distinct("Number").alias("TotalNumber"))
+    albums = asked(t["albums"].select("siFiles", "SurgDate")).distinct()
+    waits = asked(t["waits"].select("siFiles", "WaitTime", "WaitTimeOut")).distinct()
+    services = asked(t["services"].select("siFiles", "Number")).groupBy("siFiles").agg(F.sum_distinct("Number").alias("TotalNumber"))
     discounts = t["discounts"].select("siDiscount", "Title", "PerDiscount")
     accounts = (
-        t["accounts"]
-        .select("siFiles", "siDiscount", "PayableFee", "PaidAmount", "RemainAmount", "Discount", "PaidDate", "Comment", "RoundAmount")
+        asked(
+            t["accounts"].select(
+                "siFiles", "siDiscount", "PayableFee", "PaidAmount", "RemainAmount", "Discount", "PaidDate", "Comment", "RoundAmount"
+            )
+        )
         .join(discounts, "siDiscount", "left")
         .drop("siDiscount")
         .distinct()
@@ -105,29 +112,49 @@ def visit_statistics(t: Tables, visits: DataFrame | None = None) -> DataFrame:
     )
 
 
+INCOME_COLUMNS = (
+    "P_FileID", "ReferDate", "PatientName", "DoctorName", "Job", "Subject", "Bef_Aft", "HasPrivateTariffCost", "SendType",
+    "WaitTime", "WaitTimeOut", "PayableFee", "PaidAmount", "RemainAmount", "Discount", "Comment", "RoundAmount",
+)
+
+
 def income_report(t: Tables, lo: str, hi: str) -> DataFrame:
     """Visits referred or paid in a date range, plus a totals row (CQ-2).
 
-    A visit referred outside the range counts with its remainder as paid.
+    A visit referred outside the range counts with its remainder as paid.  Rows and
+    totals come from one pass, by grouping sets over all columns and over none.
     """
     referred = t["files"].where(c("ReferDate").between(lo, hi)).select("siFiles")
     paid = t["accounts"].where(c("PaidDate").between(lo, hi)).select("siFiles")
-    rows = visit_statistics(t, union_distinct(referred, paid))
-    rows = rows.where(c("ReferDate").between(lo, hi) | c("PaidDate").between(lo, hi))
+    # the visits restrict every table below, so they are found once
+    rows = visit_statistics(t, checkpointed(union_distinct(referred, paid)))
     in_range = c("ReferDate").between(lo, hi)
-    detail = rows.select(
-        "P_FileID", "ReferDate", "PatientName", "DoctorName", "Job", "Subject", "Bef_Aft", "HasPrivateTariffCost",
-        "SendType", "WaitTime", "WaitTimeOut", "PayableFee", "PaidAmount", "RemainAmount", "Discount", "Comment", "RoundAmount",
+    rows = rows.where(in_range | c("PaidDate").between(lo, hi)).select("siFiles", *INCOME_COLUMNS)
+    # a row that stands for no visit, so that there are totals where there are no rows
+    none = rows.sparkSession.range(1).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema], F.lit(False).alias("_real")
     )
-    totals = rows.agg(
-        F.lit("Report").alias("Report"),
-        F.sum(F.when(in_range, c("PayableFee"))).alias("SumPayableFee"),
-        F.sum(F.when(in_range, c("PaidAmount")).otherwise(c("RemainAmount"))).alias("SumPaidAmount"),
-        F.sum(F.when(in_range, c("Discount"))).alias("SumDiscount"),
-        F.sum(F.when(in_range, c("RemainAmount"))).alias("SumRemainAmount"),
-        F.sum(F.when(in_range, c("RoundAmount"))).alias("SumRoundAmount"),
+    keys = [*rows.columns, "_real"]
+    both = rows.withColumn("_real", F.lit(True)).unionByName(none).groupingSets([keys, []], *keys)
+    total = F.grouping_id() != 0
+
+    def summed(value: Column) -> Column:
+        return F.when(total, F.sum(value))
+
+    cells = both.agg(
+        total.alias("_total"),
+        F.count(F.lit(1)).alias("_times"),
+        F.when(total, "Report").alias("Report"),
+        summed(F.when(in_range, c("PayableFee"))).alias("SumPayableFee"),
+        summed(F.when(in_range, c("PaidAmount")).otherwise(c("RemainAmount"))).alias("SumPaidAmount"),
+        summed(F.when(in_range, c("Discount"))).alias("SumDiscount"),
+        summed(F.when(in_range, c("RemainAmount"))).alias("SumRemainAmount"),
+        summed(F.when(in_range, c("RoundAmount"))).alias("SumRoundAmount"),
     )
-    return with_totals(detail, totals)
+    cells = cells.where(c("_total") | c("_real"))
+    once = F.explode(F.sequence(F.lit(1).cast("long"), F.when(c("_total"), 1).otherwise(c("_times"))))
+    sums = ["Report", "SumPayableFee", "SumPaidAmount", "SumDiscount", "SumRemainAmount", "SumRoundAmount"]
+    return cells.select(*INCOME_COLUMNS, *sums, once.alias("_copy")).drop("_copy")
 
 
 def referral_pivot(t: Tables, today: str, mode: str = "M", summed: bool = False) -> DataFrame:

@@ -205,10 +205,9 @@ def _both_set() -> Column:
     return (nvl(c("Edited"), 0) != 0) & (nvl(c("Printed"), 0) != 0)
 
 
-def shifted_day(t: Tables, shamsi: str, days: int) -> Column:
-    """Solar Hijri text of the day ``days`` before a given one."""
-    day = t["calendar"].where(c("Shamsi") == shamsi)
-    return day.select(dates.to_shamsi(F.date_sub("MiladiDate", days)).alias("d")).scalar()
+def shifted_day(shamsi: str, days: int) -> Column:
+    """Solar Hijri text of the day ``days`` before a given one, a constant of the plan."""
+    return dates.to_shamsi(F.date_sub(dates.from_shamsi(F.lit(shamsi)), days))
 
 
 def delivery_overview(
@@ -224,7 +223,7 @@ def delivery_overview(
     has_message = nvl((c("IsActiveTelegClinic") == 1) & c("TelegramClinic").isNotNull(), False)
     ready = (c("Printed") == 1) & (c("Edited") == 1)
     mail = dates.date_text_between(c("WaitDate"), lo, hi) & (c("Status") == DONE) & (nvl(c("IsActiveEMail"), 0) == 1) & ready
-    message = c("WaitDate").between(shifted_day(t, hi, message_days), F.lit(hi)) & ready & has_message
+    message = c("WaitDate").between(shifted_day(hi, message_days), F.lit(hi)) & ready & has_message
     if ranking == "stage":
         message = message & ((nvl(c("HasFilterList"), 0) == 0) | (c("AutoOrManual") == "M"))
     if not done:
@@ -345,7 +344,7 @@ def clinic_delivery_board(t: Tables, day: str, done: bool, window_days: int) ->
     An automatic send date counts here only when it carries no clock time.
     """
     rows = waiting_list(t).where(
-        c("WaitDate").between(shifted_day(t, day, window_days), F.lit(day))
+        c("WaitDate").between(shifted_day(day, window_days), F.lit(day))
         & ((c("SentEMail") == 3) | c("ManualTelegDate").isNotNull())
         & (c("IsActiveTelegClinic") == 1)
         & c("TelegramClinic").isNotNull()
@@ -377,8 +376,9 @@ def lab_patients_in_window(t: Tables, day: str, done: bool, window_days: int) ->
         c("siDoctors").alias("siDoctor"), c("LName").alias("_dl"), c("FName").alias("_df"), "TelegramLab", "IsActiveEmailLab"
     )
     registered = dates.to_shamsi(c("RegisterDate"))
+    last = dates.from_shamsi(F.lit(day))
     rows = t["lab_patients"].where(
-        registered.between(shifted_day(t, day, window_days), F.lit(day)) & c("fCode").isNotNull() & c("Status").isin(1, 3)
+        dates.on_days(c("RegisterDate"), F.date_sub(last, window_days), last) & c("fCode").isNotNull() & c("Status").isin(1, 3)
     )
     if not done:
         rows = rows.where(nvl(c("TelegramStatus"), 0) != 2)
