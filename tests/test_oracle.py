@@ -10,6 +10,10 @@ QUERIES = {name: catalog.bound(name) for name in catalog.QUERIES}
 CHECKS = {name: catalog.check_sql(name) for name in catalog.CHECKS}
 
 
+#: Queries whose rows only the larger folders have.
+NO_ROWS_HERE: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con(folder):
     return connect(folder)
@@ -21,7 +25,10 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_same_rows(spark, con, folder, name):
-    assert compare(QUERIES[name](spark, folder), con, CHECKS[name]) is None
+    df = QUERIES[name](spark, folder)
+    assert compare(df, con, CHECKS[name]) is None
+    if name not in NO_ROWS_HERE:  # nothing against nothing proves nothing
+        assert con.execute(f"SELECT count(*) FROM ({CHECKS[name]})").fetchone()[0] > 0
 
 
 def test_entry_runs(spark):

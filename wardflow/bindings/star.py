@@ -126,7 +126,7 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "EMailLab1": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'lab@mail.example' END",
             "EMailLab2": "CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'lab2@mail.example' END",
             "IsActiveEmailLab": "nullif(c_custkey % 4, 3)",
-            "IsAuto": "nullif(c_custkey % 3, 0) - 1",
+            "IsAuto": "nullif(c_custkey % 5 % 3, 0) - 1",
             "IsOwnDoc": "c_custkey % 2",
             "Description": "c_mktsegment || ' ' || c_name",
             "Filter": "CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'PROMO, LARGE ,,' WHEN 2 THEN '' ELSE ' SMALL' END",
@@ -260,7 +260,7 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "TelegMessageId": "nullif(event_id % 3, 0)",
             "TryCount": "nullif(event_id % 13, 0)",
             "SendDate": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL '2' HOUR END",
-            "ManualTelegDate": "CASE WHEN event_id % 4 = 1 THEN ts + INTERVAL '3' HOUR END",
+            "ManualTelegDate": "CASE WHEN event_id % 6 = 1 THEN ts + INTERVAL '3' HOUR END",
             "ManualTelegStatus": "nullif(event_id % 6, 3)",
         },
     ),

@@ -1,10 +1,11 @@
 """Batch table maintenance (DM-1 .. DM-13).
 
 Each operator takes the current table and a change table and returns the new
-table.  A change table with several rows of a key counts as its last one: the
-greatest by the columns ``order``, or by all its columns where no order is
-given, so an update never adds rows.  All new values are computed from the old row,
-in one projection.
+table.  Several changes of a key act as if they came one after another by the columns
+``order``, or by all their columns where no order is given; an update never adds
+rows.  What a sequence of changes leaves behind is said by a few aggregates of it (the last
+change, the last that counts for a column, the number of tries), so one row per key
+meets the table, and all new values are computed from the old row in one projection.
 """
 
 from __future__ import annotations
@@ -20,18 +21,36 @@ from wardflow.operators.windows import numbered
 NEW = "new_"
 
 
-def last_changes(chg: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
-    """One row per key: the last by ``order``; ties go to the greatest row.  NULL is no key."""
-    keyed = chg.where(F.col(key).isNotNull())
+def _turn(chg: DataFrame, key: str, order: list[str] | None) -> Column:
+    """What changes of a key are ordered by; equal ones by all their columns."""
     rest = [c for c in chg.columns if c != key]
-    if not rest:
+    return F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])], *rest)
+
+
+def last_changes(chg: DataFrame, key: str, order: list[str] | None = None, also: dict[str, Column] | None = None) -> DataFrame:
+    """One row per key: the last by ``order``; ties go to the greatest row.  NULL is no key.
+
+    ``also`` adds aggregates over all changes of the key.
+    """
+    keyed = chg.where(F.col(key).isNotNull())
+    also = {n: v.alias(n) for n, v in (also or {}).items()}
+    if len(chg.columns) == 1:
         return keyed.distinct()
-    ranked = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])], *rest)
-    return keyed.groupBy(key).agg(F.max(ranked).alias("_last")).select(
-        *[F.col(key) if c == key else F.col("_last")[c].alias(c) for c in chg.columns]
+    return keyed.groupBy(key).agg(F.max(_turn(chg, key, order)).alias("_last"), *also.values()).select(
+        *[F.col(key) if c == key else F.col("_last")[c].alias(c) for c in chg.columns], *also
     )
 
 
+def _last_of(chg: DataFrame, key: str, order: list[str] | None, cond: Column, value: str) -> Column:
+    """Aggregate: the value of the last change that meets a condition, NULL if none does."""
+    return F.max(F.when(cond, _turn(chg, key, order)))[value]
+
+
+def _first_of(chg: DataFrame, key: str, order: list[str] | None, cond: Column) -> Column:
+    """Aggregate: the first change that meets a condition."""
+    return F.min(F.when(cond, _turn(chg, key, order)))
+
+
 def _apply(
     df: DataFrame,
     chg: DataFrame,
@@ -39,9 +58,10 @@ def _apply(
     rules: dict[str, Column],
     only: Column | None = None,
     order: list[str] | None = None,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Left join the last changes as ``new_<col>`` and rewrite the ruled columns."""
-    chg = last_changes(chg, key, order)
+    chg = last_changes(chg, key, order, also)
     renamed = chg.select(
         key, *[F.col(c).alias(NEW + c) for c in chg.columns if c != key], F.lit(True).alias("_hit")
     )
@@ -94,13 +114,13 @@ def delete_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return anti(df, keys, key)
 
 
-def update_from(df: DataFrame, src: DataFrame, key: str, mapping: dict[str, Column]) -> DataFrame:
+def update_from(df: DataFrame, src: DataFrame, key: str, mapping: dict[str, Column], order: list[str] | None = None) -> DataFrame:
     """Update from a join with another table (DM-5).
 
     ``mapping`` gives each target column an expression over ``new_<source
-    column>`` and the old row.
+    column>`` and the old row.  Of several source rows of a key the last by ``order`` is used.
     """
-    return _apply(df, src, key, mapping)
+    return _apply(df, src, key, mapping, order=order)
 
 
 def insert_missing(df: DataFrame, src: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
@@ -139,56 +159,73 @@ def snapshot(df: DataFrame, keys: DataFrame, key: str, log_type: str, as_of: Col
     )
 
 
-def set_once(df: DataFrame, chg: DataFrame, key: str, gate: str, cols: list[str]) -> DataFrame:
-    """First write wins: columns change only while ``gate`` is NULL (DM-10)."""
-    return _apply(df, chg, key, {c: F.col(NEW + c) for c in cols}, only=F.col(gate).isNull())
+def set_once(df: DataFrame, chg: DataFrame, key: str, gate: str, cols: list[str], order: list[str] | None = None) -> DataFrame:
+    """First write wins: columns change only while ``gate`` is NULL (DM-10).
+
+    Of several changes the first that fills the gate closes it; while none does, each
+    replaces the one before.
+    """
+    filled = F.col(gate).isNotNull() if gate in chg.columns else F.lit(False)
+    also = {"closing": _first_of(chg, key, order, filled)}
+    closing = F.col(NEW + "closing")
+    rules = {c: F.when(closing.isNotNull(), closing[c]).otherwise(F.col(NEW + c)) for c in cols}
+    return _apply(df, chg, key, rules, only=F.col(gate).isNull(), order=order, also=also)
 
 
-def update_keep_blank(df: DataFrame, chg: DataFrame, key: str, cols: list[str], gated: list[str], gate: str) -> DataFrame:
+def update_keep_blank(
+    df: DataFrame, chg: DataFrame, key: str, cols: list[str], gated: list[str], gate: str, order: list[str] | None = None
+) -> DataFrame:
     """Update, but leave the gated columns alone when the new ``gate`` is blank (DM-10)."""
-    filled = nvl(F.trim(F.col(NEW + gate)), "") != ""
+    filled = nvl(F.trim(F.col(gate)), "") != ""
+    also = {"any": F.max(filled)} | {f"filled_{c}": _last_of(chg, key, order, filled, c) for c in gated}
     rules = {c: F.col(NEW + c) for c in cols}
-    rules |= {c: F.when(filled, F.col(NEW + c)).otherwise(F.col(c)) for c in gated}
-    return _apply(df, chg, key, rules)
+    rules |= {c: F.when(F.col(NEW + "any"), F.col(f"{NEW}filled_{c}")).otherwise(F.col(c)) for c in gated}
+    return _apply(df, chg, key, rules, order=order, also=also)
 
 
 # Delivery states that count as queued, sent and reset.
 QUEUED, SENT_MAIL = 1, 3
 
 
-def apply_visit_delivery(waits: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
+def apply_visit_delivery(waits: DataFrame, outcomes: DataFrame, as_of: Column, order: list[str] | None = None) -> DataFrame:
     """Outcome of sending a visit's pictures (DM-11).
 
     Rows with a manual send time record it in the manual columns, others in the
-    automatic ones.  Going to the queue does not count as a try; a message number
-    of 0 or NULL keeps the old one.
+    automatic ones.  Going to the queue does not count as a try, every other outcome does; a
+    message number of 0 or NULL keeps the one before.
     """
     manual = F.col("ManualTelegDate").isNotNull()
-    status, message = F.col("new_TelegramStatus"), F.col("new_TelegMessageId")
+    status = F.col("new_TelegramStatus")
+    numbered_message = nvl(F.col("TelegMessageId"), 0) != 0
+    also = {
+        "tries": F.count(F.when(nvl(F.col("TelegramStatus") != QUEUED, True), 1)),
+        "message": _last_of(outcomes, "siWait", order, numbered_message, "TelegMessageId"),
+    }
+    tries = F.col("new_tries")
     rules = {
         "ManualTelegStatus": F.when(manual, status).otherwise(F.col("ManualTelegStatus")),
         "ManualTelegDate": F.when(manual, as_of),
         "TelegramStatus": F.when(manual, F.col("TelegramStatus")).otherwise(status),
         "SendDate": F.when(manual, F.col("SendDate")).otherwise(as_of),
-        "TelegMessageId": F.when(nvl(message, 0) == 0, F.col("TelegMessageId")).otherwise(message),
-        "TryCount": F.when(status == QUEUED, F.col("TryCount")).otherwise(nvl(F.col("TryCount"), 0) + 1),
+        "TelegMessageId": F.coalesce("new_message", "TelegMessageId"),
+        "TryCount": F.when(tries == 0, F.col("TryCount")).otherwise(nvl(F.col("TryCount"), 0) + tries),
         "AttachedCountTeleg": F.col("new_AttachedCount"),
     }
-    return _apply(waits, outcomes, "siWait", rules)
+    return _apply(waits, outcomes, "siWait", rules, order=order, also=also)
 
 
-def apply_lab_delivery(patients: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
-    """Outcome of sending a laboratory answer (DM-11)."""
+def apply_lab_delivery(patients: DataFrame, outcomes: DataFrame, as_of: Column, order: list[str] | None = None) -> DataFrame:
+    """Outcome of sending a laboratory answer (DM-11); every one counts as a try."""
     rules = {
         "TelegramStatus": F.col("new_TelegramStatus"),
         "TelegMessageId": F.col("new_TelegMessageId"),
-        "TryCount": nvl(F.col("TryCount"), 0) + 1,
+        "TryCount": nvl(F.col("TryCount"), 0) + F.col("new_tries"),
         "SendDate": as_of,
     }
-    return _apply(patients, outcomes, "FileID", rules)
+    return _apply(patients, outcomes, "FileID", rules, order=order, also={"tries": F.count(F.lit(1))})
 
 
-def reset_lab_delivery(patients: DataFrame, requests: DataFrame) -> DataFrame:
+def reset_lab_delivery(patients: DataFrame, requests: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Put laboratory answers back into the queue (Mode 0) or take them out (Mode 1)."""
     rules = {
         "TelegramStatus": F.when(F.col("new_Mode") == 0, QUEUED),
@@ -196,7 +233,7 @@ def reset_lab_delivery(patients: DataFrame, requests: DataFrame) -> DataFrame:
         "TelegMessageId": F.lit(None),
         "SendDate": F.lit(None),
     }
-    return _apply(patients, requests, "FileID", rules)
+    return _apply(patients, requests, "FileID", rules, order=order)
 
 
 def request_manual_delivery(waits: DataFrame, requests: DataFrame, as_of: Column, delay_minutes: int) -> DataFrame:
@@ -210,20 +247,28 @@ def request_manual_delivery(waits: DataFrame, requests: DataFrame, as_of: Column
     return _apply(waits, requests, "siWait", rules)
 
 
-def apply_email(waits: DataFrame, outcomes: DataFrame, auto_visits: DataFrame, today: str, as_of: Column) -> DataFrame:
+def apply_email(
+    waits: DataFrame, outcomes: DataFrame, auto_visits: DataFrame, today: str, as_of: Column, order: list[str] | None = None
+) -> DataFrame:
     """Outcome of an e-mail (DM-11).
 
     A sent mail also queues the visit for automatic delivery when it is among
-    ``auto_visits`` (column ``siWait``).
+    ``auto_visits`` (column ``siWait``).  Of several outcomes the last says the state, the last
+    that sets or clears the time says the time, and any sent mail queues the visit.
     """
     flagged = outcomes.join(
         auto_visits.select("siWait").distinct().withColumn("Auto", F.lit(True)), "siWait", "left"
     )
-    state = F.col("new_SentEMail")
-    moved = nvl(F.col("new_Auto"), False) & (state == SENT_MAIL)
+    each = F.col("SentEMail")
+    also = {
+        "timed": _last_of(flagged, "siWait", order, each.isin(0, 2, SENT_MAIL), "SentEMail"),
+        "sent": F.max(nvl(each == SENT_MAIL, False)),
+    }
+    state, timed = F.col("new_SentEMail"), F.col("new_timed")
+    moved = nvl(F.col("new_Auto"), False) & F.col("new_sent")
 
     def stamp(col: str, value: Column) -> Column:
-        return F.when(state == 0, F.lit(None)).when(state.isin(2, 3), value).otherwise(F.col(col))
+        return F.when(timed == 0, F.lit(None)).when(timed.isNotNull(), value).otherwise(F.col(col))
 
     rules = {
         "SentEMail": state,
@@ -234,7 +279,7 @@ def apply_email(waits: DataFrame, outcomes: DataFrame, auto_visits: DataFrame, t
         "SendDate": F.when(moved, as_of).otherwise(F.col("SendDate")),
         "AttachedCountTeleg": F.when(moved, 0).otherwise(F.col("AttachedCountTeleg")),
     }
-    return _apply(waits, flagged, "siWait", rules)
+    return _apply(waits, flagged, "siWait", rules, order=order, also=also)
 
 
 def mark_sms(df: DataFrame, keys: DataFrame, key: str, as_of: Column, status: str = "SentSMS", time: str = "SentSMSTime") -> DataFrame:
@@ -252,11 +297,14 @@ def repair_table(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 STEP_RESETS = {1: ("WaitCheck", "MachineCheck"), 2: ("WaitCall", "MachinePhoto")}
 
 
-def apply_status(waits: DataFrame, chg: DataFrame) -> DataFrame:
-    """Step change that clears what later steps had recorded (DM-13)."""
-    step = F.col("new_Status")
-    rules = {"Status": step}
+def apply_status(waits: DataFrame, chg: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Step change that clears what later steps had recorded (DM-13).
+
+    Of several changes the last says the step, and each clears its columns.
+    """
+    rules = {"Status": F.col("new_Status")}
     for code, cols in STEP_RESETS.items():
         for c in cols:
-            rules[c] = F.when(nvl(step != code, True), F.col(c))
-    return _apply(waits, chg, "siWait", rules)
+            rules[c] = F.when(~F.col(f"new_back_{code}"), F.col(c))
+    also = {f"back_{code}": F.max(nvl(F.col("Status") == code, False)) for code in STEP_RESETS}
+    return _apply(waits, chg, "siWait", rules, order=order, also=also)

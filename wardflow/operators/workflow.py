@@ -1,11 +1,12 @@
 """Five-step 3-D workflow with undo (DM-14).
 
 The steps of one visit depend on each other, so they run in order of a sequence
-number, as a fold over a sorted array.  A visit with very many events is not one
-group: its events are cut into slices by their place in the visit.  The first
-slice of a visit starts from its stored state; each further slice is folded once for
-every possible state, and only these small results meet per visit.  A visit with
-no more events than a slice holds has one slice and pays for nothing else.
+number, as a fold over a sorted array.  A visit with more events than a slice holds
+is not one group: its events are cut into slices by their place in the visit.  The
+first slice starts from the stored state.  Each further slice is folded once for every
+possible state, which makes it a map from states to states; neighbours are composed in pairs,
+round by round, until one map for each visit is left.  So no row holds more than two
+maps, and visits with few events need none of this.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.dates import hhmm
-from wardflow.operators.joins import semi
+from wardflow.operators.joins import anti, semi
 from wardflow.operators.maintenance import update_from
 from wardflow.operators.windows import numbered
 
@@ -90,9 +91,9 @@ def _code(s: Column) -> Column:
     return F.when(s["present"], pair).otherwise(1).cast("int")
 
 
-def _joined(s: Column, part: Column) -> Column:
-    """State after a whole slice that was folded for every entry state."""
-    effect = F.element_at(part["effects"], _code(s))
+def _joined(s: Column, effects: Column) -> Column:
+    """State after whole slices that were folded for every entry state."""
+    effect = F.element_at(effects, _code(s))
     times = {t: F.when(effect["set_" + t], effect[t]).otherwise(s[t]) for t in TIMES}
     touched = {t: s["set_" + t] | effect["set_" + t] for t in TIMES}
     wait = F.when(effect["wait"] != 0, effect["wait"]).otherwise(s["wait"])
@@ -100,6 +101,29 @@ def _joined(s: Column, part: Column) -> Column:
     return _state(effect["present"], effect["now"], effect["last"], times, touched, wait, s["reset"] | effect["reset"], photo)
 
 
+def _sliced(events: DataFrame, slice_size: int, in_order: Column) -> DataFrame:
+    """Events of each visit in slices by their place in the visit."""
+    # numbers run on through each visit, so its first number gives the place in it
+    walked_in = numbered(events, ["siFiles", "seq"], "_n")
+    heads_at = walked_in.groupBy("siFiles").agg(F.min("_n").alias("_from"))
+    place = F.floor((F.col("_n") - F.col("_from")) / slice_size)
+    return walked_in.join(heads_at, "siFiles").groupBy("siFiles", place.alias("slice")).agg(in_order)
+
+
+def _composed(slices: DataFrame, most: int) -> DataFrame:
+    """One map of states for each visit, from the slices after its first, at most ``most`` of them."""
+    entries = F.array(*[_entry(*[F.lit(x) for x in state]) for state in STATES])
+    maps = F.transform(entries, lambda s: F.aggregate(F.col("events"), s, _after))
+    parts = slices.select("siFiles", (F.col("slice") - 1).alias("slice"), maps.alias("effects"))
+    while most > 1:
+        pair = F.array_sort(F.collect_list(F.struct("slice", "effects")))
+        halved = parts.groupBy("siFiles", F.floor(F.col("slice") / 2).alias("slice")).agg(pair.alias("pair"))
+        first, second = F.col("pair")[0]["effects"], F.get("pair", F.lit(1))["effects"]
+        both = F.when(second.isNull(), first).otherwise(F.transform(first, lambda s: _joined(s, second)))
+        parts, most = halved.select("siFiles", "slice", both.alias("effects")), -(-most // 2)
+    return parts.drop("slice")
+
+
 def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """New 3-D table, and what the events ask of the waiting list.
 
@@ -109,38 +133,28 @@ def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int =
     the time ``WaitPhoto`` of the first photo.
     """
     event = F.struct("seq", "step", "undo", F.col("at").cast("timestamp_ntz").alias("at"))
+    in_order = F.array_sort(F.collect_list(event)).alias("events")
     known = events.where(F.col("step").isin(*STEPS)).select("siFiles", "seq", "step", "undo", "at")
-    # numbers run on through each visit, so its first number gives the place in it
-    walked_in = numbered(known, ["siFiles", "seq"], "_n")
-    heads_at = walked_in.groupBy("siFiles").agg(F.min("_n").alias("_from"))
-    slices = (
-        walked_in.join(heads_at, "siFiles")
-        .groupBy("siFiles", F.floor((F.col("_n") - F.col("_from")) / slice_size).alias("slice"))
-        .agg(F.array_sort(F.collect_list(event)).alias("events"))
-    )
     stored = current.select("siFiles", F.struct("Status", "LastStatus", *TIMES).alias("old"))
     old = F.col("old")
     start = _entry(old.isNotNull(), old["Status"], old["LastStatus"], {t: old[t] for t in TIMES})
-    heads = (
-        slices.where(F.col("slice") == 0)
-        .join(stored, "siFiles", "left")
-        .select("siFiles", F.aggregate("events", start, _after).alias("state"))
-    )
-    entries = F.array(*[_entry(*[F.lit(x) for x in state]) for state in STATES])
-    tails = (
-        slices.where(F.col("slice") > 0)
-        .select(
-            "siFiles",
-            "slice",
-            F.transform(entries, lambda s: F.aggregate(F.col("events"), s, _after)).alias("effects"),
-        )
-        .groupBy("siFiles")
-        .agg(F.array_sort(F.collect_list(F.struct("slice", "effects"))).alias("parts"))
-    )
-    final = F.when(F.col("parts").isNull(), F.col("state")).otherwise(
-        F.aggregate("parts", F.col("state"), _joined)
-    )
-    walked = heads.join(tails, "siFiles", "left").select("siFiles", final.alias("new"))
+
+    def folded(first_slices: DataFrame) -> DataFrame:
+        joined = first_slices.join(stored, "siFiles", "left")
+        return joined.select("siFiles", F.aggregate("events", start, _after).alias("state"))
+
+    sizes = known.groupBy("siFiles").agg(F.count(F.lit(1)).alias("_size"))
+    most = sizes.agg(F.max("_size").alias("n")).first()["n"] or 0
+    if most <= slice_size:
+        walked = folded(known.groupBy("siFiles").agg(in_order)).withColumnRenamed("state", "new")
+    else:
+        long = sizes.where(F.col("_size") > slice_size).select("siFiles")
+        few = anti(known, long, "siFiles").groupBy("siFiles").agg(in_order)
+        slices = _sliced(semi(known, long, "siFiles"), slice_size, in_order)
+        heads = folded(few.unionByName(slices.where(F.col("slice") == 0).drop("slice")))
+        rest = _composed(slices.where(F.col("slice") > 0), -(-most // slice_size) - 1)
+        done = F.when(F.col("effects").isNull(), F.col("state")).otherwise(_joined(F.col("state"), F.col("effects")))
+        walked = heads.join(rest, "siFiles", "left").select("siFiles", done.alias("new"))
     new = F.col("new")
     values = {"Status": new["now"], "LastStatus": new["last"], **{t: new[t] for t in TIMES}}
     table = (
