@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from wardflow.operators import maintenance as dm
 from wardflow.operators import sinks
 from wardflow.sources.stores import KEYLESS, KeyedTable, RunTable
+from wardflow.sources.trigrams import TextIndex
 
 SCHEMA = T.StructType().add("k", "long").add("v", "string").add("n", "integer")
 
@@ -137,3 +138,19 @@ def test_superseded_files_go_and_rows_stay(spark, tmp_path):
     want = rows_of(t.read())
     assert t.drop_superseded() == 2 and rows_of(t.read()) == want
     assert len(list((tmp_path / "t" / "rows").glob("_part=*/_at=*"))) == 3
+
+
+def test_index_opens_only_parts_that_can_contain_a_text(spark, tmp_path):
+    texts = [None, "", "ab", "abc", "xabcx", "sugar cane", "cane sugar", "100% _x_", "سلام دنیا"]
+    rows = [(i, texts[i // 10 % len(texts)], i) for i in range(120)]
+    t = table(spark, tmp_path, rows)
+    index = TextIndex(spark, str(tmp_path / "index"), t, ["v"])
+    index.build()
+    for text in ("abc", "cane s", "sugar", "zzz", "ab", "% _", "لام د", "", "canesugar"):
+        want = sorted(r for r in rows if r[1] is not None and text in r[1])
+        assert sorted(map(tuple, index.search(text).collect())) == want, text
+    opened = index.search("cane s").inputFiles()
+    assert {f.split("/_part=")[1].split("/")[0] for f in opened} == {"6"}
+    t.rewrite(frame(spark, [(3, "now with sugar cane")]), lambda r, chg: dm.update_by_key(r, chg, "k", ["v"]), 1)
+    index.extend(frame(spark, [(3, "now with sugar cane")]), 1)
+    assert 3 in {r.k for r in index.search("sugar cane").collect()}

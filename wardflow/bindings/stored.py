@@ -11,8 +11,10 @@ from wardflow.bindings.basics import AS_OF, now
 from wardflow.bindings.registry import CHECKS, query
 from wardflow.bindings.upkeep import STAMP, stamp
 from wardflow.operators import aggs, maintenance as dm, sinks
+from wardflow.plans import reports
 from wardflow.session import shared_folder
-from wardflow.sources.stores import KeyedTable, RunTable
+from wardflow.sources.stores import KeyedTable, RunTable, bucketed
+from wardflow.sources.trigrams import TextIndex
 
 c = F.col
 #: Keys of one part of the stored tables here; a part of a real table has some hundred megabytes.
@@ -156,3 +158,30 @@ def _(t):
     chg = t["waits"].where(c("Status").isin(2, 4, 8)).select("siWait", step.alias("Status"))
     waits = kept(t, t["waits"].select("siWait", "Status", "WaitCheck", "MachineCheck", "WaitCall", "MachinePhoto"), "siWait", "waits")
     return sinks.stored_change(waits, chg, dm.apply_status, 1)
+
+
+BUCKETS = 16
+
+
+@query("cq_25_stored_audit", CHECKS["cq_25_account_audit"])
+def _(t):
+    """The accounts and their log lie in buckets of visits, so nothing is exchanged before they are united."""
+    stored = {}
+    for name in ("accounts", "account_log"):
+        folder = place(t, name)
+        stored[name] = bucketed(t[name], f"{name}_{folder[-32:]}", folder, "siFiles", BUCKETS)
+    rows = reports.account_audit({**stored, "files": t["files"]}, "1377/01/01")
+    return rows.select("siAccount", "siFiles", "PayableFee", "PaidAmount", stamp("LogDateTime"), "LogType", "FName", "LName")
+
+
+@query(
+    "flt_04_indexed_comments",
+    """SELECT siFiles, Comment, Subject FROM files WHERE Comment LIKE '%URGENT P%' OR Subject LIKE '%URGENT P%'
+       UNION ALL SELECT siFiles, Comment, Subject FROM files WHERE Comment LIKE '% F%' OR Subject LIKE '% F%'""",
+)
+def _(t):
+    """A long text through the index, and one that is too short for it."""
+    files = kept(t, t["files"].select("siFiles", "Comment", "Subject"), "siFiles", "files")
+    index = TextIndex(t.spark, place(t, "files_index"), files, ["Comment", "Subject"])
+    index.build()
+    return index.search("URGENT P").unionByName(index.search(" F"))

@@ -472,3 +472,111 @@ def _(t):
         "FileID", "fCode", "Mobile", "SendType", "DoctorName", "Status", "TelegramStatus",
         "Phone1", "SendStatus", "BirthYear", "MedicalID", "Sex", "SexTitle",
     )
+
+
+# --------------------------------------------- several changes of one key
+
+LATER = "(ts, event_id)"
+
+
+def in_turn(t, **cols):
+    """Changes from the event stream: several for each waiting entry, in order of time and number."""
+    return t["events"].select(c("user_id").alias("siWait"), *[v.alias(n) for n, v in cols.items()], "ts", "event_id")
+
+
+TURN = ["ts", "event_id"]
+
+
+@query(
+    "dm_11_repeated_delivery",
+    f"""WITH o AS (SELECT user_id AS k, arg_max(event_id % 6, {LATER}) AS s, arg_max(event_id % 7, {LATER}) AS a, count(*) FILTER (event_id % 6 <> 1) AS tries,
+           arg_max(event_id % 4, {LATER}) FILTER (event_id % 4 <> 0) AS m FROM events GROUP BY user_id)
+       SELECT siWait, CASE WHEN k IS NULL OR ManualTelegDate IS NOT NULL THEN TelegramStatus ELSE s END AS TelegramStatus,
+         CASE WHEN k IS NOT NULL AND ManualTelegDate IS NOT NULL THEN s ELSE ManualTelegStatus END AS ManualTelegStatus, coalesce(m, TelegMessageId) AS TelegMessageId,
+         CASE WHEN tries > 0 THEN coalesce(TryCount, 0) + tries ELSE TryCount END AS TryCount, CASE WHEN k IS NOT NULL THEN a ELSE AttachedCountTeleg END AS AttachedCountTeleg
+       FROM waits LEFT JOIN o ON k = siWait""",
+)
+def _(t):
+    n = c("event_id")
+    outcomes = in_turn(t, TelegramStatus=n % 6, TelegMessageId=n % 4, AttachedCount=n % 7)
+    waits = t["waits"].select(*WAIT_COLS, "SendDate", "ManualTelegDate")
+    return dm.apply_visit_delivery(waits, outcomes, now(), order=TURN).select(*WAIT_COLS)
+
+
+@query(
+    "dm_11_repeated_lab_delivery",
+    f"""WITH o AS (SELECT user_id + 1000 AS k, arg_max(event_id % 5, {LATER}) AS s, arg_max(event_id, {LATER}) AS m, count(*) AS tries FROM events GROUP BY user_id)
+       SELECT FileID, CASE WHEN k IS NULL THEN TelegramStatus ELSE s END AS TelegramStatus, CASE WHEN k IS NULL THEN TelegMessageId ELSE m END AS TelegMessageId,
+         CASE WHEN k IS NULL THEN TryCount ELSE coalesce(TryCount, 0) + tries END AS TryCount FROM lab_patients LEFT JOIN o ON k = FileID""",
+)
+def _(t):
+    n = c("event_id")
+    outcomes = t["events"].select((c("user_id") + 1000).alias("FileID"), (n % 5).alias("TelegramStatus"), n.alias("TelegMessageId"), "ts", "event_id")
+    patients = t["lab_patients"].select(*LAB_COLS, "SendDate")
+    return dm.apply_lab_delivery(patients, outcomes, now(), order=TURN).select(*LAB_COLS)
+
+
+@query(
+    "dm_11_repeated_email",
+    f"""WITH o AS (SELECT user_id AS k, arg_max(event_id % 4, {LATER}) AS s, arg_max(event_id % 9, {LATER}) AS a, arg_max(event_id % 4, {LATER}) FILTER (event_id % 4 <> 1) AS d,
+           bool_or(event_id % 4 = 3) AS sent FROM events GROUP BY user_id)
+       SELECT siWait, CASE WHEN k IS NULL THEN SentEMail ELSE s END AS SentEMail, CASE WHEN k IS NULL THEN AttachedCount WHEN s <> 0 THEN a END AS AttachedCount,
+         CASE WHEN d = 0 THEN NULL WHEN d > 0 THEN '1402/11/10' ELSE EMailDate END AS EMailDate, CASE WHEN sent AND siWait % 2 = 0 THEN 1 ELSE TelegramStatus END AS TelegramStatus
+       FROM waits LEFT JOIN o ON k = siWait""",
+)
+def _(t):
+    outcomes = in_turn(t, SentEMail=c("event_id") % 4, AttachedCount=c("event_id") % 9)
+    auto = t["waits"].where(c("siWait") % 2 == 0).select("siWait")
+    cols = ["siWait", "SentEMail", "AttachedCount", "EMailDate", "EMailTime", "TelegramStatus", "AttachedCountTeleg", "SendDate"]
+    out = dm.apply_email(t["waits"].select(*cols), outcomes, auto, "1402/11/10", now(), order=TURN)
+    return out.select("siWait", "SentEMail", "AttachedCount", "EMailDate", "TelegramStatus")
+
+
+STEP_SQL = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 4 WHEN 'purchase' THEN 8 ELSE 16 END"
+
+
+@query(
+    "dm_13_repeated_status",
+    f"""WITH o AS (SELECT user_id AS k, arg_max({STEP_SQL}, {LATER}) AS s, bool_or(event_type = 'view') AS back1, bool_or(event_type = 'click') AS back2 FROM events GROUP BY user_id)
+       SELECT siWait, coalesce(s, Status) AS Status, CASE WHEN back1 THEN NULL ELSE WaitCheck END AS WaitCheck, CASE WHEN back1 THEN NULL ELSE MachineCheck END AS MachineCheck,
+         CASE WHEN back2 THEN NULL ELSE WaitCall END AS WaitCall, CASE WHEN back2 THEN NULL ELSE MachinePhoto END AS MachinePhoto FROM waits LEFT JOIN o ON k = siWait""",
+)
+def _(t):
+    cols = ["siWait", "Status", "WaitCheck", "MachineCheck", "WaitCall", "MachinePhoto"]
+    return dm.apply_status(t["waits"].select(*cols), in_turn(t, Status=F.expr(STEP_SQL)), order=TURN)
+
+
+@query(
+    "dm_10_repeated_set_once",
+    f"""WITH e AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN 'c' || event_id END AS g FROM events),
+         o AS (SELECT user_id AS k, arg_min(struct_pack(g := g, m := event_type), {LATER}) FILTER (g IS NOT NULL) AS f, arg_max(event_type, {LATER}) AS l FROM e GROUP BY user_id)
+       SELECT siWait, CASE WHEN WaitCheck IS NULL THEN f.g ELSE WaitCheck END AS WaitCheck,
+         CASE WHEN WaitCheck IS NOT NULL OR k IS NULL THEN MachineCheck WHEN f IS NOT NULL THEN f.m ELSE l END AS MachineCheck FROM waits LEFT JOIN o ON k = siWait""",
+)
+def _(t):
+    gate = F.when(c("event_id") % 3 > 0, F.concat(F.lit("c"), c("event_id").cast("string")))
+    chg = in_turn(t, WaitCheck=gate, MachineCheck=c("event_type"))
+    return dm.set_once(t["waits"].select("siWait", "WaitCheck", "MachineCheck"), chg, "siWait", "WaitCheck", ["WaitCheck", "MachineCheck"], order=TURN)
+
+
+@query(
+    "dm_10_repeated_keep_blank",
+    f"""WITH o AS (SELECT user_id AS k, arg_max(event_type, {LATER}) AS m, arg_max('t' || event_id, {LATER}) FILTER (event_id % 3 = 1) AS g, bool_or(event_id % 3 = 1) AS filled FROM events GROUP BY user_id)
+       SELECT siWait, CASE WHEN k IS NULL THEN Comment ELSE m END AS Comment, CASE WHEN filled THEN g ELSE WaitTime END AS WaitTime FROM waits LEFT JOIN o ON k = siWait""",
+)
+def _(t):
+    blank = F.when(c("event_id") % 3 == 0, " ")
+    time = F.when(c("event_id") % 3 == 1, F.concat(F.lit("t"), c("event_id").cast("string"))).otherwise(blank)
+    chg = in_turn(t, Comment=c("event_type"), WaitTime=time)
+    return dm.update_keep_blank(t["waits"].select("siWait", "Comment", "WaitTime"), chg, "siWait", ["Comment"], ["WaitTime"], "WaitTime", order=TURN)
+
+
+@query(
+    "dm_05_repeated_update_from",
+    f"""WITH o AS (SELECT user_id AS k, arg_max(event_type, {LATER}) AS v FROM events GROUP BY user_id)
+       SELECT siDoctors, coalesce(v, Job) AS Job, CASE WHEN k IS NULL THEN Tag1 ELSE Tag1 + length(v) END AS Tag1 FROM doctors LEFT JOIN o ON k = siDoctors""",
+)
+def _(t):
+    src = t["events"].select(c("user_id").alias("siDoctors"), "event_type", "ts", "event_id")
+    mapping = {"Job": F.coalesce("new_event_type", "Job"), "Tag1": c("Tag1") + F.length("new_event_type")}
+    return dm.update_from(t["doctors"].select("siDoctors", "Job", "Tag1"), src, "siDoctors", mapping, order=TURN)

@@ -337,6 +337,33 @@ def extra_price_list(t: Tables, visits: DataFrame) -> DataFrame:
     )
 
 
+def visit_offers(t: Tables, visits: DataFrame) -> DataFrame:
+    """Extra services that may be priced for each asked visit, at reduced prices (CQ-9).
+
+    Unlike ``extra_price_list``, an offer that is always made belongs to every asked
+    visit: with the visit's own service rows, or without one.  Only the services of the asked
+    visits are read into the join, and the tariffs that are always offered are few.
+    """
+    tariffs = t["tariffs"].where(c("Type") != 1).select(
+        "siCommonTariff", "TariffName", "Price", "Type", "IsAfter", "ExtraPercent", "ForceExtra"
+    )
+    asked = semi(t["files"].select("siFiles", "Bef_Aft"), visits.select("siFiles"), "siFiles")
+    services = semi(t["services"].select("siServiceTable", "siFiles", "siCommonTariff", "Number"), visits.select("siFiles"), "siFiles")
+    used = services.join(tariffs.select("siCommonTariff"), "siCommonTariff", "left_semi")
+    forced = tariffs.where(c("ForceExtra") == 1).select("siCommonTariff")
+    listed = forced.agg(F.collect_set("siCommonTariff").alias("l")).scalar()
+    always = asked.select("siFiles", F.explode(listed).alias("siCommonTariff"))
+    bare = always.join(used.select("siFiles", "siCommonTariff").distinct(), ["siFiles", "siCommonTariff"], "left_anti")
+    rows = used.unionByName(bare, allowMissingColumns=True).join(tariffs, "siCommonTariff").join(asked, "siFiles")
+    rows = rows.where(c("Bef_Aft").isNull() | (c("Bef_Aft") == 1) | (c("Bef_Aft") == c("IsAfter")))
+    return rows.select(
+        "siFiles", "siServiceTable", "siCommonTariff", "TariffName",
+        reduced_price(c("Price"), c("ExtraPercent")).alias("Price"),
+        "Type", "IsAfter", nvl(c("ExtraPercent"), 0).alias("ExtraPercent"), "ForceExtra", "Bef_Aft", "Number",
+        nvl(c("Number"), 1).alias("Number2"),
+    )
+
+
 def account_audit(t: Tables, since: str = AUDIT_SINCE) -> DataFrame:
     """Current and logged versions of changed accounts (CQ-25)."""
     log = t["account_log"]
