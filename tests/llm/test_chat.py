@@ -11,7 +11,7 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 def brute(rows):
     out = []
     key = lambda r: (r[0] is not None, r[0] or 0)
-    order = lambda r: (r[1] is not None, r[1] or 0, chat_escape(r[2] or ""), chat_escape(r[3] or ""))
+    order = lambda r: (r[1] is not None, r[1] or 0, (r[2] or "").encode(), (r[3] or "").encode())
     for _, turns in groupby(sorted(rows, key=key), key=key):
         turns = sorted(turns, key=order)
         said = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in turns)
@@ -21,10 +21,6 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def chat_escape(s):
-    return s.replace("\\", "\\\\").replace("<", "\\l").replace(">", "\\g")
-
-
 def check(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     formatted = chat.format_conversations(df).cache()
@@ -42,6 +38,13 @@ def test_odd_texts_come_back(spark):
     check(spark, rows)
 
 
+def test_ties_are_ordered_by_the_text_itself(spark):
+    rows = [(1, 0, "user", t) for t in ("a<", "aB", "a>", "a\\", "a")] + [(1, 0, "us<er", "x"), (1, 0, "usZer", "x")]
+    check(spark, rows)
+    out = chat.format_conversations(spark.createDataFrame([(2, 0, "user", "aB"), (2, 0, "user", "a<")], SCHEMA)).first()
+    assert out.formatted == "<turn user>a\\l<part>aB<end>"
+
+
 def test_given_table_and_empty_table(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     check(spark, rows)

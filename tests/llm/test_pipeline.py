@@ -1,10 +1,11 @@
+import os
 import re
 
-
 import corpus_pipeline
 from tests.llm.test_bagminhash import brute as near_classes
 from tests.llm.test_linededup import brute as removed_lines
 from tests.llm.test_packing import check_sequences
+from wardflow.llm.common import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,7 +51,11 @@ def test_every_stage_acts_on_what_it_is_given(spark, folder, small_docs):
 
 
 def test_run_is_the_stages_one_after_another(spark, folder):
+    place = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(place))
     rows = corpus_pipeline.run(spark, folder).collect()
+    left = {x.split("-")[0] for x in set(os.listdir(place)) - before}
+    assert not left & {"line", "near", "mix", "quality", "sieve", "cc"}  # went with the stages after them
     used = check_sequences(rows)
     assert used >= -(-sum(r.length for r in rows) // 4096)
 
@@ -60,3 +65,20 @@ def test_empty_table_through_all_stages(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_columns_of_any_name_stay(spark, folder, small_docs):
+    """Names that the operators use inside, in any case, keep their values; only packing has its own columns."""
+    from pyspark.sql import functions as F
+
+    names = ["n_lines", "n_removed", "_of", "_marks", "_kept", "_size", "_uid", "_row", "_place", "_key", "uid", "line", "bag", "_equal", "_taken", "Doc_ID", "TEXT", "other_0"]
+    rows = small_docs.limit(120)
+    docs = rows.select(*rows.columns, *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        at = {n: i for i, n in enumerate(out.columns)}
+        found = out.collect()
+        assert found and all(r[at[n]] == f"{n}:{r[at['doc_id']]}" for r in found for n in names), name
+    plain = by_name("best_fit_packing")(spark, rows, folder)
+    assert by_name("best_fit_packing")(spark, docs, folder).columns == plain.columns

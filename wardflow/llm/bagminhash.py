@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import passes, sieve, stored
+from wardflow.llm.common import aside, passes, sieve, stored
 from wardflow.llm.octets import U, Texts, mix, owners, slices, windows
 
 SHINGLE = 5
@@ -255,11 +255,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all columns of ``docs``; of equal rows one stays."""
+    """One document of each class, with all columns of ``docs``.
+
+    Of rows equal in id and text the one with the least source and language stays.
+    """
+    docs, back = aside(docs, "doc_id", "text", "lang", "source")
     columns = docs.columns
     rows = identified(docs)
     dropped = stored(classes(rows).groupBy("uid").agg(F.max("kept").alias("_kept"), F.count("*").alias("_equal")).filter("not _kept or _equal > 1"), "near-dropped")
     asked = passes(sieve(dropped, "uid"), "_uid")
     met = rows.filter(asked).join(dropped.withColumnRenamed("uid", "_uid"), "_uid", "left").filter(F.coalesce("_kept", F.lit(True)))
     single = met.filter("_equal is null").select(*columns).unionByName(rows.filter(~asked).select(*columns))
-    return single.unionByName(met.filter("_equal > 1").dropDuplicates(["_uid"]).select(*columns))
+    least = F.min_by(F.struct(*columns), F.struct(*[F.col(c) for c in ("source", "lang") if c in columns], F.lit(0)))
+    of_equal = met.filter("_equal > 1").groupBy("_uid").agg(least.alias("_row")).select("_row.*")
+    return back(single.unionByName(of_equal))

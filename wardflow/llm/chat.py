@@ -56,10 +56,12 @@ def _blocks(turns: Column) -> Column:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss_spans`` from rows ``conv_id, turn, role, text``."""
-    role = escape(F.coalesce(F.col("role").cast("string"), F.lit("")))
-    text = escape(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    role = F.coalesce(F.col("role").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     item = F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"))
-    gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("_turns"))
+    in_order = F.array_sort(F.collect_list(item))  # by the texts themselves; escaped ones sort otherwise
+    written_out = F.transform(in_order, lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    gathered = turns.groupBy("conv_id").agg(written_out.alias("_turns"))
     blocks = gathered.select("conv_id", _blocks(F.col("_turns")).alias("_blocks"))
     written = F.transform(
         "_blocks",

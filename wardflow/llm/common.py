@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardflow.session import shared_folder
+
 #: What separates words: space and the ASCII control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: ``spark.checkpoint.dir``, or a folder of its own where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+#: Paths stored so far, innermost scratch last.
+_STORED: list[list[str]] = [[]]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The tables stored inside, but for those that outlive it, as a list to be removed."""
+    paths: list[str] = []
+    _STORED.append(paths)
+    try:
+        yield paths
+    finally:
+        _STORED.remove(paths)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a read and not a rerun of
-    what came before.  The files are removed when the application ends.
+    what came before.  The files are removed when the application ends, or earlier
+    by whoever opened the scratch around it; ``outlives`` leaves them to the next outer one.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -33,6 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     jvm.System.gc()  # Spark then deletes the shuffle files of finished steps, which the heap alone would not ask for
     df.write.parquet(path)
+    _STORED[-2 if outlives and len(_STORED) > 1 else -1].append(path)
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(schema).parquet(path)
@@ -62,6 +82,24 @@ def passes(bits: Column, column: str) -> Column:
     return word.bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) AS int))")) != 0
 
 
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with neutral names for all columns but the needed ones, and the way back.
+
+    So no name that an operator uses inside can clash with a column of the user, also not
+    in another case.  The way back gives the columns in their order, the one named ``last``
+    after them; ``added`` ones come at the end and replace those of the same name.
+    """
+    plain: list[str] = []
+    for i, name in enumerate(docs.columns):
+        plain.append(name if name in needed and name not in plain else f"other_{i}")
+
+    def back(rows: DataFrame, *added: str, last: str | None = None) -> DataFrame:
+        kept = [(p, F.col(p).alias(n)) for p, n in zip(plain, docs.columns) if n not in added]
+        return rows.select(*[c for p, c in kept if p != last], *[c for p, c in kept if p == last], *added)
+
+    return docs.toDF(*plain), back
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

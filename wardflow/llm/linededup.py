@@ -8,9 +8,9 @@ overlap before the words themselves are compared.  A line is removed if a line a
 earlier position (document id, line number) matches it.
 
 Equal word sets are joined as one.  To keep large groups of near copies from becoming
-all pairs, a first round compares every set only with the earliest set of its group (sets
-that share a hashed prefix word); what is matched there needs no further partner,
-and only the rest is joined with all earlier sets.
+all pairs, sets are first compared only with the earliest set of their groups (sets
+that share a hashed prefix word), in turns over those that have not matched yet; what is
+matched there needs no further partner, and only the rest is joined with all earlier sets.
 
 Defined results: null text has no lines and stays null; lines without words are kept
 and never match; null ids come first; repeated rows have one position and get equal
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import SEPARATORS, passes, sieve, stored
+from wardflow.llm.common import SEPARATORS, aside, passes, remove, scratch, sieve, stored
 
 RARITY_BUCKETS = 1 << 16
 #: Sets of more words have a wider parity bitmap.
@@ -30,6 +30,8 @@ LARGE = 48
 #: Most hashes that are broadcast, about 64 MB.
 BROADCAST_ROWS = 2_000_000
 GROUP_KEYS = 3
+#: Turns of leaders at most, and the sets, also as a share of all, that one must find for another to follow.
+TURNS, LEAST_FOUND, LEAST_SHARE = 6, 500, 0.001
 _BLANKS = " \t\x0b\x0c\r"
 
 
@@ -116,12 +118,12 @@ def _may_match(n: Column, m: Column, room: Column, other_room: Column, parity: C
     return length & place & (9 * F.bit_count(parity.bitwiseXOR(other_parity)) <= n + m)
 
 
-def _with_leaders(sets: DataFrame) -> DataFrame:
-    """Pairs of a set and the earliest set of one of its groups.
+def _with_leaders(sets: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a set and the earliest set of one of its groups; every turn groups by other words.
 
     A group is read in order and only its first row is held, so it may be large.
     """
-    mixed = F.slice(F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t))), 1, GROUP_KEYS)
+    mixed = F.slice(F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(turn)))), 1, GROUP_KEYS)
     rows = sets.select(F.explode(mixed).alias("g"), "sig", "first.doc", "first.line", "n", "parity")
     window = Window.partitionBy("g").orderBy("doc", "line", "sig")
     led = rows.withColumn("lead", F.first(F.struct("sig", "n", "parity")).over(window))
@@ -130,6 +132,25 @@ def _with_leaders(sets: DataFrame) -> DataFrame:
     return led.filter((F.col("sig") != lead["sig"]) & fits).select(F.col("sig").alias("later"), lead["sig"].alias("earlier"))
 
 
+def _led(docs: DataFrame, text: str, sets: DataFrame) -> DataFrame:
+    """Sets that match the leader of a group, in turns over those that have not matched yet.
+
+    A large group of near copies shrinks in every turn, so what the exact join is
+    left with does not grow with the square of the group.  Turns end when one finds little.
+    """
+    done, still = None, sets
+    for turn in range(TURNS):
+        with scratch() as used:
+            found = stored(_verified(docs, text, sets, _with_leaders(still, turn)), "line-led", outlives=True)
+        remove(docs.sparkSession, used)
+        count = found.count()
+        done = found if done is None else stored(done.union(found), "line-done")
+        if count < max(LEAST_FOUND, LEAST_SHARE * sets.count()):
+            break
+        still = stored(sets.join(_small(done), "sig", "left_anti"), "line-still")
+    return done
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """``rows`` of one hash, broadcast up to ``BROADCAST_ROWS``; more rows are left to a shuffle join."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
@@ -162,9 +183,11 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     sets = stored(
         wide.groupBy("sig", "n", *_MARKS).agg(F.min(_first()).alias("first"), F.first("prefix").alias("prefix"), F.count("*").alias("lines")), "line-distinct"
     )
-    led = stored(_verified(docs, text, sets, _with_leaders(sets)), "line-led")
-    rest = _verified(docs, text, sets, _joined(sets, led))
-    matched = stored(led.union(rest), "line-matched").withColumn("_hit", F.lit(True))
+    with scratch() as used:
+        led = _led(docs, text, sets)
+        rest = _verified(docs, text, sets, _joined(sets, led))
+        matched = stored(led.union(rest), "line-matched", outlives=True).withColumn("_hit", F.lit(True))
+    remove(docs.sparkSession, used)
     # sets of one line that match nothing need no decision
     decided = sets.join(_small(matched), "sig", "left").filter("_hit is not null or lines > 1").select("sig", "first", "_hit")
     decided = stored(decided, "line-decided")
@@ -182,7 +205,11 @@ def _marks(removed: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, plus ``n_lines`` and ``n_removed`` (lines with a word)."""
+    """``docs`` with repeated lines taken out of ``text``, plus ``n_lines`` and ``n_removed`` (lines with a word).
+
+    Columns of these two names are replaced, all others stay.
+    """
+    docs, back = aside(docs, "doc_id", text)
     columns = [c for c in docs.columns if c != text]
     rows = _identified(docs, text)
     marks = stored(_marks(removed_lines(rows, text)), "line-marks")
@@ -196,4 +223,4 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     lost = F.aggregate(F.coalesce("_marks", F.array().cast("array<long>")), F.lit(0), lambda a, m: a + F.bit_count(m))
     out = met.select(*columns, kept.alias(text), count.alias("n_lines"), lost.alias("n_removed"))
     rest = rows.filter(~F.coalesce(touched, F.lit(False))).select(*columns, text, count.alias("n_lines"), F.lit(0).alias("n_removed"))
-    return out.unionByName(rest)
+    return back(out.unionByName(rest), "n_lines", "n_removed", last=text)

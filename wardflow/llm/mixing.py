@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import parts_for, stored, word_count
+from wardflow.llm.common import aside, parts_for, stored, word_count
 
 WEIGHTS = [5, 2, 1]
 MOST_EPOCHS = 3
@@ -106,6 +106,7 @@ def realised(docs: DataFrame) -> DataFrame:
     Columns are those of ``docs``; ``n_chars`` of a cut document is its new length.
     Equal rows are told apart by their place among equals.
     """
+    docs, back = aside(docs, "doc_id", "text", "lang", "source", "n_chars")
     columns = docs.columns
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text", "lang", "source"))
     rows = _sizes(keyed, "text", "_row")
@@ -125,4 +126,4 @@ def realised(docs: DataFrame) -> DataFrame:
     out = spread.select(*[c for c in columns if c != "text"], F.explode("_texts").alias("text"))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return back(out)

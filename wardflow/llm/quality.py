@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.llm.common import passes, sieve, stored
+from wardflow.llm.common import aside, passes, sieve, stored
 from wardflow.llm.octets import U, Texts, mix, owners, slices, windows
 
 WINDOW = 8
@@ -282,7 +282,7 @@ def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    columns = docs.columns
+    docs, back = aside(docs, "doc_id", "text", "lang", "source")
     fields = ["_key", "_lang", "_source"]
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), "lang", "source"))
     picked = keyed.select("_key", F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), "text")
@@ -290,4 +290,4 @@ def accepted(docs: DataFrame) -> DataFrame:
     # only rows that the sieve lets through need be shuffled to the join
     asked = passes(sieve(rejected, "_key"), "_key")
     met = keyed.filter(asked).join(rejected, "_key", "left_anti")
-    return met.unionByName(keyed.filter(~asked)).select(*columns)
+    return back(met.unionByName(keyed.filter(~asked)))
