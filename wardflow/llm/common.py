@@ -92,12 +92,13 @@ def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataF
     plain: list[str] = []
     for i, name in enumerate(docs.columns):
         plain.append(name if name in needed and name not in plain else f"other_{i}")
+    same = plain == docs.columns
 
     def back(rows: DataFrame, *added: str, last: str | None = None) -> DataFrame:
         kept = [(p, F.col(p).alias(n)) for p, n in zip(plain, docs.columns) if n not in added]
         return rows.select(*[c for p, c in kept if p != last], *[c for p, c in kept if p == last], *added)
 
-    return docs.toDF(*plain), back
+    return docs if same else docs.toDF(*plain), back
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -31,7 +31,7 @@ LARGE = 48
 BROADCAST_ROWS = 2_000_000
 GROUP_KEYS = 3
 #: Turns of leaders at most, and the sets, also as a share of all, that one must find for another to follow.
-TURNS, LEAST_FOUND, LEAST_SHARE = 6, 500, 0.001
+TURNS, LEAST_FOUND, LEAST_SHARE = 6, 500, 0.05
 _BLANKS = " \t\x0b\x0c\r"
 
 
@@ -90,13 +90,9 @@ def _first() -> Column:
 def _verified(docs: DataFrame, text: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (``later, earlier`` sets) in the right order whose words do match: ``later`` once each."""
     pairs = stored(pairs.distinct(), "line-pairs")
-    order = sets.select("sig", "first", "n", "wide0", "wide1")
-    ordered = pairs.join(order.toDF("later", "lf", "ln", "l0", "l1"), "later").join(order.toDF("earlier", "ef", "en", "e0", "e1"), "earlier")
-    # both order and the wide bitmap of large sets are settled before any words are fetched
-    apart = F.expr("bit_count(l0 ^ e0) + bit_count(l1 ^ e1)")
-    large = (F.col("ln") > LARGE) & (F.col("en") > LARGE)
-    ordered = ordered.filter((F.col("ef") < F.col("lf")) & (~large | (9 * apart <= F.col("ln") + F.col("en"))))
-    pairs = stored(ordered.select("later", "earlier"), "line-ordered")
+    order = sets.select("sig", "first")
+    ordered = pairs.join(order.toDF("later", "lf"), "later").join(order.toDF("earlier", "ef"), "earlier")
+    pairs = stored(ordered.filter(F.col("ef") < F.col("lf")).select("later", "earlier"), "line-ordered")
     asked = pairs.select(F.explode(F.array("later", "earlier")).alias("sig")).distinct()
     places = stored(sets.join(asked, "sig", "left_semi").select("sig", F.col("first.uid").alias("uid"), F.col("first.line").alias("line")), "line-places")
     asked_rows = sieve(places, "uid")
@@ -107,15 +103,19 @@ def _verified(docs: DataFrame, text: str, sets: DataFrame, pairs: DataFrame) ->
     return met.filter(9 * same >= 4 * (F.size("lw") + F.size("ew"))).select(F.col("later").alias("sig")).distinct()
 
 
-def _may_match(n: Column, m: Column, room: Column, other_room: Column, parity: Column, other_parity: Column) -> Column:
+def _may_match(n: Column, m: Column, room: Column, other_room: Column, a: str, b: str) -> Column:
     """Length, position and parity filters of two sets that share a word.
 
     With similarity 4/5 or more the overlap is at least 4/9 of both sizes, and the
-    difference at most 1/9; ``room`` is how many words follow the shared one.
+    difference at most 1/9; ``room`` is how many words follow the shared one.  The 64 bits
+    of ``parity`` say little of large sets, so these are compared in 128 more.
     """
     length = (5 * n >= 4 * m) & (5 * m >= 4 * n)
     place = 9 * (1 + F.least(room, other_room)) >= 4 * (n + m)
-    return length & place & (9 * F.bit_count(parity.bitwiseXOR(other_parity)) <= n + m)
+    apart = {x: F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _MARKS}
+    small = (n <= LARGE) | (m <= LARGE)
+    wide = small | (9 * (apart["wide0"] + apart["wide1"]) <= n + m)
+    return length & place & (9 * apart["parity"] <= n + m) & wide
 
 
 def _with_leaders(sets: DataFrame, turn: int) -> DataFrame:
@@ -124,11 +124,12 @@ def _with_leaders(sets: DataFrame, turn: int) -> DataFrame:
     A group is read in order and only its first row is held, so it may be large.
     """
     mixed = F.slice(F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(turn)))), 1, GROUP_KEYS)
-    rows = sets.select(F.explode(mixed).alias("g"), "sig", "first.doc", "first.line", "n", "parity")
+    held = F.struct("sig", "n", *_MARKS)
+    rows = sets.select(F.explode(mixed).alias("g"), "sig", "first.doc", "first.line", "n", held.alias("own"))
     window = Window.partitionBy("g").orderBy("doc", "line", "sig")
-    led = rows.withColumn("lead", F.first(F.struct("sig", "n", "parity")).over(window))
+    led = rows.withColumn("lead", F.first("own").over(window))
     lead = F.col("lead")
-    fits = _may_match(F.col("n"), lead["n"], F.col("n"), lead["n"], F.col("parity"), lead["parity"])
+    fits = _may_match(F.col("n"), lead["n"], F.col("n"), lead["n"], "own", "lead")
     return led.filter((F.col("sig") != lead["sig"]) & fits).select(F.col("sig").alias("later"), lead["sig"].alias("earlier"))
 
 
@@ -164,7 +165,7 @@ def _joined(sets: DataFrame, done: DataFrame) -> DataFrame:
     """
     flagged = sets.join(_small(done.withColumn("_done", F.lit(True))), "sig", "left")
     rows = flagged.select(
-        "sig", "parity",
+        "sig", *_MARKS,
         F.when(F.col("_done"), -F.col("n")).otherwise(F.col("n")).alias("n"),
         F.posexplode("prefix").alias("p", "t"),
     ).repartition("t")
@@ -172,7 +173,7 @@ def _joined(sets: DataFrame, done: DataFrame) -> DataFrame:
     n, m = F.abs("a.n"), F.abs("b.n")
     # of the smaller set the shared word lies even earlier, as its overlap is at least 8/9 of it
     early = F.when(n <= m, 9 * F.col("a.p") <= n).otherwise(9 * F.col("b.p") <= m)
-    fits = _may_match(n, m, F.col("a.n") - 1 - F.col("a.p"), m - 1 - F.col("b.p"), F.col("a.parity"), F.col("b.parity"))
+    fits = _may_match(n, m, F.col("a.n") - 1 - F.col("a.p"), m - 1 - F.col("b.p"), "a", "b")
     found = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.sig") != F.col("b.sig")) & early & fits)
     return found.select(F.col("a.sig").alias("later"), F.col("b.sig").alias("earlier"))
 
