@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from wardflow.llm import pitmanyor as lm
@@ -38,6 +39,12 @@ def test_base_and_held_out_perplexity(small_docs):
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
 
 
+def test_extra_columns(small_docs):
+    """Columns named like those used inside do not matter."""
+    docs = small_docs.limit(20).selectExpr("doc_id", "text", "1 AS held", "'x' AS block", "2 AS part", "3 AS word", "4 AS sums", "5 AS n")
+    check(docs)
+
+
 def test_edge_rows(edge_docs, no_docs):
     check(edge_docs)
     assert lm.score(no_docs).count() == 0
@@ -54,34 +61,82 @@ def test_null_ids_and_block_cuts(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 
 
-def payload(texts, parts=1):
-    table = pa.table({"doc_id": list(range(len(texts))), "held": [False] * len(texts), "text": texts})
+def hash_of(*words):
+    return np.unique(lm._tokens(pa.table({"text": list(words)}))[0])
+
+
+def of(rows, column, value):
+    return rows.filter(pc.equal(rows.column(column), value))
+
+
+def passes(table, parts, hot):
+    """All passes without Spark over one block: its tokens, and the numbers it is told."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     batch = pa.RecordBatch.from_pydict({"block": [1], "texts": [sink.getvalue().to_pybytes()]})
-    return table, pa.Table.from_batches(list(lm._asker(parts)(iter([batch]))))
-
-
-def test_probabilities_sum_to_one():
+    asked = pa.Table.from_batches(list(lm._asker(parts, hot)(iter([batch]))))
+    summed = lambda rows: np.sum([v for v in rows.column("sums").to_pylist() if v], axis=0)
+    sent = pa.concat_tables([lm._first_pass(parts, hot)(of(asked, "part", k)) for k in range(parts) if len(of(asked, "part", k))])
+    totals = lm.Totals(hot, summed(sent), parts)
+    replies = pa.concat_tables([lm._parent_pass(totals)(of(sent, "home", k)) for k in range(parts) if len(of(sent, "home", k))])
+    totals.take_parent(summed(replies))
+    drawn = pa.concat_tables([lm._second_pass(totals)(of(asked, "part", k), of(replies, "part", k)) for k in range(parts)])
+    totals.take_tables(summed(drawn))
+    final = [lm._final_parent(totals)(of(asked, "part", k), of(drawn, "home", k)) for k in range(parts) if len(of(asked, "part", k)) + len(of(drawn, "home", k))]
+    parents = pa.concat_tables(final)
+    totals.take_parent(summed(parents))
+    answers = pa.concat_tables([of(drawn, "block", 1), of(parents, "block", 1)], promote_options="default")
+    tokens = lm.Tokens(table, parts, hot)
+    return tokens, *lm._told(tokens, answers, totals), totals
+
+
+@pytest.mark.parametrize("hots", [[], ["w1", "w2"]])
+def test_probabilities_sum_to_one(hots):
+    """In every context, hot or not, the known words and one unknown word share a mass of one."""
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 40) % 50) for _ in range(60)]
-    _, asked = payload(texts)
-    first = lm.Totals(np.array(lm._first_pass(1)(asked).column("sums")[0].as_py()))
-    answer = lm._second_pass(first)(asked)
-    final = lm.Totals(np.array(answer.column("sums")[0].as_py()))
-    final.discount, final.top_discount = first.discount, first.top_discount
-    part = lm.Part(asked)
-    parent = final.parent(np.frombuffer(answer.column("parent")[1].as_py(), np.float32).astype(float))
-    unknown = final.parent(np.zeros(1))
-    assert parent.sum() + unknown[0] == pytest.approx(1, abs=1e-4)
-    own = np.frombuffer(answer.column("own")[1].as_py(), np.float32).astype(float)
-    for u in np.unique(part.context):
-        mine = np.zeros(part.words)
-        mine[part.word_of_pair[part.context == u]] = own[part.context == u]
-        p = final.probability(mine, parent, np.full(part.words, u))
-        rest = final.probability(np.zeros(1), unknown, np.array([u]))
-        assert p.sum() + rest[0] == pytest.approx(1, abs=1e-3)
+    known = sorted({w for t in texts for w in t.split()})
+    # held-out texts hold all pairs; an unseen context is among them
+    others = [f"{u} {w}" for u in [*known, "never"] for w in [*known, "never"]] + ["", *known]
+    table = pa.table({"doc_id": list(range(len(texts) + len(others))), "held": [False] * len(texts) + [True] * len(others), "text": texts + others})
+    t, count, probability, totals = passes(table, 3, hash_of(*hots) if hots else np.zeros(0, lm.U))
+    assert t.hot.any() == bool(hots)
+    for u in range(len(t.word)):
+        mine = t.context == u
+        assert mine.sum() == len(known) + 2 and probability[mine].sum() == pytest.approx(1, abs=1e-4)
+    tokens = Counter(w for x in texts for w in plain_tokens(x))
+    assert sorted(count) == sorted([*tokens.values(), 0]) and totals.tokens == sum(tokens.values())
+
+
+def test_the_word_before_counts():
+    """The same word after two contexts: likely after the one that it follows, unlikely after the other."""
+    texts = ["new york"] * 30 + ["dark night"] * 30 + ["new night", "dark york"]
+    table = pa.table({"doc_id": list(range(62)), "held": [False] * 60 + [True] * 2, "text": texts})
+    t, _, probability, _ = passes(table, 4, np.zeros(0, lm.U))
+    new, york, dark = (int(np.flatnonzero(t.word == h)[0]) for h in (lm._tokens(pa.table({"text": [w]}))[0][0] for w in ("new", "york", "dark")))
+    p = {(u, w): float(q) for u, w, q in zip(t.context, t.second, probability)}
+    assert p[new, york] > 0.9 and p[dark, york] < 0.1
+
+
+def test_hot_words_change_nothing_but_the_draws(spark, small_docs, monkeypatch):
+    """Without hot words, and with many: the same base scores, and nearly the same held-out score."""
+    scores = []
+    for least in (1, 64, 4096):
+        monkeypatch.setattr(lm, "HOT_LEAST", least)
+        rows = lm.score(small_docs).collect()
+        scores.append((sum(r.score for r in rows if r.held_out), sum(r.base_score for r in rows)))
+    for s, base in scores[1:]:
+        assert s == pytest.approx(scores[0][0], rel=0.01) and base == pytest.approx(scores[0][1], rel=1e-9)
+
+
+def test_frequent_words(spark):
+    """Words above the share are found, over blocks, and only few others."""
+    texts = ["a b " * 50 + " ".join(f"x{i}-{k}" for k in range(100)) for i in range(20)]
+    docs = spark.createDataFrame([(i, False, x) for i, x in enumerate(texts)], "doc_id long, held boolean, text string").repartition(4)
+    blocks = docs.mapInArrow(lm.to_blocks_of(3000), "block long, bytes long, texts binary").cache()
+    assert set(lm.hot_words(blocks, 50).tolist()) >= set(hash_of("a", "b").tolist()) - {int(lm.END)}
+    assert len(lm.hot_words(blocks, 50)) <= 100
 
 
 def test_forward_runs_follow_the_restaurant_process():
