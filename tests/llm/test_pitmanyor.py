@@ -57,6 +57,7 @@ def test_only_held_out_documents(spark):
 
 def test_null_ids_and_block_cuts(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(lm, "PART_BYTES", 200)
     rows = [(None if i % 9 == 0 else i, f"the w{i % 4} the w{i % 7} Of x{i}") for i in range(60)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 

@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths stored so far, innermost scratch last.
 _STORED: list[list[str]] = [[]]
 
@@ -39,6 +41,17 @@ def scratch() -> Iterator[list[str]]:
         _STORED.remove(paths)
 
 
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete the shuffle files of an execution when it ends, not when its plan is collected as garbage."""
+    was = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, was)
+
+
 def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -51,7 +64,8 @@ def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     schema = df.schema
     jvm = spark.sparkContext._jvm
     jvm.System.gc()  # Spark then deletes the shuffle files of finished steps, which the heap alone would not ask for
-    df.write.parquet(path)
+    with _freeing_shuffles(spark):
+        df.write.parquet(path)
     _STORED[-2 if outlives and len(_STORED) > 1 else -1].append(path)
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

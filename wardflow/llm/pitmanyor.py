@@ -40,11 +40,11 @@ from wardflow.llm.octets import U, Texts, mix, slices
 
 FOLDS, HELD_FOLD = 7, 2
 #: Bytes of texts in a block, and for which there is one part.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, PART_BYTES = 12 << 20, 8 << 20
 STRENGTH = 1.0
 BURN_IN, SAMPLES, RUNS = 2, 4, 2
-#: A word is hot if it has more than one in so many of all tokens; beyond the first number, one in as many as there are parts.
-HOT_LEAST, HOT_MOST = 1024, 65536
+#: A word is hot if it has more than one in so many of all tokens: as many as a quarter of the parts, within these limits.
+HOT_LEAST, HOT_MOST = 64, 65536
 #: Customers are seated one by one up to this pull of the parent, and in small batches beyond.
 BATCH_FROM = 50.0
 SEED = 20
@@ -315,6 +315,7 @@ class Part:
         count = np.concatenate([_unplanes(b, np.uint32) for b in rows.column("customers").to_pylist()])
         order = np.lexsort((second, context))
         u, w = context[order], second[order]
+        del context, second
         new = np.ones(len(w), dtype=bool)
         new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
         first = np.flatnonzero(new)
@@ -549,8 +550,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _held(doc_id).alias("held"), F.col(text).cast("string").alias("text"))
     blocks = stored(picked.mapInArrow(to_blocks_of(BLOCK_BYTES), "block long, bytes long, texts binary"), "lm-blocks")
-    parts = parts_for(blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], BLOCK_BYTES, 4)
-    hot = hot_words(blocks, min(HOT_MOST, max(HOT_LEAST, parts)))
+    parts = parts_for(blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], PART_BYTES, 4)
+    hot = hot_words(blocks, min(HOT_MOST, max(HOT_LEAST, parts // 4)))
     with scratch() as passing:
         asked = stored(blocks.select("block", "texts").mapInArrow(_asker(parts, hot), _ASK), "lm-asked")
         with scratch() as sending:
