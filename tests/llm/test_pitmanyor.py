@@ -78,13 +78,14 @@ def passes(table, parts, hot):
     batch = pa.RecordBatch.from_pydict({"block": [1], "texts": [sink.getvalue().to_pybytes()]})
     asked = pa.Table.from_batches(list(lm._asker(parts, hot)(iter([batch]))))
     summed = lambda rows: np.sum([v for v in rows.column("sums").to_pylist() if v], axis=0)
+    words = pa.Table.from_batches(list(lm._lister(parts, hot)(iter([batch]))))
     sent = pa.concat_tables([lm._first_pass(parts, hot)(of(asked, "part", k)) for k in range(parts) if len(of(asked, "part", k))])
     totals = lm.Totals(hot, summed(sent), parts)
     replies = pa.concat_tables([lm._parent_pass(totals)(of(sent, "home", k)) for k in range(parts) if len(of(sent, "home", k))])
     totals.take_parent(summed(replies))
     drawn = pa.concat_tables([lm._second_pass(totals)(of(asked, "part", k), of(replies, "part", k)) for k in range(parts)])
     totals.take_tables(summed(drawn))
-    final = [lm._final_parent(totals)(of(asked, "part", k), of(drawn, "home", k)) for k in range(parts) if len(of(asked, "part", k)) + len(of(drawn, "home", k))]
+    final = [lm._final_parent(totals)(of(words, "part", k), of(drawn, "home", k)) for k in range(parts) if len(of(words, "part", k)) + len(of(drawn, "home", k))]
     parents = pa.concat_tables(final)
     totals.take_parent(summed(parents))
     answers = pa.concat_tables([of(drawn, "block", 1), of(parents, "block", 1)], promote_options="default")

@@ -17,7 +17,8 @@ parent does not change in between.  A context with a large share of all tokens i
 and its total of tables is fixed within a pass.  There are at most as many hot words
 as the inverse of that share, and their totals alone pass through the driver.  Texts are stored in
 blocks of bounded size.  A block asks the parts for the words and pairs it has, one packed row
-per part, and gets the numbers back in the same order.
+per part, and gets the numbers back in the same order.  These rows are made again from the stored blocks for each pass
+over the pairs; stored as well they would need more disk than the texts.
 
 Base counts are kept by hashes of 64 bits; a word as the second of a pair is known by 40 bits of its hash.
 
@@ -40,7 +41,7 @@ from wardflow.llm.octets import U, Texts, mix, slices
 
 FOLDS, HELD_FOLD = 7, 2
 #: Bytes of texts in a block, and for which there is one part.
-BLOCK_BYTES, PART_BYTES = 12 << 20, 8 << 20
+BLOCK_BYTES = PART_BYTES = 8 << 20
 STRENGTH = 1.0
 BURN_IN, SAMPLES, RUNS = 2, 4, 2
 #: A word is hot if it has more than one in so many of all tokens: as many as a quarter of the parts, within these limits.
@@ -71,7 +72,7 @@ def _slice_tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     is_word = np.ones(len(word), dtype=bool)
     is_word[last] = False
     word[is_word] = lower.span_hash(lower.prefix_hash(), start, end)
-    return word, np.repeat(np.arange(t.count), count + 1)
+    return word, np.repeat(np.arange(t.count, dtype=np.int32), count + 1)
 
 
 def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -94,23 +95,31 @@ class Tokens:
     def __init__(self, table: pa.Table, parts: int, hot: np.ndarray):
         word, self.doc = _tokens(table)
         known, token = np.unique(word, return_inverse=True)
+        del word
         home = part_of(known, parts)
         order = np.argsort(home, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.word, self.home, token = known[order], home[order], rank[token]
-        self.token = token
+        self.word, self.home = known[order], home[order]
+        self.token = _rank(order)[token]
         self.hot = np.isin(self.word, hot)
         n = len(self.word)
-        before = np.empty(len(token), np.int64)
-        before[1:], before[:1] = token[:-1], rank[np.searchsorted(known, END)]
-        pairs, pair = np.unique(before * n + token, return_inverse=True)
-        context, second = pairs // n, pairs % n
+        key = np.empty(len(token), np.int64)
+        key[1:], key[:1] = self.token[:-1], np.flatnonzero(self.word == END)
+        del token
+        key *= n
+        key += self.token
+        pairs, pair = np.unique(key, return_inverse=True)
+        del key
+        context, second = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
         part = np.where(self.hot[context], self.home[second], self.home[context])
         order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pair, self.context, self.second, self.part = rank[pair], context[order], second[order], part[order]
+        self.pair, self.context, self.second, self.part = _rank(order)[pair], context[order], second[order], part[order]
+
+
+def _rank(order: np.ndarray) -> np.ndarray:
+    """Where each item comes in the order."""
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return rank
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -187,6 +196,24 @@ def _asker(parts: int, hot: np.ndarray):
     return ask
 
 
+def _lister(parts: int, hot: np.ndarray):
+    """The words of a block that are not hot, one packed row for each home, in the order of ``Tokens``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                word = np.setdiff1d(_tokens(opened(texts.as_py()))[0], hot)
+                home = part_of(word, parts)
+                order = np.argsort(home, kind="stable")
+                of, at = np.unique(home[order], return_index=True)
+                lists = [w.tobytes() for w in np.split(word[order], at[1:])] if len(of) else []
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([block] * len(of), pa.int64()), "part": pa.array(of, pa.int64()), "word": pa.array(lists, pa.binary())
+                })
+
+    return run
+
+
 # Seating
 
 
@@ -326,9 +353,7 @@ class Part:
         dish, of = np.unique(w[first], return_inverse=True)
         home = part_of(dish, parts)
         order = np.argsort(home, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.dish, self.home, self.dish_of_pair = dish[order], home[order], rank[of]
+        self.dish, self.home, self.dish_of_pair = dish[order], home[order], _rank(order)[of]
         self.count = np.bincount(self.context, self.customers, len(self.known))
         self.is_hot = np.isin(self.known, hot)
         self.hot_at = np.searchsorted(hot, self.known[self.is_hot])
@@ -486,8 +511,7 @@ def _final_parent(totals: Totals):
 
         answers = []
         for raw in asked.column("word").to_pylist():
-            words = np.frombuffer(raw, U)
-            answers.append(_planes(of(words[~np.isin(words, totals.hot)]).astype(np.float32)))
+            answers.append(_planes(of(np.frombuffer(raw, U)).astype(np.float32)))
         here = part_of(totals.hot, totals.parts) == me
         sums = _sums(totals.hot, {2: np.where(here, of(totals.hot), 0)}, top_tables=top.sum(), top_customers=sent.sum())
         made = _made(_PARENT, block=asked.column("block").to_pylist(), part=[me] * len(answers), parent=answers)
@@ -552,23 +576,25 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     blocks = stored(picked.mapInArrow(to_blocks_of(BLOCK_BYTES), "block long, bytes long, texts binary"), "lm-blocks")
     parts = parts_for(blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], PART_BYTES, 4)
     hot = hot_words(blocks, min(HOT_MOST, max(HOT_LEAST, parts // 4)))
+    texts = blocks.select("block", "texts")
+    # made anew from the stored blocks where it is needed, as it is as large as the texts
+    asked = texts.mapInArrow(_asker(parts, hot), _ASK).groupBy("part")
     with scratch() as passing:
-        asked = stored(blocks.select("block", "texts").mapInArrow(_asker(parts, hot), _ASK), "lm-asked")
         with scratch() as sending:
-            sent = stored(asked.groupBy("part").applyInArrow(_first_pass(parts, hot), _SENT), "lm-sent")
+            sent = stored(asked.applyInArrow(_first_pass(parts, hot), _SENT), "lm-sent")
             totals = Totals(hot, _summed(sent, hot), parts)
             homes = sent.filter("home is not null").select("part", "home", "dish", "sent").groupBy("home")
             replies = stored(homes.applyInArrow(_parent_pass(totals), _REPLY), "lm-replies", outlives=True)
         remove(docs.sparkSession, sending)
         totals.take_parent(_summed(replies, hot))
         sides = replies.filter("home is not null").select("part", "home", "own").groupBy("part")
-        drawn = stored(asked.groupBy("part").cogroup(sides).applyInArrow(_second_pass(totals), _DRAWN), "lm-drawn", outlives=True)
+        drawn = stored(asked.cogroup(sides).applyInArrow(_second_pass(totals), _DRAWN), "lm-drawn", outlives=True)
         totals.take_tables(_summed(drawn, hot))
         homes = drawn.filter("home is not null").select("home", "dish", "sent").groupBy("home")
-        words = asked.select("block", "part", "word").groupBy("part")
+        words = texts.mapInArrow(_lister(parts, hot), "block long, part long, word binary").groupBy("part")
         parents = stored(words.cogroup(homes).applyInArrow(_final_parent(totals), _PARENT), "lm-parents", outlives=True)
     remove(docs.sparkSession, passing)
     totals.take_parent(_summed(parents, hot))
     sides = drawn.filter("block is not null").select("block", "part", "own", "back", "count", F.lit(None).cast("binary").alias("parent"))
     sides = sides.unionByName(parents.filter("block is not null").select("block", "part", "parent"), allowMissingColumns=True)
-    return blocks.select("block", "texts").groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(_scorer(totals), _SCORE)
+    return texts.groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(_scorer(totals), _SCORE)
