@@ -132,6 +132,12 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _told_as(values: np.ndarray) -> bytes:
+    """Numbers of a model as blocks are told them: 16 binary digits, a relative error of at most 2^-16."""
+    bits = values.astype(np.float32).view(np.uint32)
+    return _planes(((bits + np.uint32(128)) & np.uint32(0xFFFFFF00)).view(np.float32))
+
+
 def _short(words: np.ndarray) -> bytes:
     """The 40 bits by which second words of pairs are known."""
     return np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -261,13 +267,17 @@ def _seat_once(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np
 
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish given its customers: one of ``RUNS`` forward runs, chosen by weight."""
+    out = (customers > 0).astype(np.float64)
+    several = np.flatnonzero(customers > 1)
+    customers, pull = customers[several], pull[several]
     tables, weight = _seat_once(customers, pull, discount, rng)
     for _ in range(RUNS - 1):
         other, heavy = _seat_once(customers, pull, discount, rng)
         take = np.log(rng.random(len(weight))) < heavy - np.logaddexp(weight, heavy)
         tables = np.where(take, other, tables)
         weight = np.logaddexp(weight, heavy)
-    return tables
+    out[several] = tables
+    return out
 
 
 #: Totals that parts sum, before those of hot words: tokens, words, counts of counts (pairs once and twice, words once and twice), parent's tables and customers.
@@ -474,7 +484,7 @@ def _second_pass(totals: Totals):
             word, pair = part.word_of_row[word_at : word_at + n], part.merged[pair_at : pair_at + m]
             word = word[~part.is_hot[word]]
             word_at, pair_at = word_at + n, pair_at + m
-            for name, value in zip(out, (block, _planes(kept[pair]), _planes(back[word]), _planes(part.count[word].astype(np.int64)))):
+            for name, value in zip(out, (block, _told_as(kept[pair]), _told_as(back[word]), _planes(part.count[word].astype(np.int64)))):
                 out[name].append(value)
         sent = part.sent(mean)
         sums = _sums(totals.hot, {1: part.of_hot(part.tables_of(mean))})
@@ -511,7 +521,7 @@ def _final_parent(totals: Totals):
 
         answers = []
         for raw in asked.column("word").to_pylist():
-            answers.append(_planes(of(np.frombuffer(raw, U)).astype(np.float32)))
+            answers.append(_told_as(of(np.frombuffer(raw, U))))
         here = part_of(totals.hot, totals.parts) == me
         sums = _sums(totals.hot, {2: np.where(here, of(totals.hot), 0)}, top_tables=top.sum(), top_customers=sent.sum())
         made = _made(_PARENT, block=asked.column("block").to_pylist(), part=[me] * len(answers), parent=answers)
