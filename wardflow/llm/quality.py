@@ -1,18 +1,28 @@
 """Quality rules with a robust multivariate outlier test.
 
 Every document gets counts of its whole text; documents that fail the base rules are
-rejected.  The others are described by a vector of transformed statistics, and for
-every language and source the minimum-covariance-determinant estimate of centre and
-covariance is found by concentration steps: a step keeps the share ``SUPPORT`` of
-documents that lie nearest in Mahalanobis distance, and takes centre and covariance
-from those.  Steps run from three starts (median deviations, covariance of squashed
-deviations, spatial signs) until the determinant stops falling, and the start with
-the least determinant is taken.  Directions in which the kept documents deviate by less
-than ``FLOORS`` have that deviation; others have their own.  All steps are aggregates over all documents
-with partial sums before the with partial sums before the shuffle, so a hot source is not one task.  Documents beyond the cut-off are rejected:
-the chi-square quantile times the factor that makes the median distance of the group that of
-chi-square, where a direction of less than its least deviation counts with that deviation.  No kind of
-document is exempt.
+rejected.  The others are described by a vector of transformed statistics in two blocks.
+
+Four statistics vary in every text (words a line, word length, capitals, marks).  What a short text
+says about them is uncertain, so their deviation from the median of the group shrinks by
+``n / (n + SHRINK_WORDS)``.  For every language and source the minimum-covariance-determinant
+estimate of their centre and covariance is found by concentration steps: a step keeps
+the share ``SUPPORT`` of documents that lie nearest in Mahalanobis distance, and takes
+centre and covariance from those.  Steps run from three starts (median deviations,
+covariance of squashed deviations, spatial signs) until the determinant stops falling,
+and the start with the least determinant is taken.  The covariance is that of the data; only a
+direction in which documents deviate by less than ``RESOLUTION`` has that deviation.  Squared
+distances are divided by a consistency factor for each group, which brings their median and
+their quantile ``SUPPORT`` to those of chi-square or below.
+
+Three statistics are zero in most texts (symbols, repeated lines, repeated words), so the nearest
+documents have no variance in them.  They deviate from zero in the stated units ``ZERO_UNITS``, and
+their squares are added to the distance.  Documents whose distance exceeds the chi-square quantile
+``CUT`` are rejected.  No kind of document is exempt.
+
+All steps are aggregates over all documents with partial sums before the shuffle, and
+what a group has found is stored before rows meet it, so its size is known and a small table is
+sent to the rows: a hot source is not one task.
 
 Defined results: null text counts as empty; documents without words fail the base
 rules; null languages and sources are groups of their own; groups with fewer than
@@ -38,20 +48,23 @@ WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 SUPPORT = 0.75
-STARTS = 3
 #: Most concentration steps; the determinant stops falling far earlier.
 STEPS = 100
 #: Least fall of the logarithm of the determinant for which steps go on.
 LEAST_FALL = 1e-4
 LEAST_GROUP = 50
-#: Median of a chi-square variable with as many degrees of freedom as there are features.
-FEATURES = ["x0", "x1", "x2", "x3", "x4", "x5"]
-CHI_MEDIAN = len(FEATURES) * (1 - 2 / (9 * len(FEATURES))) ** 3
-#: Resolution of each feature, used where documents of a group hardly deviate: length by a factor of two, one letter in 100,
-#: one symbol in 150 words, one line in 16, one capital or mark in 200 letters, one repeated window in 160 words.
-FLOORS = [0.8, 0.01, 0.5, 0.06, 0.005, 0.05]
-#: Quantile 0.999 of the same variable: largest squared distance kept, times the consistency factor of the group.
-CUT = 22.458
+#: Statistics that vary in every text, and those that are zero in most.
+FEATURES = ["x0", "x1", "x2", "x3"]
+ZEROS = ["z0", "z1", "z2"]
+#: Words at which a deviation from the median of the group counts half.
+SHRINK_WORDS = 100
+#: Least deviation of a direction, for groups of nearly equal documents: words a line by a tenth, one letter in 200,
+#: one capital and one mark in 1,000 letters.
+RESOLUTION = [0.1, 0.005, 0.001, 0.001]
+#: Deviations from zero: symbols by the logarithm of one more than those in 100 words, a line in 16, a repeated word in 20.
+ZERO_UNITS = [0.5, 0.06, 0.05]
+#: Quantiles 0.5, SUPPORT and 0.999 of a chi-square variable with as many degrees of freedom as there are features.
+CHI_MEDIAN, CHI_SUPPORT, CUT = 3.357, 5.385, 18.467
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_upper", "n_letters", "n_marks"]
@@ -60,7 +73,7 @@ _STAT_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS + EX
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTER = _UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122))
-_MARK = np.isin(np.arange(256), np.frombuffer(b"!?;:=_~^+@{}[]()\"'/\\", np.uint8))
+_MARK = np.isin(np.arange(256), np.frombuffer(b".,!?;:=_~^+@{}[]()\"'/\\", np.uint8))
 
 
 def _distinct_per_text(owner: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
@@ -133,15 +146,24 @@ def _features() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     return [
-        F.log(n),
+        F.log(n / F.greatest(F.col("n_lines"), F.lit(1))),
         F.log(chars / n),
-        F.log1p(100 * F.col("n_symbols") / n),
-        F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1)) + F.col("n_marks") / chars,
-        F.col("n_repeat_words") / n,
+        F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1)),
+        F.col("n_marks") / chars,
     ]
 
 
+def _zeros() -> list[Column]:
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    return [F.log1p(100 * F.col("n_symbols") / n), F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("n_repeat_words") / n]
+
+
+def _shrunk() -> list[Column]:
+    """The features, with deviations from ``medians`` of the group shrunk by the number of words."""
+    share = F.col("n_words") / (F.col("n_words") + SHRINK_WORDS)
+    return [((F.col(x) - F.col("medians")[i]) * share).alias(x) for i, x in enumerate(FEATURES)]
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance from ``centre`` under ``precision`` (row-major)."""
     d = len(FEATURES)
@@ -178,8 +200,8 @@ def _invert(batches: Iterator["pd.DataFrame"]) -> Iterator["pd.DataFrame"]:  # n
             for i in range(d):
                 for j in range(i, d):
                     cov[i, j] = cov[j, i] = getattr(row, f"q{i}{j}") / row.n - mean[i] * mean[j]
-            value, vector = np.linalg.eigh(cov / np.outer(FLOORS, FLOORS))
-            inverse = (vector / np.maximum(value, 1.0)) @ vector.T / np.outer(FLOORS, FLOORS)
+            value, vector = np.linalg.eigh(cov / np.outer(RESOLUTION, RESOLUTION))
+            inverse = (vector / np.maximum(value, 1.0)) @ vector.T / np.outer(RESOLUTION, RESOLUTION)
             centres.append(mean.tolist())
             precisions.append(inverse.ravel().tolist())
             logdets.append(float(np.log(np.maximum(value, 1.0)).sum()))
@@ -191,23 +213,25 @@ def _estimates(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp", "start").agg(*_moments()).mapInPandas(_invert, _ESTIMATE)
 
 
-def _starts(fitted: DataFrame, starts: int) -> DataFrame:
+def _medians(fitted: DataFrame, name: str) -> DataFrame:
+    return fitted.groupBy("grp").agg(F.array(*[F.percentile_approx(x, 0.5, 2000) for x in FEATURES]).alias(name))
+
+
+def _starts(fitted: DataFrame) -> DataFrame:
     """First estimates of a group: squared median deviations, and covariances of squashed deviations and of spatial signs."""
     d = len(FEATURES)
-    medians = fitted.groupBy("grp").agg(F.array(*[F.percentile_approx(x, 0.5, 2000) for x in FEATURES]).alias("centre"))
+    medians = stored(_medians(fitted, "centre"), "quality-start")
     gaps = fitted.join(medians, "grp")
     spread = gaps.groupBy("grp").agg(
         F.first("centre").alias("centre"),
         F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col("centre")[i]), 0.5, 2000) for i, x in enumerate(FEATURES)]).alias("mad"),
     )
-    scale = [F.greatest(1.4826 * F.col("mad")[i], F.lit(FLOORS[i])) for i in range(d)]
+    scale = [F.greatest(1.4826 * F.col("mad")[i], F.lit(RESOLUTION[i])) for i in range(d)]
     spread = stored(spread.select("grp", "centre", F.array(*scale).alias("scale")), "quality-start")
     cells = [1 / (F.col("scale")[i] * F.col("scale")[i]) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
     plain = spread.select("grp", F.lit(0).alias("start"), "centre", F.array(*cells).alias("precision"), F.lit(float("inf")).alias("logdet"), F.lit(0.0).alias("lifted"))
     gap = [(F.col(x) - F.col("centre")[i]) / F.col("scale")[i] for i, x in enumerate(FEATURES)]
     norm = F.sqrt(sum((g * g for g in gap[1:]), gap[0] * gap[0]))
-    if starts == 1:
-        return plain
     bent = {1: [F.tanh(g) for g in gap], 2: [F.when(norm > 0, d**0.5 * g / norm).otherwise(0.0) for g in gap]}
     met = fitted.join(spread, "grp")
     moved = [
@@ -218,13 +242,14 @@ def _starts(fitted: DataFrame, starts: int) -> DataFrame:
     return plain.unionByName(others)
 
 
-def _concentrated(fitted: DataFrame, starts: int) -> DataFrame:
+def _concentrated(fitted: DataFrame) -> DataFrame:
     """The estimate of each group with the least determinant, after concentration steps from every start."""
-    active = stored(_starts(fitted, starts), "quality-fit")
+    active = stored(_starts(fitted), "quality-fit")
     settled = []
     for _ in range(STEPS):
         placed = fitted.join(active, "grp").select("grp", "start", *FEATURES, _distance().alias("d2"))
-        limits = placed.groupBy("grp", "start").agg(F.percentile_approx("d2", SUPPORT, 2000).alias("limit"))
+        # stored, so that its size is known when rows meet it and they need not be shuffled by group
+        limits = stored(placed.groupBy("grp", "start").agg(F.percentile_approx("d2", SUPPORT, 2000).alias("limit")), "quality-limits")
         near = placed.join(limits, ["grp", "start"]).filter(F.col("d2") <= F.col("limit"))
         # lifted directions can make the determinant rise: then the estimate before is the better one
         fell = F.col("a.logdet") < F.col("b.logdet") - LEAST_FALL
@@ -243,14 +268,14 @@ def _concentrated(fitted: DataFrame, starts: int) -> DataFrame:
     return found.groupBy("grp").agg(F.min_by(F.struct("centre", "precision", "lifted"), rank).alias("best")).select("grp", "best.*")
 
 
-def judge(stats: DataFrame, starts: int = 1) -> DataFrame:
+def judge(stats: DataFrame) -> DataFrame:
     """Add ``base_failed``, ``distance`` and ``kept`` to counts that carry ``_lang`` and ``_source``.
 
-    ``stats`` is stored first; every estimate is a table with one row per group.  The queries use three ``starts``.
+    ``stats`` is stored first; every estimate is a table with one row per group.
     """
     fields = [x for x in stats.columns]
     rows = stats.withColumn("base_failed", base_failed())
-    rows = stored(rows.select("*", *[f.cast("double").alias(x) for f, x in zip(_features(), FEATURES)]), "quality-stats")
+    rows = stored(rows.select("*", *[f.cast("double").alias(x) for f, x in zip(_features() + _zeros(), FEATURES + ZEROS)]), "quality-stats")
     fine = F.concat(F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n")), F.lit("\x01"), F.coalesce(F.concat(F.lit("l"), F.col("_lang")), F.lit("n")))
     broad = F.concat(F.lit("\x02"), F.coalesce(F.concat(F.lit("l"), F.col("_lang")), F.lit("n")))
     sizes = rows.filter(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count("*").alias("n"))
@@ -261,23 +286,28 @@ def judge(stats: DataFrame, starts: int = 1) -> DataFrame:
     )
     groups = stored(groups, "quality-groups").withColumnsRenamed({"_lang": "_l", "_source": "_s"})
     rows = rows.join(groups, rows["_lang"].eqNullSafe(groups["_l"]) & rows["_source"].eqNullSafe(groups["_s"]), "left").drop("_l", "_s")
-    fitted = rows.filter(~F.col("base_failed")).select("grp", *FEATURES)
-    estimate = stored(_concentrated(fitted, starts), "quality-fit")
-    placed = fitted.join(estimate, "grp").select("grp", _distance().alias("d2"))
-    middle = F.percentile_approx("d2", 0.5, 2000)
-    scale = placed.groupBy("grp").agg(F.count("*").alias("fit_size"), middle.alias("middle"), F.greatest(middle / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
-    final = stored(estimate.join(scale, "grp"), "quality-fit")
-    judged = rows.join(final, "grp", "left").withColumn("distance", F.when(F.col("fit_size") >= LEAST_GROUP, _distance() / F.col("scale")))
-    # the distance is shown as before; the factor of the cut-off both shrinks and enlarges
-    limit = CUT * (F.col("middle") + F.col("lifted")) / CHI_MEDIAN / F.col("scale")
-    far = F.coalesce(F.col("distance") > limit, F.lit(False))
+    good = rows.filter(~F.col("base_failed"))
+    medians = stored(_medians(good, "medians"), "quality-medians")
+    fitted = good.join(medians, "grp").select("grp", *_shrunk())
+    estimate = stored(_concentrated(fitted), "quality-fit")
+    placed = fitted.join(estimate, "grp").select("grp", "lifted", _distance().alias("d2"))
+    # a lifted direction counts as if documents deviated by the resolution
+    parts = F.percentile_approx("d2", [0.5, SUPPORT], 2000)
+    scale = placed.groupBy("grp").agg(F.count("*").alias("fit_size"), parts.alias("at"), F.first("lifted").alias("more"))
+    factor = F.greatest((F.col("at")[0] + F.col("more")) / CHI_MEDIAN, (F.col("at")[1] + F.col("more")) / CHI_SUPPORT)
+    final = stored(estimate.join(scale, "grp").join(medians, "grp").withColumn("factor", factor), "quality-fit")
+    plain = [x for x in rows.columns if x not in FEATURES]
+    met = rows.join(final, "grp", "left").select(*plain, *_shrunk(), "centre", "precision", "factor", "fit_size")
+    beside = sum(((F.col(z) / u) * (F.col(z) / u) for z, u in zip(ZEROS, ZERO_UNITS)), F.lit(0.0))
+    judged = met.withColumn("distance", F.when(F.col("fit_size") >= LEAST_GROUP, _distance() / F.col("factor") + beside))
+    far = F.coalesce(F.col("distance") > CUT, F.lit(False))
     return judged.select(*fields, "base_failed", "distance", (~F.col("base_failed") & ~far).alias("kept"))
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per document: ``doc_id``, its counts, ``base_failed``, ``distance`` and ``kept``."""
     picked = docs.select(F.col(doc_id).alias("_doc"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"), F.col(text).cast("string").alias("text"))
-    return judge(statistics(picked, "_doc", "_lang", "_source"), STARTS).withColumnRenamed("_doc", "doc_id").drop("_lang", "_source")
+    return judge(statistics(picked, "_doc", "_lang", "_source")).withColumnRenamed("_doc", "doc_id").drop("_lang", "_source")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -286,7 +316,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     fields = ["_key", "_lang", "_source"]
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), "lang", "source"))
     picked = keyed.select("_key", F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), "text")
-    rejected = stored(judge(statistics(picked, *fields), STARTS).filter(~F.col("kept")).select("_key").distinct(), "quality-rejected")
+    rejected = stored(judge(statistics(picked, *fields)).filter(~F.col("kept")).select("_key").distinct(), "quality-rejected")
     # only rows that the sieve lets through need be shuffled to the join
     asked = passes(sieve(rejected, "_key"), "_key")
     met = keyed.filter(asked).join(rejected, "_key", "left_anti")
