@@ -121,3 +121,12 @@ def test_stored_audit_needs_no_exchange_below_the_union(spark, folder):
     end = next(i for i in range(top + 1, len(lines)) if deep[i] <= deep[top])
     below = lines[top + 1 : end]
     assert any("Bucketed: true" in x for x in below) and not any("Exchange" in x for x in below), plan
+def test_visits_that_refer_to_none_are_spread(spark, folder):
+    """Visits without a referral share one key, which must not make one task of them."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("prj_11_resolve_tariff", "cq_01_visit_statistics"):
+            assert re.search(r"hashpartitioning\(RefFileID#\d+L?, _spread#\d+", plan_of(QUERIES[name](spark, folder))), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
