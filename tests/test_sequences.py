@@ -106,3 +106,27 @@ def test_no_events(spark):
     events = spark.createDataFrame([], "siFiles long, seq long, step int, undo int, at timestamp_ntz")
     table_, waits = apply_3d_transition(held, events)
     assert table_.count() == 1 and waits.count() == 0
+
+
+def test_maps_of_states_follow_single_events(spark):
+    """The sign that a map has for a state is the one of the state after the event itself."""
+    from wardflow.operators.workflow import SIGNS, STATES, STEPS, _after, _code, _entry, _mapped
+
+    rows = [(k, p, n, l, s, u) for k, (p, n, l) in enumerate(STATES) for s in STEPS for u in (0, 1)]
+    df = spark.createDataFrame(rows, "k int, p boolean, n int, l int, step int, undo int").withColumn("at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    event = F.struct("step", "undo", "at")
+    after = _after(_entry(c("p"), c("n"), c("l")), event)
+    out = df.select("k", _mapped(F.lit(SIGNS), event).alias("map"), _code(after).alias("code")).collect()
+    assert len(out) == 370 and all(r.map[r.k] == SIGNS[r.code - 1] for r in out)
+
+
+def test_slices_of_many_rounds(spark):
+    """A visit of more slices than are composed in two rounds, whose table rows come twice in different states."""
+    rng = random.Random(4)
+    rows = [(7, i, rng.choice([1, 5, 10, 16, 20]), rng.randint(0, 1)) for i in range(1100)]
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=c("seq").cast("int"))
+    df = spark.createDataFrame(rows, "siFiles long, seq long, step int, undo int").withColumn("at", at)
+    times = ", ".join(f"{t} timestamp_ntz" for t in ("DeliveryTime", "TakePhoto", "DenseCloudTime", "PaidTime", "Object3DTime"))
+    held = spark.createDataFrame([(7, 5, 1, *[None] * 5), (7, 16, 10, *[None] * 5)], f"siFiles long, Status int, LastStatus int, {times}")
+    want, got = ([sorted(map(str, x.collect())) for x in apply_3d_transition(held, df, size)] for size in (2000, 1))
+    assert got == want

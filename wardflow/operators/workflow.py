@@ -3,10 +3,12 @@
 The steps of one visit depend on each other, so they run in order of a sequence
 number, as a fold over a sorted array.  A visit with more events than a slice holds
 is not one group: its events are cut into slices by their place in the visit.  The
-first slice starts from the stored state.  Each further slice is folded once for every
-possible state, which makes it a map from states to states; neighbours are composed in pairs,
-round by round, until one map for each visit is left.  So no row holds more than two
-maps, and visits with few events need none of this.
+first slice starts from the stored state.  Each further slice becomes a map from states to
+states first, a text with one sign for each state.  Some neighbouring maps at a time are composed,
+round by round, until one map for each visit is left, and on the way back every slice
+gets the state that it starts from.  Then it is folded once, and aggregates join what the
+slices of a visit leave behind.  So no row holds more than a few maps, and visits with few
+events need none of this.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ SLICE = 100_000
 # that has no last step leaves the current step empty.
 KNOWN = (None, *STEPS)
 STATES = [(False, None, None)] + [(True, now, last) for now in KNOWN for last in KNOWN]
+#: One sign for each state; a map of states is the text of the signs they go to.
+SIGNS = "".join(chr(48 + i) for i in range(len(STATES)))
+#: Maps that are composed at a time.
+COMPOSED = 32
 
 
 def _state(present: Column, now: Column, last: Column, times: dict, touched: dict, wait: Column, reset: Column, photo: Column) -> Column:
@@ -91,9 +97,8 @@ def _code(s: Column) -> Column:
     return F.when(s["present"], pair).otherwise(1).cast("int")
 
 
-def _joined(s: Column, effects: Column) -> Column:
-    """State after whole slices that were folded for every entry state."""
-    effect = F.element_at(effects, _code(s))
+def _joined(s: Column, effect: Column) -> Column:
+    """State after further events, given what these leave behind."""
     times = {t: F.when(effect["set_" + t], effect[t]).otherwise(s[t]) for t in TIMES}
     touched = {t: s["set_" + t] | effect["set_" + t] for t in TIMES}
     wait = F.when(effect["wait"] != 0, effect["wait"]).otherwise(s["wait"])
@@ -101,6 +106,32 @@ def _joined(s: Column, effects: Column) -> Column:
     return _state(effect["present"], effect["now"], effect["last"], times, touched, wait, s["reset"] | effect["reset"], photo)
 
 
+def _moves(step: int, undo: bool) -> str:
+    """The map of states of one event, as ``_after`` has it."""
+
+    def to(present: bool, now: int | None, last: int | None) -> tuple:
+        if not present:
+            return (True, 1, None) if step == 1 else (False, None, None)
+        if step == 1 and undo and last is None:
+            return (False, None, None)
+        return (True, step if not undo else 5 if step == 10 else last, now)
+
+    return "".join(SIGNS[STATES.index(to(*state))] for state in STATES)
+
+
+def _mapped(signs: Column, event: Column) -> Column:
+    """A map of states followed by one event."""
+    undo = F.coalesce(event["undo"] == 1, F.lit(True))
+    return F.coalesce(
+        *[F.when((event["step"] == s) & (undo == u), F.translate(signs, SIGNS, _moves(s, u))) for s in STEPS for u in (False, True)]
+    )
+
+
+def _then(signs: Column, following: Column) -> Column:
+    """Signs after the map ``following``."""
+    return F.call_function("translate", signs, F.lit(SIGNS), following)
+
+
 def _sliced(events: DataFrame, slice_size: int, in_order: Column) -> DataFrame:
     """Events of each visit in slices by their place in the visit."""
     # numbers run on through each visit, so its first number gives the place in it
@@ -110,18 +141,59 @@ def _sliced(events: DataFrame, slice_size: int, in_order: Column) -> DataFrame:
     return walked_in.join(heads_at, "siFiles").groupBy("siFiles", place.alias("slice")).agg(in_order)
 
 
-def _composed(slices: DataFrame, most: int) -> DataFrame:
-    """One map of states for each visit, from the slices after its first, at most ``most`` of them."""
-    entries = F.array(*[_entry(*[F.lit(x) for x in state]) for state in STATES])
-    maps = F.transform(entries, lambda s: F.aggregate(F.col("events"), s, _after))
-    parts = slices.select("siFiles", (F.col("slice") - 1).alias("slice"), maps.alias("effects"))
+def _starts(slices: DataFrame, first: DataFrame, most: int) -> DataFrame:
+    """``siFiles, slice, root, sign``: the state in which each slice starts, for each ``root`` of its visit.
+
+    ``first`` holds ``siFiles`` and ``root``, the signs of states that the slice 0 may start from; ``most`` is
+    the greatest number of slices of a visit.
+    """
+    parts = slices.select("siFiles", "slice", F.aggregate("events", F.lit(SIGNS), _mapped).alias("map"))
+    levels = []
     while most > 1:
-        pair = F.array_sort(F.collect_list(F.struct("slice", "effects")))
-        halved = parts.groupBy("siFiles", F.floor(F.col("slice") / 2).alias("slice")).agg(pair.alias("pair"))
-        first, second = F.col("pair")[0]["effects"], F.get("pair", F.lit(1))["effects"]
-        both = F.when(second.isNull(), first).otherwise(F.transform(first, lambda s: _joined(s, second)))
-        parts, most = halved.select("siFiles", "slice", both.alias("effects")), -(-most // 2)
-    return parts.drop("slice")
+        row = F.array_sort(F.collect_list(F.struct("slice", "map"))).alias("row")
+        level = parts.groupBy("siFiles", F.floor(F.col("slice") / COMPOSED).alias("slice")).agg(row)
+        levels.append(level)
+        parts = level.select("siFiles", "slice", F.aggregate("row", F.lit(SIGNS), lambda signs, p: _then(signs, p["map"])).alias("map"))
+        most = -(-most // COMPOSED)
+    starts = first.select("siFiles", F.lit(0).cast("long").alias("slice"), "root", F.col("root").alias("sign"))
+    for level in reversed(levels):
+        none = F.array().cast("array<struct<slice: bigint, sign: string>>")
+        walk = F.aggregate(
+            "row",
+            F.struct(F.col("sign"), none.alias("done")),
+            lambda a, p: F.struct(
+                _then(a["sign"], p["map"]).alias("sign"),
+                F.concat(a["done"], F.array(F.struct(p["slice"].alias("slice"), a["sign"].alias("sign")))).alias("done"),
+            ),
+            lambda a: a["done"],
+        )
+        met = level.join(starts, ["siFiles", "slice"]).select("siFiles", "root", F.explode(walk).alias("at"))
+        starts = met.select("siFiles", F.col("at.slice").alias("slice"), "root", F.col("at.sign").alias("sign"))
+    return starts
+
+
+def _effects(slices: DataFrame, first: DataFrame, most: int) -> DataFrame:
+    """``siFiles, root, effect``: what all these slices of a visit leave behind together."""
+    entries = F.array(*[_entry(*[F.lit(x) for x in state]) for state in STATES])
+    entry = F.element_at(entries, F.ascii("sign") - ord(SIGNS[0]) + 1)
+    walked = slices.join(_starts(slices, first, most), ["siFiles", "slice"]).select(
+        "siFiles", "root", "slice", F.aggregate("events", entry, _after).alias("s")
+    )
+    s, place = F.col("s"), F.col("slice")
+    gathered = walked.groupBy("siFiles", "root").agg(
+        F.max_by(F.struct(s["present"].alias("present"), s["now"].alias("now"), s["last"].alias("last")), place).alias("end"),
+        *[F.max_by(F.struct(s[t].alias("v")), F.when(s["set_" + t], place)).alias(t) for t in TIMES],
+        *[F.bool_or(s["set_" + t]).alias("set_" + t) for t in TIMES],
+        F.max_by(s["wait"], F.when(s["wait"] != 0, place)).alias("wait"),
+        F.bool_or(s["reset"]).alias("reset"),
+        F.min_by(s["photo"], F.when(s["photo"].isNotNull(), place)).alias("photo"),
+    )
+    end = F.col("end")
+    times = {t: F.col(t)["v"] for t in TIMES}
+    touched = {t: F.col("set_" + t) for t in TIMES}
+    wait = F.coalesce("wait", F.lit(0))
+    effect = _state(end["present"], end["now"], end["last"], times, touched, wait, F.col("reset"), F.col("photo"))
+    return gathered.select("siFiles", "root", effect.alias("effect"))
 
 
 def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame, DataFrame]:
@@ -151,10 +223,13 @@ def apply_3d_transition(current: DataFrame, events: DataFrame, slice_size: int =
         long = sizes.where(F.col("_size") > slice_size).select("siFiles")
         few = anti(known, long, "siFiles").groupBy("siFiles").agg(in_order)
         slices = _sliced(semi(known, long, "siFiles"), slice_size, in_order)
-        heads = folded(few.unionByName(slices.where(F.col("slice") == 0).drop("slice")))
-        rest = _composed(slices.where(F.col("slice") > 0), -(-most // slice_size) - 1)
-        done = F.when(F.col("effects").isNull(), F.col("state")).otherwise(_joined(F.col("state"), F.col("effects")))
-        walked = heads.join(rest, "siFiles", "left").select("siFiles", done.alias("new"))
+        root = F.substring(F.lit(SIGNS), _code(F.col("state")), F.lit(1)).alias("root")
+        first = folded(slices.where(F.col("slice") == 0)).select("siFiles", "state", root)
+        further = slices.where(F.col("slice") > 0).withColumn("slice", F.col("slice") - 1)
+        rest = _effects(further, first.select("siFiles", "root").distinct(), -(-most // slice_size) - 1)
+        done = F.when(F.col("effect").isNull(), F.col("state")).otherwise(_joined(F.col("state"), F.col("effect")))
+        walked = first.join(rest, ["siFiles", "root"], "left").select("siFiles", done.alias("new"))
+        walked = walked.unionByName(folded(few).withColumnRenamed("state", "new"))
     new = F.col("new")
     values = {"Status": new["now"], "LastStatus": new["last"], **{t: new[t] for t in TIMES}}
     table = (
