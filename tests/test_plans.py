@@ -130,3 +130,12 @@ def test_visits_that_refer_to_none_are_spread(spark, folder):
             assert re.search(r"hashpartitioning\(RefFileID#\d+L?, _spread#\d+", plan_of(QUERIES[name](spark, folder))), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_sheets_are_made_in_parts_of_bounded_size(spark, folder, monkeypatch):
+    from wardflow.plans import ordersheet
+
+    monkeypatch.setattr(ordersheet, "PART_ROWS", 50)
+    receipts = spark.read.parquet(f"{folder}/orders.parquet").count()
+    for name in ("cq_22_order_sheet", "cq_22_sheet_rows"):
+        assert re.search(rf"hashpartitioning\(siFiles#\d+L?, {-(-receipts // 50)}\), REPARTITION_BY_NUM", plan_of(QUERIES[name](spark, folder))), name
