@@ -89,3 +89,27 @@ def test_crossover_keeps_every_piece_once():
     assert all(sizes[b].sum() + r == packing.CAPACITY and r >= 0 for b, r in zip(bins, room))
     label = packing.evolve(sizes, [], 5)
     assert np.bincount(label, sizes).max() <= packing.CAPACITY and label.max() + 1 <= len(parents[0][0])
+
+
+def hard_shard(seed, bins=40):
+    """Pieces that fill ``bins`` sequences by threes without a gap; best fit, largest first, needs more."""
+    rng = np.random.default_rng(seed)
+    one, two = rng.integers(1100, 1700, bins), rng.integers(1100, 1400, bins)
+    return np.sort(np.concatenate([one, two, 4096 - one - two]))[::-1].astype(np.int64)
+
+
+def test_search_saves_sequences_where_best_fit_is_not_least(spark):
+    sizes = [hard_shard(seed) for seed in range(6)]
+    plain = [int(packing.decreasing(s).max()) + 1 for s in sizes]
+    found = [int(packing.evolve(s, [], 3).max()) + 1 for s in sizes]
+    assert all(f <= p for f, p in zip(found, plain)) and sum(found) < sum(plain), (plain, found)
+    lengths = [(i, int(n)) for i, n in enumerate(sizes[0])]
+    rows = spark.createDataFrame(lengths, "doc_id long, length long").selectExpr("doc_id", "0 piece", "0L start", "length", "7L ids_crc32")
+    out = packing.pack(rows).collect()
+    assert check_sequences(out) < plain[0] and sorted(r.length for r in out) == sorted(n for _, n in lengths)
+
+
+def test_words_are_encoded_as_alone(tokenizer):
+    words = ["plain", "qzxkv", "a", "tokenization"] * 700
+    ids, count = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))._words(words)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]

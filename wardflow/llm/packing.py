@@ -2,12 +2,15 @@
 
 Documents become token ids; longer ones are cut into pieces of ``CAPACITY``.  Full
 pieces are sequences of their own.  All other pieces are dealt to shards by a hash, and
-every shard is a bin-packing problem that several islands work on: an island keeps a
-small population of packings, a child inherits whole well-filled bins of one parent,
+every shard is a bin-packing problem.  Where best fit, largest first, does not reach the
+least number of bins that the sizes allow, several islands work on it: an island keeps a
+population of packings, a child inherits whole well-filled bins of one parent,
 bins of the other that repeat a piece are dissolved, and displaced pieces are put by
-best fit, largest first.  Between epochs the best packing of an island moves to the
-next island of its shard through a shuffle.  Shards have a bounded number of pieces,
-so neither the size of the table, a hot source nor many equal rows make a task larger.
+best fit.  An island searches until ``PATIENCE`` children in a row have saved no bin.
+Between epochs the best packing of an island moves to the next island of its shard
+through a shuffle, while the island keeps its population; epochs go on until one saves
+no bin in any shard.  Shards have a bounded number of pieces, so neither the size of the table, a
+hot source nor many equal rows make a task larger.
 
 Defined results: null text is empty and becomes the single end token; repeated rows
 are packed each; an empty table gives an empty table.
@@ -33,10 +36,12 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 6000
-ISLANDS = 2
-EPOCHS = 2
-POPULATION = 4
-CHILDREN = 4
+ISLANDS = 4
+POPULATION = 8
+#: Children in a row without a bin saved that end the search of an island.
+PATIENCE = 200
+#: Words that are encoded at a time.
+JOINED = 1000
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
 
@@ -69,6 +74,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -77,10 +85,25 @@ class Encoder:
         self.length = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after another, and how many each has."""
+        encoded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *encoded]), np.fromiter(map(len, encoded), np.int64, len(encoded))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain words, many in one text: the last id of a word ends it."""
+        texts = ["\n".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids, _ = self._encoded(texts)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or len(words) and ends[-1] != len(ids):
+            return self._encoded(words)
+        return ids, np.diff(ends, prepend=0)
+
     def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        length = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(length.sum()))
+        plain = np.array([p.isascii() and p.isalpha() for p in parts], dtype=bool)
+        hashes = np.concatenate([hashes[plain], hashes[~plain]])
+        words, others = self._words([p for p, is_word in zip(parts, plain) if is_word]), self._encoded([p for p, is_word in zip(parts, plain) if not is_word])
+        ids, length = (np.concatenate(pair) for pair in zip(words, others))
         first = len(self.ids) + np.cumsum(length) - length
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known)
@@ -238,8 +261,27 @@ def mutate(sizes: np.ndarray, one: tuple, rng: np.random.Generator) -> tuple:
     return out_bins, out_room
 
 
-def evolve(sizes: np.ndarray, seeds: list[np.ndarray], seed: int) -> np.ndarray:
-    """The best packing (bin of each piece) after a few generations from ``seeds``."""
+def least_bins(sizes: np.ndarray) -> int:
+    """A bound: by the sum of sizes, and by pieces of more than half a bin, of which no two share one."""
+    return max(-(-int(sizes.sum()) // CAPACITY), int((sizes * 2 > CAPACITY).sum()))
+
+
+def _labelled(packing: tuple, count: int) -> np.ndarray:
+    label = np.zeros(count, np.int32)
+    for k, b in enumerate(packing[0]):
+        label[b] = k
+    return label
+
+
+def decreasing(sizes: np.ndarray) -> np.ndarray:
+    """Bin of each piece by best fit, largest first."""
+    first: tuple = ([], [])
+    best_fit(sizes, list(range(len(sizes))), *first)
+    return _labelled(first, len(sizes))
+
+
+def population(sizes: np.ndarray, seeds: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    """Packings (bin of each piece), best first, after a search from ``seeds`` that ends when it saves no bin any more."""
     rng = np.random.default_rng(seed)
 
     def packed(label: np.ndarray | None) -> tuple:
@@ -256,26 +298,28 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], seed: int) -> np.ndarray:
                 room.append(CAPACITY - int(sizes[part].sum()))
         return bins, room
 
-    first: tuple = ([], [])
-    best_fit(sizes, list(range(len(sizes))), *first)
-    people = [first] + [packed(s) for s in seeds]
+    def ranked(people: list[tuple]) -> list[tuple]:
+        return sorted(people, key=lambda p: merit(p[1]), reverse=True)[:POPULATION]
+
+    people = [packed(s) for s in seeds]
     while len(people) < POPULATION:
         people.append(packed(None))
-    people.sort(key=lambda p: merit(p[1]), reverse=True)
-    least = -(-int(sizes.sum()) // CAPACITY)
-    for _ in range(CHILDREN):
-        if len(people[0][0]) <= least:
-            break
-        a, b = rng.choice(len(people), 2, replace=False)
-        child = mutate(sizes, crossover(sizes, people[min(a, b)], people[max(a, b)], rng), rng)
-        people = sorted(people + [child], key=lambda p: merit(p[1]), reverse=True)[:POPULATION]
-    label = np.zeros(len(sizes), np.int32)
-    for k, b in enumerate(people[0][0]):
-        label[b] = k
-    return label
+    people, idle = ranked(people), 0
+    least = least_bins(sizes)
+    while idle < PATIENCE and len(people[0][0]) > least:
+        a, b = sorted(rng.choice(len(people), 2, replace=False))
+        before = len(people[0][0])
+        people = ranked(people + [mutate(sizes, crossover(sizes, people[a], people[b], rng), rng)])
+        idle = 0 if len(people[0][0]) < before else idle + 1
+    return [_labelled(p, len(sizes)) for p in people]
+
+
+def evolve(sizes: np.ndarray, seeds: list[np.ndarray], seed: int) -> np.ndarray:
+    """The best packing (bin of each piece), of ``seeds``, best fit and their descendants."""
+    return population(sizes, [decreasing(sizes), *seeds], seed)[0]
 
 
-_ISLAND = "shard long, island int, sizes binary, label binary, bins int"
+_ISLAND = "shard long, island int, sizes binary, labels array<binary>, bins int"
 
 
 def _epoch(number: int):
@@ -284,14 +328,39 @@ def _epoch(number: int):
             rows = []
             for r in frame.itertuples():
                 sizes = np.frombuffer(r.sizes, np.int64)
-                seeds = [np.frombuffer(x, np.int32) for x in (r.label, r.guest) if x is not None]
-                label = evolve(sizes, seeds, (int(r.shard) * 31 + int(r.island)) * 31 + number)
-                rows.append((r.shard, r.island, r.sizes, label.tobytes(), int(label.max(initial=-1)) + 1))
-            yield pd.DataFrame(rows, columns=["shard", "island", "sizes", "label", "bins"])
+                held = [*r.labels, *([] if r.guest is None else [r.guest])]
+                seeds = [np.frombuffer(x, np.int32) for x in held]
+                labels = population(sizes, seeds, (int(r.shard) * 31 + int(r.island)) * 31 + number)
+                rows.append((r.shard, r.island, r.sizes, [x.tobytes() for x in labels], int(labels[0].max(initial=-1)) + 1))
+            yield pd.DataFrame(rows, columns=["shard", "island", "sizes", "labels", "bins"])
 
     return run
 
 
+def _searched(solved: DataFrame) -> DataFrame:
+    """``shard, label``: the packings of all shards, searched for where best fit leaves more bins than the least."""
+    columns = ["shard", "label", "bins"]
+    best = solved.select(*columns)
+    state = solved.filter("bins > least").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
+    state = state.select("shard", "island", "sizes", F.array("label").alias("labels"), F.lit(None).cast("binary").alias("guest"))
+    used, number = solved.filter("bins > least").agg(F.count("*").alias("n"), F.sum("bins").alias("bins")).first(), 0
+    shards, bins = used["n"], used["bins"]
+    while shards:
+        # islands are few and large: spread them by their own key
+        spread = state.repartition(max(2, shards * ISLANDS), "shard", "island")
+        after = stored(spread.mapInPandas(_epoch(number), _ISLAND), "pack-islands")
+        found = after.groupBy("shard").agg(F.min_by(F.struct(F.col("labels")[0].alias("label"), "bins"), F.struct("bins", "island")).alias("b"))
+        now = found.agg(F.sum("b.bins")).first()[0]
+        best_found = found.select("shard", "b.label", "b.bins")
+        if now == bins:
+            best = best.join(best_found.select("shard"), "shard", "left_anti").unionByName(best_found)
+            break
+        bins, number = now, number + 1
+        guests = after.select(F.col("shard").alias("_s"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("_i"), F.col("labels")[0].alias("guest"))
+        state = after.join(guests, (F.col("shard") == F.col("_s")) & (F.col("island") == F.col("_i"))).select("shard", "island", "sizes", "labels", "guest")
+    return best.select("shard", "label")
+
+
 def pack(found: DataFrame) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows of ``pieces``; columns of ``found`` stay."""
     columns = found.columns
@@ -304,18 +373,13 @@ def pack(found: DataFrame) -> DataFrame:
 
     def problem(table: pa.Table) -> pa.Table:
         sizes = np.sort(table.column("length").to_numpy())[::-1].astype(np.int64)
-        return pa.table({"shard": table.column("_shard").slice(0, 1), "sizes": pa.array([sizes.tobytes()], pa.binary())})
+        label = decreasing(sizes)
+        bins = int(label.max(initial=-1)) + 1
+        cells = {"sizes": pa.array([sizes.tobytes()], pa.binary()), "label": pa.array([label.tobytes()], pa.binary())}
+        return pa.table({"shard": table.column("_shard").slice(0, 1), **cells, "bins": pa.array([bins], pa.int32()), "least": pa.array([least_bins(sizes)], pa.int32())})
 
-    problems = dealt.select("_shard", "length").groupBy("_shard").applyInArrow(problem, "shard long, sizes binary")
-    islands = stored(problems, "pack-problems").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
-    state = islands.select("shard", "island", "sizes", F.lit(None).cast("binary").alias("label"), F.lit(None).cast("binary").alias("guest"))
-    for number in range(EPOCHS):
-        # islands are few and large: spread them by their own key
-        spread = state.repartition(max(2, shards * ISLANDS), "shard", "island")
-        after = stored(spread.mapInPandas(_epoch(number), _ISLAND), "pack-islands")
-        guests = after.select(F.col("shard").alias("_s"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("_i"), F.col("label").alias("guest"))
-        state = after.join(guests, (F.col("shard") == F.col("_s")) & (F.col("island") == F.col("_i"))).select("shard", "island", "sizes", "label", "guest")
-    best = after.groupBy("shard").agg(F.min_by("label", F.struct("bins", "island")).alias("label"))
+    solved = dealt.select("_shard", "length").groupBy("_shard").applyInArrow(problem, "shard long, sizes binary, label binary, bins int, least int")
+    best = _searched(stored(solved, "pack-problems"))
 
     def place(_: tuple, table: pa.Table, solution: pa.Table) -> pa.Table:
         if not len(table):
