@@ -30,10 +30,11 @@ def order_sheet_rows(t: Tables, visits: DataFrame) -> DataFrame:
     on all cores, and the later grouping by visit needs no further shuffle of the
     many parsed rows as long as the titles are small enough to be broadcast.  Parsed
     rows take far more room than the compressed receipts, by which Spark would size the
-    tasks; so the number of parts follows from the number of receipts.
+    tasks; so the number of parts follows from the number of receipts.  It is never that of other
+    shuffles, with which Spark would take this one out.
     """
     least = int(t["receipts"].sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-t["receipts"].count() // PART_ROWS))
+    parts = max(least + 1, -(-t["receipts"].count() // PART_ROWS))
     receipts = semi(t["receipts"].select("siFiles", *LISTS.values()), visits, "siFiles")
     rows = shred_lists(receipts.repartition(parts, "siFiles"), LISTS)
     is_top, zero = c("CatLevel") == 0, F.lit("0")
