@@ -59,3 +59,25 @@ def test_empty_table_and_extra_columns(no_docs, spark):
     assert out.count() == 0 and out.columns == [*[c for c in no_docs.columns if c != "text"], "text", "n_lines", "n_removed"]
     odd = spark.createDataFrame([(1, "a b\na b", 5, "u")], "doc_id long, text string, line int, uid string")
     assert linededup.deduplicated(odd).first().asDict() == {"doc_id": 1, "text": "a b", "line": 5, "uid": "u", "n_lines": 2, "n_removed": 1}
+
+
+def test_neighbouring_size_classes_in_passes(spark, monkeypatch):
+    """Pairs whose sizes lie on both sides of a bound of classes are found, in every pass, either one being first."""
+    monkeypatch.setattr(linededup, "PASS_SETS", 0)
+    rows = []
+    for k, (n, m) in enumerate([(4, 5), (5, 6), (12, 15), (13, 15), (14, 15), (30, 36), (34, 37), (70, 87), (80, 90), (48, 49), (44, 55)]):
+        words = [f"t{k}w{i}" for i in range(m)]
+        pair = [" ".join(words[:n]), " ".join(words)]
+        rows += [(10 * k, pair[k % 2]), (10 * k + 1, pair[1 - k % 2]), (10 * k + 2, "  " + "\t".join(words[: n * 3 // 4]) + "  x ")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
+def test_a_pair_of_near_copies_is_one_candidate(spark):
+    """Not one for each direction and each shared word."""
+    base = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"x{i}"])) for i in range(20)], "doc_id long, text string")
+    lines = linededup._sets(linededup._identified(docs), "text")
+    sets = lines.withColumn("lines", linededup.F.lit(1)).localCheckpoint()
+    none = sets.filter("false").select("uid", "line")
+    pairs = [{(r.lu, r.ll), (r.eu, r.el)} for r in linededup._joined(sets, none).collect()]
+    assert len(pairs) == len({frozenset(p) for p in pairs}) == 20 * 19 // 2

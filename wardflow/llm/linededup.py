@@ -3,9 +3,10 @@
 A line is the set of its words.  Words are ordered by rarity: how often the bucket of
 their hash occurs in all lines.  Two lines match when their Jaccard similarity is at least
 4/5; then they share a word among the first ``n - ceil(4n/5) + 1`` of each, which is
-the join key.  Length, position and a parity bitmap of the difference bound the
-overlap before the words themselves are compared.  A line is removed if a line at an
-earlier position (document id, line number) matches it.
+the join key, together with a class of sizes.  Length, position and a parity bitmap of the
+difference bound the overlap before the words themselves are compared, with the nearest
+earlier set first.  A line is removed if a line at an earlier position (document id, line
+number) matches it.  Large tables are joined in passes over the keys, to bound what lies on disk.
 
 Equal word sets are joined as one.  To keep large groups of near copies from becoming
 all pairs, sets are first compared only with the earliest set of their groups (sets
@@ -25,23 +26,33 @@ from pyspark.sql import functions as F
 from wardflow.llm.common import SEPARATORS, aside, passes, remove, scratch, sieve, stored
 
 RARITY_BUCKETS = 1 << 16
-#: Sets of more words have a wider parity bitmap.
+#: Sets of more words have a parity bitmap of 128 bits, others one of 64.
 LARGE = 48
 #: Most hashes that are broadcast, about 64 MB.
 BROADCAST_ROWS = 2_000_000
 GROUP_KEYS = 3
 #: Turns of leaders at most, and the sets, also as a share of all, that one must find for another to follow.
 TURNS, LEAST_FOUND, LEAST_SHARE = 6, 500, 0.05
+#: Sizes whose ratio is below this (5/4 to the fourth) are mostly of one class, and sets only meet inside a class.
+CLASS_RATIO = 2.44140625
+#: The exact join is done in so many passes over the words from this number of sets on, so that few of its rows lie on disk at once.
+PASSES, PASS_SETS = 4, 100_000
 _BLANKS = " \t\x0b\x0c\r"
-
+#: What makes splitting at single spaces differ from splitting at separators.
+_ODD = "[\t\x0b\x0c\r]|  "
 
 _WIDE = "aggregate(k, 0L, (a, x) -> if((x & 4096) = {half} * 4096, a ^ shiftleft(1L, cast(shiftright(x, 6) & 63 AS int)), a))"
-_MARKS = ["parity", "wide0", "wide1"]
+_FOLDED = "aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftright(x, 6) & 63 AS int)))"
+_MARKS = ["mark0", "mark1"]
+#: The first line of a set in their order, which names the set.
+_AT = ["doc", "uid", "line"]
+_LATER, _EARLIER = ["lu", "ll"], ["eu", "el"]
 
 
 def _words(line: Column) -> Column:
     """Words of a line that has some."""
-    return F.split(F.btrim(line, F.lit(_BLANKS)), SEPARATORS)
+    bare = F.btrim(line, F.lit(_BLANKS))
+    return F.when(bare.rlike(_ODD), F.split(bare, SEPARATORS)).otherwise(F.split(bare, " "))
 
 
 def _identified(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -67,55 +78,53 @@ def _rarity(docs: DataFrame, text: str) -> Column:
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
-    """Every line as a word set: ``doc, uid, line, sig, n, parity, prefix``."""
+    """Every line as a word set: ``doc, uid, line, sig, n, mark0, mark1, prefix``."""
     rank = _rarity(docs, text)
     hashed = F.transform(_words(F.col("content")), lambda w: F.xxhash64(w))
     placed = F.transform(hashed, lambda h: F.coalesce(F.get(rank, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 7)))
     keyed = _lines(docs, text).select("doc", "uid", "line", F.sort_array(F.array_distinct(placed)).alias("k"))
     size = F.size("k")
     prefix = F.transform(F.slice("k", F.lit(1), size - F.ceil(size * 4 / 5).cast("int") + 1), lambda k: F.hash(k))
+    # 64 bits tell little of large sets: these have 128, whose halves give the 64 of others when folded
+    large = [F.expr(_WIDE.format(half=i)) for i in range(2)]
     return keyed.select(
         "doc", "uid", "line", F.xxhash64("k").alias("sig"), size.alias("n"),
-        F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))").alias("parity"),
-        # 64 bits tell little of large sets: these have 128 more
-        *[F.when(size > LARGE, F.expr(_WIDE.format(half=i))).otherwise(F.lit(0)).alias(f"wide{i}") for i in range(2)],
+        F.when(size > LARGE, large[0]).otherwise(F.expr(_FOLDED)).alias("mark0"),
+        F.when(size > LARGE, large[1]).otherwise(F.lit(0)).cast("long").alias("mark1"),
         prefix.alias("prefix"),
     )
 
 
-def _first() -> Column:
-    return F.struct("doc", "uid", "line")
-
+def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
+    """``uid, line`` of the later sets of ``pairs`` (with ``apart``, a bound of their difference) that match the earlier one.
 
-def _verified(docs: DataFrame, text: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``later, earlier`` sets) in the right order whose words do match: ``later`` once each."""
-    pairs = stored(pairs.distinct(), "line-pairs")
-    order = sets.select("sig", "first")
-    ordered = pairs.join(order.toDF("later", "lf"), "later").join(order.toDF("earlier", "ef"), "earlier")
-    pairs = stored(ordered.filter(F.col("ef") < F.col("lf")).select("later", "earlier"), "line-ordered")
-    asked = pairs.select(F.explode(F.array("later", "earlier")).alias("sig")).distinct()
-    places = stored(sets.join(asked, "sig", "left_semi").select("sig", F.col("first.uid").alias("uid"), F.col("first.line").alias("line")), "line-places")
-    asked_rows = sieve(places, "uid")
-    lines = _lines(docs.filter(passes(asked_rows, "_uid")), text).select("uid", "line", "content").dropDuplicates(["uid", "line"])
-    words = stored(places.join(lines, ["uid", "line"]).select("sig", F.array_distinct(_words(F.col("content"))).alias("w")), "line-words")
-    met = pairs.join(words.toDF("later", "lw"), "later").join(words.toDF("earlier", "ew"), "earlier")
-    same = F.size(F.array_intersect("lw", "ew"))
-    return met.filter(9 * same >= 4 * (F.size("lw") + F.size("ew"))).select(F.col("later").alias("sig")).distinct()
-
-
-def _may_match(n: Column, m: Column, room: Column, other_room: Column, a: str, b: str) -> Column:
-    """Length, position and parity filters of two sets that share a word.
-
-    With similarity 4/5 or more the overlap is at least 4/9 of both sizes, and the
-    difference at most 1/9; ``room`` is how many words follow the shared one.  The 64 bits
-    of ``parity`` say little of large sets, so these are compared in 128 more.
+    The nearest of the earlier sets is compared first, the others only where that one does not match.
     """
-    length = (5 * n >= 4 * m) & (5 * m >= 4 * n)
-    place = 9 * (1 + F.least(room, other_room)) >= 4 * (n + m)
-    apart = {x: F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _MARKS}
-    small = (n <= LARGE) | (m <= LARGE)
-    wide = small | (9 * (apart["wide0"] + apart["wide1"]) <= n + m)
-    return length & place & (9 * apart["parity"] <= n + m) & wide
+    pairs = stored(pairs.distinct(), "line-pairs")
+    asked = stored(pairs.select(*_LATER).union(pairs.select(*_EARLIER)).distinct().toDF("uid", "line"), "line-places")
+    lines = _lines(docs.filter(passes(sieve(asked, "uid"), "_uid")), text).select("uid", "line", "content").dropDuplicates(["uid", "line"])
+    words = stored(asked.join(lines, ["uid", "line"]).select("uid", "line", F.array_distinct(_words(F.col("content"))).alias("w")), "line-words")
+
+    def matched(some: DataFrame) -> DataFrame:
+        met = some.join(words.toDF(*_LATER, "lw"), _LATER).join(words.toDF(*_EARLIER, "ew"), _EARLIER)
+        same = F.size(F.array_intersect("lw", "ew"))
+        return met.filter(9 * same >= 4 * (F.size("lw") + F.size("ew"))).select(*_LATER).distinct()
+
+    nearest = pairs.groupBy(*_LATER).agg(F.min(F.struct("apart", *_EARLIER)).alias("e")).select(*_LATER, *[f"e.{c}" for c in _EARLIER])
+    found = stored(matched(nearest), "line-nearest")
+    others = pairs.join(nearest, [*_LATER, *_EARLIER], "left_anti").join(_small(found), _LATER, "left_anti")
+    return found.union(matched(others)).toDF("uid", "line")
+
+
+def _apart(n: Column, m: Column, one: list[Column], other: list[Column]) -> Column:
+    """At most the number of words that are in one of two sets only, by their parity bitmaps."""
+    wide = F.bit_count(one[0].bitwiseXOR(other[0])) + F.bit_count(one[1].bitwiseXOR(other[1]))
+    folded = F.bit_count(one[0].bitwiseXOR(one[1]).bitwiseXOR(other[0]).bitwiseXOR(other[1]))
+    return F.when((n > LARGE) & (m > LARGE), wide).otherwise(folded)
+
+
+def _near_size(n: Column, m: Column) -> Column:
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n)
 
 
 def _with_leaders(sets: DataFrame, turn: int) -> DataFrame:
@@ -123,18 +132,18 @@ def _with_leaders(sets: DataFrame, turn: int) -> DataFrame:
 
     A group is read in order and only its first row is held, so it may be large.
     """
-    mixed = F.slice(F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(turn)))), 1, GROUP_KEYS)
-    held = F.struct("sig", "n", *_MARKS)
-    rows = sets.select(F.explode(mixed).alias("g"), "sig", "first.doc", "first.line", "n", held.alias("own"))
-    window = Window.partitionBy("g").orderBy("doc", "line", "sig")
-    led = rows.withColumn("lead", F.first("own").over(window))
-    lead = F.col("lead")
-    fits = _may_match(F.col("n"), lead["n"], F.col("n"), lead["n"], "own", "lead")
-    return led.filter((F.col("sig") != lead["sig"]) & fits).select(F.col("sig").alias("later"), lead["sig"].alias("earlier"))
+    mixed = F.slice(F.sort_array(F.transform("prefix", lambda t: F.hash(t, F.lit(turn)))), 1, GROUP_KEYS)
+    rows = sets.select(F.explode(mixed).alias("g"), *_AT, "n", *_MARKS)
+    window = Window.partitionBy("g").orderBy(*_AT)
+    led = rows.withColumn("lead", F.first(F.struct("uid", "line", "n", *_MARKS)).over(window))
+    n, m = F.col("n"), F.col("lead.n")
+    apart = _apart(n, m, [F.col(x) for x in _MARKS], [F.col(f"lead.{x}") for x in _MARKS])
+    fits = _near_size(n, m) & (9 * apart <= n + m) & ((F.col("uid") != F.col("lead.uid")) | (F.col("line") != F.col("lead.line")))
+    return led.filter(fits).select(F.col("uid").alias("lu"), F.col("line").alias("ll"), F.col("lead.uid").alias("eu"), F.col("lead.line").alias("el"), apart.alias("apart"))
 
 
 def _led(docs: DataFrame, text: str, sets: DataFrame) -> DataFrame:
-    """Sets that match the leader of a group, in turns over those that have not matched yet.
+    """``uid, line`` of sets that match the leader of a group, in turns over those that have not matched yet.
 
     A large group of near copies shrinks in every turn, so what the exact join is
     left with does not grow with the square of the group.  Turns end when one finds little.
@@ -142,13 +151,13 @@ def _led(docs: DataFrame, text: str, sets: DataFrame) -> DataFrame:
     done, still = None, sets
     for turn in range(TURNS):
         with scratch() as used:
-            found = stored(_verified(docs, text, sets, _with_leaders(still, turn)), "line-led", outlives=True)
+            found = stored(_verified(docs, text, _with_leaders(still, turn)), "line-led", outlives=True)
         remove(docs.sparkSession, used)
         count = found.count()
         done = found if done is None else stored(done.union(found), "line-done")
         if count < max(LEAST_FOUND, LEAST_SHARE * sets.count()):
             break
-        still = stored(sets.join(_small(done), "sig", "left_anti"), "line-still")
+        still = stored(sets.join(_small(done), ["uid", "line"], "left_anti"), "line-still")
     return done
 
 
@@ -158,41 +167,64 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _joined(sets: DataFrame, done: DataFrame) -> DataFrame:
-    """Candidate pairs of the sets that are not ``done`` with all others, by shared prefix word.
+    """Candidate pairs, of which the later set is not ``done``, by shared prefix word and class of sizes.
 
-    Both sides are one and the same exchange; a set that is done has a negative size,
-    and so no room left as the later side.
+    Both sides are one and the same exchange.  A set meets the larger ones (of equal ones the later) by its
+    first ``n / 9 + 1`` words, as at most a ninth of it is not in the other.  So where the next class
+    is in reach, only these words are repeated there.
     """
-    flagged = sets.join(_small(done.withColumn("_done", F.lit(True))), "sig", "left")
-    rows = flagged.select(
-        "sig", *_MARKS,
-        F.when(F.col("_done"), -F.col("n")).otherwise(F.col("n")).alias("n"),
-        F.posexplode("prefix").alias("p", "t"),
-    ).repartition("t")
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS_RATIO)) + 1e-9).cast("int")
+    own, reach = size_class(F.col("n")), size_class(1.25 * F.col("n") + 1e-6)
+    flagged = sets.select(*_AT, "n", *_MARKS, "prefix").join(_small(done.withColumn("_done", F.lit(True))), ["uid", "line"], "left")
+    classed = flagged.withColumn("own", own).withColumn("class", F.explode(F.sequence(own, reach)))
+    placed = classed.select("*", F.posexplode("prefix").alias("p", "w")).filter((F.col("class") == F.col("own")) | (9 * F.col("p") <= F.col("n")))
+    # size, place, and whether it is done or a guest of the class, in one number
+    packed = F.col("n").cast("long").bitwiseOR(F.shiftleft(F.col("p").cast("long"), 30))
+    packed = packed.bitwiseOR(F.when(F.col("_done"), F.lit(1 << 60)).otherwise(F.lit(0))).bitwiseOR(F.when(F.col("class") != F.col("own"), F.lit(1 << 61)).otherwise(F.lit(0)))
+    rows = placed.select(*_AT, *_MARKS, packed.alias("x"), F.hash("w", "class").alias("t"))
+    turns = PASSES if sets.count() >= PASS_SETS else 1
+    found = None
+    for turn in range(turns):
+        with scratch() as used:
+            some = stored(_met(rows.filter(F.pmod("t", F.lit(turns)) == turn).repartition("t")).distinct(), "line-candidates", outlives=True)
+        remove(sets.sparkSession, used)
+        found = some if found is None else found.union(some)
+    return found
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs of the rows that share ``t`` and may match: ``lu, ll, eu, el, apart``."""
     a, b = rows.alias("a"), rows.alias("b")
-    n, m = F.abs("a.n"), F.abs("b.n")
-    # of the smaller set the shared word lies even earlier, as its overlap is at least 8/9 of it
-    early = F.when(n <= m, 9 * F.col("a.p") <= n).otherwise(9 * F.col("b.p") <= m)
-    fits = _may_match(n, m, F.col("a.n") - 1 - F.col("a.p"), m - 1 - F.col("b.p"), "a", "b")
-    found = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.sig") != F.col("b.sig")) & early & fits)
-    return found.select(F.col("a.sig").alias("later"), F.col("b.sig").alias("earlier"))
+    low = F.lit((1 << 30) - 1)
+    n, m = F.col("a.x").bitwiseAND(low), F.col("b.x").bitwiseAND(low)
+    p, q = (F.shiftright(F.col(f"{side}.x"), 30).bitwiseAND(low) for side in "ab")
+    done = {side: F.col(f"{side}.x").bitwiseAND(F.lit(1 << 60)) != 0 for side in "ab"}
+    at_home = F.when(F.col("b.x") >= (1 << 61), False).otherwise(F.col("a.x") > 0)
+    # with similarity 4/5 or more the overlap is at least 4/9 of both sizes, and the difference at most 1/9
+    place = 9 * (1 + F.least(n - 1 - p, m - 1 - q)) >= 4 * (n + m)
+    apart = _apart(n, m, [F.col(f"a.{x}") for x in _MARKS], [F.col(f"b.{x}") for x in _MARKS])
+    first = F.struct(*[f"a.{c}" for c in _AT]) < F.struct(*[f"b.{c}" for c in _AT])
+    leads = F.when((n < m) | (n == m) & first, (9 * p <= n) & (5 * n >= 4 * m)).otherwise(False)
+    open_ = F.when(first, ~done["b"]).otherwise(~done["a"])
+    found = a.join(b, (F.col("a.t") == F.col("b.t")) & leads & at_home & place & (9 * apart <= n + m) & open_)
+    ends = [F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")) for x, y in ("ba", "ab") for c in ("uid", "line")]
+    return found.select(*[e.alias(c) for e, c in zip(ends, [*_LATER, *_EARLIER])], apart.alias("apart"))
 
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``uid, line`` of the lines to remove; ``docs`` has ``_uid``."""
     wide = stored(_sets(docs, text), "line-sets")
-    sets = stored(
-        wide.groupBy("sig", "n", *_MARKS).agg(F.min(_first()).alias("first"), F.first("prefix").alias("prefix"), F.count("*").alias("lines")), "line-distinct"
-    )
+    grouped = wide.groupBy("sig", "n", *_MARKS).agg(F.min(F.struct(*_AT)).alias("first"), F.first("prefix").alias("prefix"), F.count("*").alias("lines"))
+    sets = stored(grouped.select("sig", "n", *_MARKS, "first.*", "prefix", "lines"), "line-distinct")
     with scratch() as used:
         led = _led(docs, text, sets)
-        rest = _verified(docs, text, sets, _joined(sets, led))
+        rest = _verified(docs, text, _joined(sets, led))
         matched = stored(led.union(rest), "line-matched", outlives=True).withColumn("_hit", F.lit(True))
     remove(docs.sparkSession, used)
     # sets of one line that match nothing need no decision
-    decided = sets.join(_small(matched), "sig", "left").filter("_hit is not null or lines > 1").select("sig", "first", "_hit")
+    decided = sets.join(_small(matched), ["uid", "line"], "left").filter("_hit is not null or lines > 1").select("sig", F.struct(*_AT).alias("first"), "_hit")
     decided = stored(decided, "line-decided")
-    lines = wide.filter(passes(sieve(decided, "sig"), "sig")).select("sig", _first().alias("at"))
+    lines = wide.filter(passes(sieve(decided, "sig"), "sig")).select("sig", F.struct(*_AT).alias("at"))
     gone = lines.join(decided, "sig").filter(F.col("_hit").isNotNull() | (F.col("at") > F.col("first")))
     return gone.select("at.uid", "at.line").distinct()
 
