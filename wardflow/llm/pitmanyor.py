@@ -546,7 +546,7 @@ def _told(t: Tokens, answers: pa.Table, totals: Totals) -> tuple[np.ndarray, np.
     answers = answers.sort_by("part")
 
     def told(name: str, kind: type) -> np.ndarray:
-        return np.concatenate([_unplanes(b, kind) for b in answers.column(name).to_pylist() if b is not None]).astype(np.float64)
+        return np.concatenate([*(_unplanes(b, kind) for b in answers.column(name).to_pylist() if b is not None), np.zeros(0, kind)]).astype(np.float64)
 
     def of_words(name: str, kind: type, hot: np.ndarray) -> np.ndarray:
         out = np.empty(len(t.word))
