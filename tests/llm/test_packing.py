@@ -1,5 +1,9 @@
+import os
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -113,3 +117,18 @@ def test_words_are_encoded_as_alone(tokenizer):
     words = ["plain", "qzxkv", "a", "tokenization"] * 700
     ids, count = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))._words(words)
     assert [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_encoding_starts_no_threads():
+    """A task has one core, and the memory of every further thread would count for its executor."""
+    code = (
+        "import os, public_tokenizers\n"
+        "from wardflow.llm import packing\n"
+        "encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))\n"
+        "before = len(os.listdir('/proc/self/task'))\n"
+        "encoder._encoded([f'word {i}' for i in range(5000)])\n"
+        "assert len(os.listdir('/proc/self/task')) == before\n"
+    )
+    root = Path(packing.__file__).resolve().parents[2]
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, env=env, timeout=60).returncode == 0
