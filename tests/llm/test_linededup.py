@@ -81,3 +81,32 @@ def test_a_pair_of_near_copies_is_one_candidate(spark):
     none = sets.filter("false").select("uid", "line")
     pairs = [{(r.lu, r.ll), (r.eu, r.el)} for r in linededup._joined(sets, none).collect()]
     assert len(pairs) == len({frozenset(p) for p in pairs}) == 20 * 19 // 2
+
+
+def test_the_left_side_of_the_join_has_only_words_that_may_lead(spark):
+    """Above an exchange that both sides share, not below it."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + j}" for j in range(30))) for i in range(20)], "doc_id long, text string")
+    sets = linededup._sets(linededup._identified(docs), "text").localCheckpoint()
+    n, p = linededup.F.col("n").cast("long"), linededup.F.col("p").cast("long")
+    placed = sets.select("*", linededup.F.posexplode("prefix").alias("p", "w"))
+    rows = placed.select("doc", "uid", "line", "mark0", "mark1", n.bitwiseOR(linededup.F.shiftleft(p, 30)).alias("x"), linededup.F.hash("w").alias("t")).localCheckpoint()
+    plan = linededup._met(rows.repartition("t"))._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"Filter .*9.*\n.*Exchange hashpartitioning\(t#\d+", plan), plan
+
+
+def test_odd_blanks_and_marks_of_large_sets(spark):
+    """Words are split as by the separators; the bitmaps never tell more than the words that differ."""
+    rows = [(k, " ".join(f"w{i}" for i in range(k, 120))) for k in range(0, 90, 9)]
+    rows += [(200, "\ta\x0bb  c \r\n  \t \n a b c\x0c"), (201, "c\tb\ta \r\n\r\nd  e"), (202, "e d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(docs)
+    sets = linededup._sets(linededup._identified(docs), "text").collect()
+    words = {(r.doc, r.line): set(re.findall(r"[^\x20\x09-\x0D]+", dict(rows)[r.doc].split("\n")[r.line])) for r in sets}
+    for a in sets:
+        assert a.n == len(words[a.doc, a.line])
+        for b in sets:
+            marks = [a.mark0 ^ b.mark0, a.mark1 ^ b.mark1]
+            if min(a.n, b.n) <= linededup.LARGE:
+                marks = [marks[0] ^ marks[1]]
+            apart = sum((m & (1 << 64) - 1).bit_count() for m in marks)
+            assert apart <= len(words[a.doc, a.line] ^ words[b.doc, b.line])

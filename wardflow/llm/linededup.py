@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import SEPARATORS, aside, passes, remove, scratch, sieve, stored
 
-RARITY_BUCKETS = 1 << 16
+RARITY_BITS = 16
 #: Sets of more words have a parity bitmap of 128 bits, others one of 64.
 LARGE = 48
 #: Most hashes that are broadcast, about 64 MB.
@@ -41,8 +41,7 @@ _BLANKS = " \t\x0b\x0c\r"
 #: What makes splitting at single spaces differ from splitting at separators.
 _ODD = "[\t\x0b\x0c\r]|  "
 
-_WIDE = "aggregate(k, 0L, (a, x) -> if((x & 4096) = {half} * 4096, a ^ shiftleft(1L, cast(shiftright(x, 6) & 63 AS int)), a))"
-_FOLDED = "aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftright(x, 6) & 63 AS int)))"
+_PARITY = "aggregate({words}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))"
 _MARKS = ["mark0", "mark1"]
 #: The first line of a set in their order, which names the set.
 _AT = ["doc", "uid", "line"]
@@ -66,31 +65,51 @@ def _lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.filter(F.btrim("content", F.lit(_BLANKS)) != "")
 
 
-def _rarity(docs: DataFrame, text: str) -> Column:
-    """A constant array: for each hash bucket the rarity rank (0 to 63) in the top bits of a long.
+def _plain(text: str) -> Column:
+    """The text with spaces in place of all other blanks but line ends."""
+    odd = F.lit(False)
+    for blank in _BLANKS[1:]:
+        odd = odd | F.contains(text, F.lit(blank))
+    return F.when(odd, F.translate(text, _BLANKS[1:], " " * len(_BLANKS[1:]))).otherwise(F.col(text))
 
+
+def _rarity(docs: DataFrame, text: str) -> tuple[Column, int]:
+    """A constant array and the rarity rank (0 to 63) that halves all words.
+
+    The hash of a word, xor what the array has at its top bits, has the rank on top, and 57 bits of the hash below.
     Counted over all words; the table has one row per bucket, whatever the input.
     """
-    bucket = F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).alias("b")
-    counts = docs.select(F.explode(F.split(text, SEPARATORS)).alias("w")).filter("w <> ''").groupBy(bucket).count()
-    ranks = {r.b: r.rank for r in counts.select("b", F.least(F.round(2 * F.log2("count")), F.lit(63)).cast("long").alias("rank")).collect()}
-    return F.split(F.lit(",".join(str(ranks.get(i, 0) << 57) for i in range(RARITY_BUCKETS))), ",").cast("array<long>")
+    words = docs.select(F.explode(F.split(F.replace(_plain(text), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - RARITY_BITS).alias("b")).count()
+    ranks, weights = {}, [0] * 64
+    for r in counts.select("b", "count", F.least(F.round(2 * F.log2("count")), F.lit(63)).cast("long").alias("rank")).collect():
+        ranks[r.b] = r.rank
+        weights[r.rank] += r["count"]
+    middle = next((i for i in range(64) if 2 * sum(weights[:i]) >= sum(weights)), 0)
+    low = 64 - RARITY_BITS
+    masks = (i << low ^ (ranks.get(i, 0) << 57 | i % (1 << 57 - low) << low) for i in range(1 << RARITY_BITS))
+    return F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in masks)), ",").cast("array<long>"), middle
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
     """Every line as a word set: ``doc, uid, line, sig, n, mark0, mark1, prefix``."""
-    rank = _rarity(docs, text)
-    hashed = F.transform(_words(F.col("content")), lambda w: F.xxhash64(w))
-    placed = F.transform(hashed, lambda h: F.coalesce(F.get(rank, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 7)))
-    keyed = _lines(docs, text).select("doc", "uid", "line", F.sort_array(F.array_distinct(placed)).alias("k"))
+    mask, middle = _rarity(docs, text)
+    lines = docs.select(F.col("doc_id").alias("doc"), F.col("_uid").alias("uid"), F.posexplode(F.split(_plain(text), "\n")).alias("line", "content"))
+    lines = lines.filter(F.trim("content") != "")
+    hashed = F.array_distinct(F.transform(F.split("content", " "), lambda w: F.xxhash64(w)))
+    words = F.array_remove(hashed, F.xxhash64(F.lit("")))  # between two blanks
+    placed = F.transform(words, lambda h: h.bitwiseXOR(mask[F.shiftrightunsigned(h, 64 - RARITY_BITS)]))
+    keyed = lines.select("doc", "uid", "line", F.sort_array(placed).alias("k"))
     size = F.size("k")
     prefix = F.transform(F.slice("k", F.lit(1), size - F.ceil(size * 4 / 5).cast("int") + 1), lambda k: F.hash(k))
-    # 64 bits tell little of large sets: these have 128, whose halves give the 64 of others when folded
-    large = [F.expr(_WIDE.format(half=i)) for i in range(2)]
-    return keyed.select(
+    # 64 bits tell little of large sets: these have 128, 64 for the rarer and 64 for the other words, which give the 64 of others when folded
+    bound = f"{middle << 57}L"
+    rarer = F.expr(f"cast(array_position(sort_array(array_append(k, {bound})), {bound}) AS int)")
+    halves = ["slice(k, 1, rarer - 1)", "slice(k, rarer, size(k))"]
+    return keyed.withColumn("rarer", F.when(size > LARGE, rarer)).select(
         "doc", "uid", "line", F.xxhash64("k").alias("sig"), size.alias("n"),
-        F.when(size > LARGE, large[0]).otherwise(F.expr(_FOLDED)).alias("mark0"),
-        F.when(size > LARGE, large[1]).otherwise(F.lit(0)).cast("long").alias("mark1"),
+        F.when(size > LARGE, F.expr(_PARITY.format(words=halves[0]))).otherwise(F.expr(_PARITY.format(words="k"))).alias("mark0"),
+        F.when(size > LARGE, F.expr(_PARITY.format(words=halves[1]))).otherwise(F.lit(0)).cast("long").alias("mark1"),
         prefix.alias("prefix"),
     )
 
@@ -102,7 +121,9 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
     """
     pairs = stored(pairs.distinct(), "line-pairs")
     asked = stored(pairs.select(*_LATER).union(pairs.select(*_EARLIER)).distinct().toDF("uid", "line"), "line-places")
-    lines = _lines(docs.filter(passes(sieve(asked, "uid"), "_uid")), text).select("uid", "line", "content").dropDuplicates(["uid", "line"])
+    near = _lines(docs.filter(passes(sieve(asked, "uid"), "_uid")), text).select("uid", "line", "content", F.xxhash64("uid", "line").alias("_at"))
+    near = near.filter(passes(sieve(asked.select(F.xxhash64("uid", "line").alias("_at")), "_at"), "_at"))
+    lines = near.select("uid", "line", "content").dropDuplicates(["uid", "line"])
     words = stored(asked.join(lines, ["uid", "line"]).select("uid", "line", F.array_distinct(_words(F.col("content"))).alias("w")), "line-words")
 
     def matched(some: DataFrame) -> DataFrame:
@@ -194,19 +215,22 @@ def _joined(sets: DataFrame, done: DataFrame) -> DataFrame:
 
 def _met(rows: DataFrame) -> DataFrame:
     """Pairs of the rows that share ``t`` and may match: ``lu, ll, eu, el, apart``."""
-    a, b = rows.alias("a"), rows.alias("b")
     low = F.lit((1 << 30) - 1)
+    # those that may lead are on the left and those at home on the right; a filter that is not deterministic
+    # (here always true besides) stays above the exchange, so that both sides share it
+    ahead = 9 * F.shiftright("x", 30).bitwiseAND(low) <= F.col("x").bitwiseAND(low)
+    only = lambda which: F.when(which, F.spark_partition_id() >= 0).otherwise(False)
+    a, b = rows.filter(only(ahead)).alias("a"), rows.filter(only(F.col("x") < (1 << 61))).alias("b")
     n, m = F.col("a.x").bitwiseAND(low), F.col("b.x").bitwiseAND(low)
     p, q = (F.shiftright(F.col(f"{side}.x"), 30).bitwiseAND(low) for side in "ab")
     done = {side: F.col(f"{side}.x").bitwiseAND(F.lit(1 << 60)) != 0 for side in "ab"}
-    at_home = F.when(F.col("b.x") >= (1 << 61), False).otherwise(F.col("a.x") > 0)
     # with similarity 4/5 or more the overlap is at least 4/9 of both sizes, and the difference at most 1/9
     place = 9 * (1 + F.least(n - 1 - p, m - 1 - q)) >= 4 * (n + m)
     apart = _apart(n, m, [F.col(f"a.{x}") for x in _MARKS], [F.col(f"b.{x}") for x in _MARKS])
     first = F.struct(*[f"a.{c}" for c in _AT]) < F.struct(*[f"b.{c}" for c in _AT])
-    leads = F.when((n < m) | (n == m) & first, (9 * p <= n) & (5 * n >= 4 * m)).otherwise(False)
+    leads = F.when((n < m) | (n == m) & first, 5 * n >= 4 * m).otherwise(False)
     open_ = F.when(first, ~done["b"]).otherwise(~done["a"])
-    found = a.join(b, (F.col("a.t") == F.col("b.t")) & leads & at_home & place & (9 * apart <= n + m) & open_)
+    found = a.join(b, (F.col("a.t") == F.col("b.t")) & leads & place & (9 * apart <= n + m) & open_)
     ends = [F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")) for x, y in ("ba", "ab") for c in ("uid", "line")]
     return found.select(*[e.alias(c) for e, c in zip(ends, [*_LATER, *_EARLIER])], apart.alias("apart"))
 
@@ -214,8 +238,11 @@ def _met(rows: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``uid, line`` of the lines to remove; ``docs`` has ``_uid``."""
     wide = stored(_sets(docs, text), "line-sets")
-    grouped = wide.groupBy("sig", "n", *_MARKS).agg(F.min(F.struct(*_AT)).alias("first"), F.first("prefix").alias("prefix"), F.count("*").alias("lines"))
-    sets = stored(grouped.select("sig", "n", *_MARKS, "first.*", "prefix", "lines"), "line-distinct")
+    # the first two of equal sets are kept, already before the exchange
+    same = Window.partitionBy("sig", "n", *_MARKS)
+    firsts = wide.withColumn("place", F.row_number().over(same.orderBy(*_AT))).filter("place <= 2")
+    sets = firsts.withColumn("lines", F.count("*").over(same)).filter("place = 1").drop("place")
+    sets = stored(sets, "line-distinct")
     with scratch() as used:
         led = _led(docs, text, sets)
         rest = _verified(docs, text, _joined(sets, led))
