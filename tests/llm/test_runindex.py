@@ -1,9 +1,11 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardflow.llm import runindex
+from wardflow.llm.blocks import to_blocks_of
 
 
 def brute(rows, length=50):
@@ -99,3 +101,45 @@ def test_indexes_by_anchor_give_the_same():
         mine = np.flatnonzero(anchor == a)
         want = runindex.least_values(np.concatenate([strings[i] for i in mine]), np.concatenate([[0], np.cumsum(length[mine])]), value[mine])
         assert np.concatenate([got[at[i] : at[i] + length[i] - 49] for i in mine]).tolist() == want.tolist()
+
+
+def asked_bytes(rows):
+    """Bytes that a block of texts sends to the index, beside those of heads and documents."""
+    docs = pa.table({"doc_id": [i for i, _ in rows], "unused": [0] * len(rows), "text": [t for _, t in rows]})
+    (block,) = list(to_blocks_of(1 << 30)(iter(docs.combine_chunks().to_batches())))
+    block = pa.table({"block": block.column(0), "texts": block.column(2)})
+    batches = list(runindex._ask_anchors(1)(iter(block.to_batches())))
+    answers = runindex._answer_anchors(pa.Table.from_batches(batches))
+    asked = runindex._ask_contexts(1)((), block, answers)
+    if len(asked):
+        answers = pa.concat_tables([answers, runindex._answer_contexts(asked)])
+    return sum(len(b) for b in runindex._ask_bytes(1)((), block, answers).column("one").to_pylist())
+
+
+def test_short_common_phrases_do_not_reach_the_index():
+    """Phrases that are shorter than a window and in many documents repeat nothing, however many documents there are."""
+    rng = np.random.default_rng(3)
+    phrase = "in the course of the day"
+    said = lambda: "".join(rng.choice(list("abcdefghijklmnop "), 60))
+    rows = [(i, "".join(said() + phrase for _ in range(20))) for i in range(40)]
+    assert asked_bytes(rows) == 0
+    copied = rows[0][1][100:400]
+    assert asked_bytes([*rows, (40, said() + copied + said())]) > 0
+
+
+def test_a_hot_anchor_is_cut_into_small_indexes(monkeypatch):
+    """One line that follows many different ones: its contexts are all different and have one anchor."""
+    monkeypatch.setattr(runindex, "INDEX_BYTES", 2000)
+    monkeypatch.setattr(runindex, "SLICE_BYTES", 5000)
+    rng = np.random.default_rng(4)
+    line = rng.integers(97, 123, 40).astype(np.uint8)
+    strings = [np.concatenate([rng.integers(97, 100, int(rng.integers(10, 25))).astype(np.uint8), line]) for _ in range(1500)]
+    data, length = np.concatenate(strings), np.array([len(s) for s in strings])
+    value = rng.integers(0, 1000, len(strings))
+    want = runindex.least_values(data, np.concatenate([[0], np.cumsum(length)]), value)
+    largest = []
+    build = runindex.least_values
+    monkeypatch.setattr(runindex, "least_values", lambda d, o, v: largest.append(len(d)) or build(d, o, v))
+    got = runindex.least_by_anchor(data, length, np.zeros(len(strings), np.uint64), value)
+    assert got.tolist() == want.tolist()
+    assert sum(length) > 20 * runindex.INDEX_BYTES and max(largest) < 4 * runindex.INDEX_BYTES

@@ -65,6 +65,13 @@ class Texts:
         raw = (prefix[end] - prefix[start]) * _power_table(len(prefix), _INVERSE)[start]
         return mix(raw + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
+    def equal_span_hash(self, prefix: np.ndarray, size: int) -> np.ndarray:
+        """A hash of the ``size`` bytes at every place that has as many, for one size only; its lower bits are not spread."""
+        raw = prefix[size:] - prefix[:-size]
+        raw *= _power_table(len(prefix), _INVERSE)[: len(raw)]
+        raw *= U(0xD6E8FEB86659FD93)
+        return raw
+
     def words(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every word, and the number of words of each text."""
         data = self.data if data is None else data
